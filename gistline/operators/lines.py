@@ -17,25 +17,39 @@ def explode_lines(sessions: DataFrame, splitter=T.rule_lines, keep: tuple[str, .
     )
 
 
-def generic_clean(sessions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Carriage returns, colour codes, adjacent repeats, in that order, as lines.
+def clean_arrays(sessions: DataFrame, keep: tuple[str, ...] = (), name: str = "clean") -> DataFrame:
+    """Each text as an array of cleaned lines with their line numbers: carriage returns off,
+    then colour codes, then adjacent repeats.
 
     A line's neighbour is read from the array it was split into, so even the repeat check
     needs no shuffle and no sort.
     """
     split = sessions.select("session_id", *keep, T.rule_lines(T.clean_text(F.col("text"))).alias("_l"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0))))
-    pairs = split.select(
-        "session_id", *keep,
-        F.when(F.size("_l") > 0, F.arrays_zip(F.col("_l").alias("t"), before.alias("b"))).alias("_p"))
-    rows = pairs.select("session_id", *keep, F.posexplode("_p").alias("pos", "p"))
-    return rows.where(F.col("p.b").isNull() | (F.col("p.t") != F.col("p.b"))).select(
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_l", 1, F.size("_l")))
+    marked = F.transform(F.arrays_zip(F.col("_l").alias("t"), before.alias("b")), lambda x, i: F.struct(
+        i.alias("i"), x["t"].alias("t"), x["b"].alias("b")))
+    fresh = F.filter(marked, lambda x: x["t"].isNotNull() & (x["b"].isNull() | (x["t"] != x["b"])))
+    return split.select("session_id", *keep, fresh.alias(name))
+
+
+def clean_lines(arrays: DataFrame, keep: tuple[str, ...] = (), name: str = "clean") -> DataFrame:
+    return arrays.select("session_id", *keep, F.explode(name).alias("_x")).select(
         "session_id", *keep,
-        F.col("pos").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
-        F.col("p.t").alias("text"), F.lit(False).alias("is_placeholder"),
+        F.col("_x.i").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
+        F.col("_x.t").alias("text"), F.lit(False).alias("is_placeholder"),
     )
 
 
+def clean_output(name: str = "clean") -> Column:
+    """The cleaned text, a line feed after each line."""
+    return F.array_join(F.transform(F.col(name), lambda x: F.concat(x["t"], F.lit("\n"))), "")
+
+
+def generic_clean(sessions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pass every text gets, as lines."""
+    return clean_lines(clean_arrays(sessions, keep), keep)
+
+
 def assemble_output(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Ordered lines to one text, a line feed after each.
 

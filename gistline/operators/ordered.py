@@ -199,3 +199,8 @@ def head_tail_envelope(lines: DataFrame, head_n: int, tail_n: int, order=WINDOW,
                     shown.cast("string"), F.lit(" lines] ---"))
     first_of_tail = in_tail & (rn == skip + 1) if head_n else F.lit(False)
     return _with_extra(df, first_of_tail, note, F.lit(True))
+
+
+def order_rows(lines: DataFrame, order=WINDOW) -> DataFrame:
+    """Lines numbered 1, 2, ... in their session as ``__rn``."""
+    return order.scan(lines, running("__rn", F.lit(1).cast("bigint")))

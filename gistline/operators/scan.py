@@ -71,18 +71,24 @@ class WindowScan:
 
 
 class BlockScan:
-    def __init__(self, block_lines: int = BLOCK_LINES, keys: tuple[str, ...] = ("session_id",),
-                 order: tuple[str, ...] = ORDER, cut: bool = True):
-        self.block_lines, self.keys, self.order, self.cut = block_lines, keys, order, cut
+    """Blocks of ``block_lines`` consecutive line numbers, or, with None, blocks cut by range
+    partitioning: even whatever the order column's values are, as times are not."""
+
+    def __init__(self, block_lines: int | None = BLOCK_LINES, keys: tuple[str, ...] = ("session_id",),
+                 order: tuple[str, ...] = ORDER):
+        self.block_lines, self.keys, self.order = block_lines, keys, order
 
     def scan(self, lines: DataFrame, *facts: Fact) -> DataFrame:
         names = lines.columns
-        block = F.floor(F.col(self.order[0]) / self.block_lines).cast("bigint")
-        lines = lines.select("*", block.alias("_blk"), *[f.expr.alias(f"_x_{f.name}") for f in facts])
-        if self.cut:
-            # Both branches below read this; without the cut each scan of a chain would
-            # double the work of the ones before it.
-            lines = checkpoint(lines)
+        lines = lines.select("*", *[f.expr.alias(f"_x_{f.name}") for f in facts])
+        if self.block_lines is None:
+            lines = lines.repartitionByRange(*self.keys, *self.order)
+            block = F.spark_partition_id()
+        else:
+            block = F.floor(F.col(self.order[0]) / self.block_lines).cast("bigint")
+        # Both branches below read this. The cut keeps a chain of scans from doubling the
+        # work of the ones before, and fixes range blocks, which depend on a sample.
+        lines = checkpoint(lines.withColumn("_blk", block))
         position = F.struct(*self.order)
         inner = [Fact(f.name, f.kind, F.col(f"_x_{f.name}")) for f in facts]
         keys = [*self.keys, "_blk"]
