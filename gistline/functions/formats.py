@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistline.functions.jsontext import json_valid
-from gistline.functions.text import check_lines, is_blank
+from gistline.functions.text import is_blank, with_check_lines
 
 # Fixed values.
 STACK_TRACE = (
@@ -25,10 +25,9 @@ def is_json(text: Column) -> Column:
     return (head.startswith("{") | head.startswith("[")) & json_valid(head)
 
 
-def is_ndjson(lines: Column) -> Column:
+def is_ndjson(lines: Column, filled: Column) -> Column:
     """First five lines blank or valid JSON, and at least two non-blank lines in all."""
-    first = F.forall(F.slice(lines, 1, 5), lambda x: is_blank(x) | json_valid(x))
-    return first & (F.size(F.filter(lines, lambda x: ~is_blank(x))) >= 2)
+    return F.forall(F.slice(lines, 1, 5), lambda x: is_blank(x) | json_valid(x)) & (F.size(filled) >= 2)
 
 
 def is_diff(text: Column) -> Column:
@@ -43,22 +42,30 @@ def is_log(text: Column) -> Column:
     return text.rlike(LOG)
 
 
-def is_tabular(lines: Column) -> Column:
+def is_tabular(filled: Column, words: Column) -> Column:
     """At least three non-blank lines; the first five share one word count of two or more."""
-    rows = F.filter(lines, lambda x: ~is_blank(x))
-    words = F.transform(F.slice(rows, 1, 5), lambda x: F.size(F.filter(
-        F.split(x, r"(?U)\s+"), lambda w: w != "")))
-    return (F.size(rows) >= 3) & (F.array_min(words) >= 2) & (F.array_min(words) == F.array_max(words))
-
-
-def detect_format(text: Column) -> Column:
-    lines = check_lines(text)
-    return (
-        F.when(is_json(text), "json")
-        .when(is_ndjson(lines), "ndjson")
-        .when(is_diff(text), "diff")
-        .when(is_stack_trace(text), "stack_trace")
-        .when(is_tabular(lines), "tabular")
-        .when(is_log(text), "log")
+    return (F.size(filled) >= 3) & (F.array_min(words) >= 2) & (F.array_min(words) == F.array_max(words))
+
+
+def with_line_facts(df: DataFrame, text: str) -> DataFrame:
+    """``_lines``, the non-blank ones, and the word counts of the first five of those."""
+    df = with_check_lines(df, "_lines", F.col(text))
+    df = df.withColumn("_filled", F.filter("_lines", lambda x: ~is_blank(x)))
+    return df.withColumn("_words", F.transform(F.slice("_filled", 1, 5), lambda x: F.size(F.filter(
+        F.split(x, r"(?U)\s+"), lambda w: w != ""))))
+
+
+def with_format(df: DataFrame, text: str = "text", name: str = "format") -> DataFrame:
+    """The class of each text; null for a null text."""
+    t = F.col(text)
+    out = (
+        F.when(t.isNull(), F.lit(None).cast("string"))
+        .when(is_json(t), "json")
+        .when(is_ndjson(F.col("_lines"), F.col("_filled")), "ndjson")
+        .when(is_diff(t), "diff")
+        .when(is_stack_trace(t), "stack_trace")
+        .when(is_tabular(F.col("_filled"), F.col("_words")), "tabular")
+        .when(is_log(t), "log")
         .otherwise("plain")
     )
+    return with_line_facts(df, text).withColumn(name, out).drop("_lines", "_filled", "_words")

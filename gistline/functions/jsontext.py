@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,15 +72,16 @@ def json_path_keep(text: Column, paths: list[str]) -> Column:
     return F.when(json_valid(text), kept).otherwise(text)
 
 
-def json_path_drop(text: Column, paths: list[str]) -> Column:
-    """Remove the object member each path names; array elements and absent members stay."""
-    valid = json_valid(text)
-    out = sorted_json(text)
+def json_path_drop(df: DataFrame, column: str, paths: list[str]) -> DataFrame:
+    """Remove the object member each path names; array elements and absent members stay.
+    One step per path, as a removal reads its input more than once."""
+    df = df.withColumns({"_valid": json_valid(F.col(column)), "_json": sorted_json(F.col(column))})
     for path in paths:
         parts = _drop_segments(path)
         if parts:
-            out = _remove(out, parts)
-    return F.when(valid, out).otherwise(text)
+            df = df.withColumn("_json", _remove(F.col("_json"), parts))
+    return df.withColumn(column, F.when(F.col("_valid"), F.col("_json")).otherwise(F.col(column))).drop(
+        "_valid", "_json")
 
 
 def _drop_segments(path: str) -> list[str | int] | None:

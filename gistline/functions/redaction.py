@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistline.functions.regex import PatternError, translate
@@ -58,8 +58,11 @@ def redact_high_entropy(text: Column) -> Column:
     return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
-def redact_builtin(text: Column) -> Column:
-    return redact_high_entropy(redact_named(text))
+def redact_text(df: DataFrame, column: str = "text") -> DataFrame:
+    """Both passes over a text column. They are two steps because the second reads its input
+    several times, and in one expression the first would be computed for each."""
+    named = df.withColumn(column, redact_named(F.col(column)))
+    return named.withColumn(column, redact_high_entropy(F.col(column)))
 
 
 def redact_user(text: Column, patterns: Iterable[str]) -> Column:

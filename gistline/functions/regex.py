@@ -38,10 +38,15 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.+*?()|\[\]{}^$#&\-~])", r"\\$1")
 
 
+def translate_column(pattern: Column) -> Column:
+    """``translate`` for patterns held in a table; applied to the table, not to each line."""
+    return F.concat(F.lit(FLAGS), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
-    """Unanchored hit. A column pattern uses ``regexp_instr``, which keeps the compiled
-    pattern while its value stays the same; ``rlike`` would compile it for every row."""
+    """Unanchored hit. A column holds translated patterns and uses ``regexp_instr``, which
+    keeps the compiled pattern while its value stays the same; ``rlike`` would compile it
+    for every row."""
     if isinstance(pattern, str):
         return text.rlike(translate(pattern))
-    translated = F.concat(F.lit(FLAGS), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
-    return F.coalesce(F.regexp_instr(text, translated) > 0, F.lit(False))
+    return F.coalesce(F.regexp_instr(text, pattern) > 0, F.lit(False))

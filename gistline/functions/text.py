@@ -1,14 +1,17 @@
 """Line splitting and per-line cleaning.
 
+Functions that read their input several times come as ``with_...`` steps on a DataFrame: the
+optimizer does not merge such steps, so a text is split or cleaned once.
+
 Three splitters exist and differ only in how they treat a carriage return:
 ``rule_lines`` keeps it, ``check_lines`` drops one before each line feed, and
-``clean_text`` followed by ``rule_lines`` drops all of them. None adds an empty line
+``with_clean_text`` drops all of them. None adds an empty line
 for a final line feed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -18,29 +21,43 @@ EXIT_LINE = r"(?i)^(exit[: ]|process exited|command failed|error code)"
 TAG = "gist"
 
 
+def trimmed(parts: Column) -> Column:
+    """Split parts without the empty one after a final line feed."""
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def rule_lines(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    last = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, last - 1)).otherwise(parts)
+    return trimmed(F.split(F.coalesce(text, F.lit("")), "\n", -1))
 
 
 def check_lines(text: Column) -> Column:
     return rule_lines(F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
+def with_lines(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Split in two steps: the parts are read several times, and must be made once."""
+    return df.withColumn(name, F.split(F.coalesce(text, F.lit("")), "\n", -1)).withColumn(name, trimmed(F.col(name)))
+
+
+def with_check_lines(df: DataFrame, name: str, text: Column) -> DataFrame:
+    return with_lines(df, name, F.replace(text, F.lit("\r\n"), F.lit("\n")))
+
+
 def strip_cr(text: Column) -> Column:
     """Trim all carriage returns at the end of each line."""
-    return F.regexp_replace(text, r"\r+(?=\n|\z)", "")
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r+(?=\n|\z)", "")).otherwise(text)
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI, "")
+    # Nearly no line has an escape, and looking for one costs far less than the pattern.
+    return F.when(text.contains("\x1b"), F.regexp_replace(text, ANSI, "")).otherwise(text)
 
 
-def clean_text(text: Column) -> Column:
+def with_clean_text(df: DataFrame, name: str, text: Column) -> DataFrame:
     """Carriage returns first, then colour codes; both work on the whole text at once
     because neither pattern can cross a line feed."""
-    return strip_ansi(strip_cr(F.coalesce(text, F.lit(""))))
+    return df.withColumn(name, F.coalesce(text, F.lit(""))).withColumn(name, strip_cr(F.col(name))).withColumn(
+        name, strip_ansi(F.col(name)))
 
 
 def is_placeholder_text(text: Column, tag: str = TAG) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gistline.functions import text as T
 from gistline.functions.jsontext import json_valid
-from gistline.functions.regex import matches
+from gistline.functions.regex import matches, translate_column
 from gistline.session import fits_broadcast, lookup
 
 
@@ -96,7 +96,7 @@ def invariant_results(raw: DataFrame, compressed: DataFrame, sessions: DataFrame
     lookup, so only lines that some check asks about are shuffled, equal ones folded first.
     """
     checks = profiles.select("profile_id", F.explode("invariants").alias("i")).select(
-        "profile_id", "i.name", "i.check", "i.pattern", "i.count", "i.path")
+        "profile_id", "i.name", "i.check", translate_column(F.col("i.pattern")).alias("pattern"), "i.count", "i.path")
     per_profile = checks.groupBy("profile_id").agg(F.collect_list(F.struct(
         "name", "check", "pattern", "count", "path")).alias("checks"))
     small = fits_broadcast(per_profile)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gistline import schema
 from gistline.functions.metrics import content_hash
 from gistline.functions.regex import BACK_REFERENCE, LOOK_AROUND, escape
-from gistline.functions.text import check_lines, is_blank
+from gistline.functions.text import is_blank, with_check_lines
 from gistline.session import lookup
 
 # Fixed values.
@@ -70,8 +70,8 @@ def doubling_checkpoint(n: Column, base: int = LOCK_IN) -> Column:
 
 
 def _sample_lines(samples: DataFrame) -> DataFrame:
-    return samples.select("fingerprint", "sample_id", "captured_at",
-                          F.posexplode(check_lines(F.col("text"))).alias("line_no", "line"))
+    split = with_check_lines(samples, "_l", F.col("text"))
+    return split.select("fingerprint", "sample_id", "captured_at", F.posexplode("_l").alias("line_no", "line"))
 
 
 def classify_lines(samples: DataFrame) -> DataFrame:
@@ -98,7 +98,8 @@ def classify_lines(samples: DataFrame) -> DataFrame:
 
 def constant_lines(samples: DataFrame) -> DataFrame:
     """Non-blank lines that occur, anywhere, in all samples of a fingerprint."""
-    seen = samples.select("fingerprint", F.explode(F.array_distinct(check_lines(F.col("text")))).alias("line"))
+    split = with_check_lines(samples, "_l", F.col("text"))
+    seen = split.select("fingerprint", F.explode(F.array_distinct("_l")).alias("line"))
     counts = seen.where(~is_blank(F.col("line"))).groupBy("fingerprint", "line").agg(F.count(F.lit(1)).alias("c"))
     n = sample_count(samples)
     return lookup(counts, n, ["fingerprint"], "inner").where("c = n_samples").select("fingerprint", "line")

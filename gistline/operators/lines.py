@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from gistline.functions import text as T
 
 
-def explode_lines(sessions: DataFrame, splitter=T.rule_lines, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per line. No shuffle: a text is split where its row is."""
-    return sessions.select("session_id", *keep, F.posexplode(splitter(F.col("text")))).select(
+def explode_lines(sessions: DataFrame, check: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line, for rules or, with ``check``, for checks. No shuffle: a text is
+    split where its row is."""
+    step = T.with_check_lines if check else T.with_lines
+    split = step(sessions.select("session_id", *keep, "text"), "_l", F.col("text"))
+    return split.select("session_id", *keep, F.posexplode("_l")).select(
         "session_id", *keep,
         F.col("pos").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
         F.col("col").alias("text"), F.lit(False).alias("is_placeholder"),
@@ -24,12 +27,14 @@ def clean_arrays(sessions: DataFrame, keep: tuple[str, ...] = (), name: str = "c
     A line's neighbour is read from the array it was split into, so even the repeat check
     needs no shuffle and no sort.
     """
-    split = sessions.select("session_id", *keep, T.rule_lines(T.clean_text(F.col("text"))).alias("_l"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_l", 1, F.size("_l")))
-    marked = F.transform(F.arrays_zip(F.col("_l").alias("t"), before.alias("b")), lambda x, i: F.struct(
-        i.alias("i"), x["t"].alias("t"), x["b"].alias("b")))
-    fresh = F.filter(marked, lambda x: x["t"].isNotNull() & (x["b"].isNull() | (x["t"] != x["b"])))
-    return split.select("session_id", *keep, fresh.alias(name))
+    cleaned = T.with_clean_text(sessions.select("session_id", *keep, "text"), "text", F.col("text"))
+    split = T.with_lines(cleaned, "_l", F.col("text"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0))))
+    # zip_with pads the shorter side; for an empty text that is one pair without a line.
+    marked = F.zip_with("_l", before, lambda t, b: F.when(
+        t.isNotNull(), F.struct(t.alias("t"), (b.isNull() | (t != b)).alias("fresh"))))
+    numbered = F.transform(marked, lambda x, i: F.struct(i.alias("i"), x["t"].alias("t"), x["fresh"].alias("fresh")))
+    return split.select("session_id", *keep, F.filter(numbered, lambda x: x["fresh"]).alias(name))
 
 
 def clean_lines(arrays: DataFrame, keep: tuple[str, ...] = (), name: str = "clean") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistline.functions.text import check_lines
 from gistline.operators import judge as G
 from gistline.operators.lines import explode_lines
 from gistline.plans.reduce import RuleTable
@@ -21,7 +20,7 @@ def judge(sessions: DataFrame, reduced: DataFrame, table: RuleTable,
     """
     checks = table.rules.select(F.col("rule_key").alias("profile_id"), "invariants")
     keyed = sessions.withColumn("profile_id", F.col("rule_key"))
-    raw = explode_lines(keyed, check_lines, ("profile_id",))
+    raw = explode_lines(keyed, True, ("profile_id",))
     cmp = reduced.withColumn("profile_id", F.col("rule_key"))
     results = G.invariant_results(raw, cmp, keyed, checks, texts)
     subset = G.structural_subset(raw, reduced)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistline.functions.text import check_lines
 from gistline.operators import judge as G
 from gistline.operators import learn as L
 from gistline.operators.lines import explode_lines
@@ -30,8 +29,8 @@ def self_test(samples: DataFrame, profiles: DataFrame, max_steps: int = MAX_STEP
         ["rule_key"], "fingerprint", "inner").withColumn("profile_id", F.col("rule_key"))
     lines = explode_lines(sessions, keep=("rule_key", "profile_id"))
     reduced = apply_rules(lines, table)
-    raw = explode_lines(sessions, check_lines, ("profile_id",))
-    checks = profiles.select("profile_id", "invariants")
+    raw = explode_lines(sessions, True, ("profile_id",))
+    checks = table.rules.select(F.col("rule_key").alias("profile_id"), "invariants")
     results = G.invariant_results(raw, reduced, sessions, checks)
     failed = results.where(~F.col("passed")).select("session_id").distinct()
     guard = budget_guard(rule_cost(lines, table), max_steps, max_bytes)

@@ -256,9 +256,9 @@ select session_id, case when json_valid(text) then json_extract_string(text, '$.
  case when json_valid(text) and json_type(text, '$.user') = 'OBJECT' then cast(null as varchar) end as id,
  case when json_valid(text) then json_type(text, '$.user.tags') = 'ARRAY' end as has_tags from event_json"""))
 def _(spark, d):
-    out = J.json_path_drop(F.col("text"), ["$.user.id", "$.user.none", "$.missing.x"])
-    v = F.try_parse_json("k")
-    return view(spark, d, "event_json").select("session_id", out.alias("k")).select(
+    out = J.json_path_drop(view(spark, d, "event_json"), "text", ["$.user.id", "$.user.none", "$.missing.x"])
+    v = F.try_parse_json("text")
+    return out.select(
         "session_id", F.try_variant_get(v, "$.level", "string").alias("level"),
         F.try_variant_get(v, "$.user.id", "string").alias("id"),
         F.when(F.try_variant_get(v, "$.user.tags", "variant").isNotNull(), F.lit(True)).alias("has_tags"))
@@ -347,7 +347,7 @@ def entropy_sql(x: str) -> str:
 with r as (select session_id, {redact_sql('text')} as t from planted)
 select session_id, {entropy_sql('t')} as text from r"""))
 def _(spark, d):
-    return view(spark, d, "planted").select("session_id", R.redact_builtin(F.col("text")).alias("text"))
+    return R.redact_text(view(spark, d, "planted").select("session_id", "text"))
 
 
 @query("redact_high_entropy", twin("planted", f"select session_id, {entropy_sql('text')} as text from planted"))
@@ -440,17 +440,18 @@ def flags_twin(select: str) -> str:
 
 @query("detect_format", flags_twin(f"select session_id, {FORMAT_CASE} as format from f"))
 def _(spark, d):
-    return view(spark, d, "format_texts").select("session_id", formats.detect_format(F.col("text")).alias("format"))
+    return formats.with_format(view(spark, d, "format_texts")).select("session_id", "format")
 
 
 def register_flag(name, test):
     @query(name, flags_twin(f"select session_id, {name} as hit from f"))
     def _(spark, d):
-        return view(spark, d, "format_texts").select("session_id", F.coalesce(test(F.col("text")), F.lit(False)).alias("hit"))
+        facts = formats.with_line_facts(view(spark, d, "format_texts"), "text")
+        return facts.select("session_id", F.coalesce(test(), F.lit(False)).alias("hit"))
 
 
-register_flag("is_ndjson", lambda t: formats.is_ndjson(T.check_lines(t)))
-register_flag("is_diff", formats.is_diff)
-register_flag("is_stack_trace", formats.is_stack_trace)
-register_flag("is_tabular", lambda t: formats.is_tabular(T.check_lines(t)))
-register_flag("is_log", formats.is_log)
+register_flag("is_ndjson", lambda: formats.is_ndjson(F.col("_lines"), F.col("_filled")))
+register_flag("is_diff", lambda: formats.is_diff(F.col("text")))
+register_flag("is_stack_trace", lambda: formats.is_stack_trace(F.col("text")))
+register_flag("is_tabular", lambda: formats.is_tabular(F.col("_filled"), F.col("_words")))
+register_flag("is_log", lambda: formats.is_log(F.col("text")))

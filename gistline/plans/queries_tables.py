@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from gistline import schema
 from gistline.functions import metrics as M
 from gistline.functions.fingerprint import file_stem
-from gistline.functions.redaction import redact_builtin
-from gistline.functions.text import check_lines
+from gistline.functions.redaction import redact_text
 from gistline.operators import account as A
 from gistline.operators import bypass as B
 from gistline.operators import judge as G
@@ -18,12 +17,13 @@ from gistline.operators import versions as V
 from gistline.plans import reduce as R
 from gistline.plans.judge import judge
 from gistline.plans.learn import as_profiles, learn, self_test
+from gistline.session import local_frame
 from gistline.plans.views import REGISTRY, table, twin, view
 from gistline.sources.rulesets import RULESETS, load_profiles
 
 query = REGISTRY.add
 NOW = 928_195_200  # a day inside the order dates
-ROUND = 6
+ROUND = 9
 
 
 # -- dispatch and reduce
@@ -99,10 +99,10 @@ def _(spark, d):
 out as (select session_id, sum(strlen(text) + 1) as cmp from reduced group by session_id),
 s as (select t.fingerprint, strlen(t.text) as raw, coalesce(cmp, 0) as cmp from tools t left join out using (session_id))
 select fingerprint, count(*) as runs, cast(sum(raw) as bigint) as raw_bytes, cast(sum(cmp) as bigint) as compressed_bytes,
- round(sum(cmp) / sum(raw), 6) as ratio, cast(greatest(sum(raw) - sum(cmp), 0) // 4 as bigint) as tokens_saved
+ round(sum(cmp) / sum(raw), 9) as ratio, cast(greatest(sum(raw) - sum(cmp), 0) // 4 as bigint) as tokens_saved
 from s group by fingerprint"""))
 def _(spark, d):
-    sessions = view(spark, d, "tools").withColumn("text", redact_builtin(F.col("text")))
+    sessions = redact_text(view(spark, d, "tools"))
     out = N.output_bytes(R.reduce_sessions(sessions, rule_table(spark)))
     facts = sessions.select("session_id", "fingerprint", F.octet_length("text").cast("bigint").alias("raw_bytes"),
                             F.lit("Full").alias("mode")).join(out, "session_id", "left")
@@ -112,9 +112,9 @@ def _(spark, d):
 
 
 def one_rule_set(spark, rules, fingerprint="all"):
-    full = [tuple(r.get(f.name) for f in schema.RULE.fields) for r in rules]
-    row = (1, fingerprint, "1.0.0", "1.0", "synthesized", "active", 0, "plain", full, [])
-    return R.compile_rules(spark.createDataFrame([row], schema.PROFILES))
+    row = {"profile_id": 1, "fingerprint": fingerprint, "version": "1.0.0", "schema": "1.0", "provenance": "synthesized",
+           "status": "active", "created_at": 0, "format_claim": "plain", "rules": rules, "invariants": []}
+    return R.compile_rules(local_frame(spark, [row], schema.PROFILES))
 
 
 COSTED = [
@@ -140,7 +140,7 @@ cost as (select session_id, cast(n0 + n0 + n2 + n3 + least(n4, coalesce(a + 4, n
 
 def planted_cost(spark, d):
     table_ = one_rule_set(spark, COSTED)
-    lines = N.explode_lines(view(spark, d, "planted")).withColumn("rule_key", F.lit(1).cast("bigint"))
+    lines = N.explode_lines(view(spark, d, "planted")).withColumn("rule_key", F.lit(0).cast("bigint"))
     return R.rule_cost(lines, table_)
 
 
@@ -164,7 +164,7 @@ MIXED = """with cmp as (select session_id, line_no, case when text = 'inner row'
 
 def planted_sides(spark, d):
     sessions = view(spark, d, "planted")
-    raw = N.explode_lines(sessions, check_lines)
+    raw = N.explode_lines(sessions, check=True)
     cmp = N.generic_clean(sessions, ("doc_id",)).where("line_no % 4 <> 1")
     made_up = (F.col("text") == "inner row") & (F.col("doc_id") % 2 == 0)
     return sessions, raw, cmp.withColumn("text", F.when(made_up, "made up row").otherwise(F.col("text"))).drop("doc_id")
@@ -279,7 +279,7 @@ def _(spark, d):
 
 @query("self_fidelity", twin("tools_clean", JUDGED + f""",
 n as (select session_id, count(*) as total, count(*) filter (passed) as ok from results group by session_id)
-select t.session_id, case when t.fingerprint in ({STORED}) then round(coalesce(ok, 0) / greatest(coalesce(total, 0), 1), 6)
+select t.session_id, case when t.fingerprint in ({STORED}) then round(coalesce(ok, 0) / greatest(coalesce(total, 0), 1), 9)
  else 1 end as self_fidelity from tools t left join n using (session_id)"""))
 def _(spark, d):
     return judged(spark, d)[2].select("session_id", F.round("self_fidelity", ROUND).alias("self_fidelity"))
@@ -301,9 +301,9 @@ def _(spark, d):
 LIVE = "coalesce(mode, '') <> 'Shadow'"
 SUMS = ("count(*) as runs, cast(coalesce(sum(raw_bytes), 0) as bigint) as raw_bytes, "
         "cast(coalesce(sum(compressed_bytes), 0) as bigint) as compressed_bytes")
-DERIVED = ("round(case when raw_bytes = 0 then 0 else compressed_bytes / raw_bytes end, 6) as ratio, "
+DERIVED = ("round(case when raw_bytes = 0 then 0 else compressed_bytes / raw_bytes end, 9) as ratio, "
            "greatest(raw_bytes - compressed_bytes, 0) // 4 as tokens_saved, "
-           "round((greatest(raw_bytes - compressed_bytes, 0) // 4) * 15.0 / 1000000, 6) as usd_saved")
+           "round((greatest(raw_bytes - compressed_bytes, 0) // 4) * 15.0 / 1000000, 9) as usd_saved")
 
 
 def rounded(df):
@@ -358,9 +358,9 @@ def _(spark, d):
 
 @query("exit_code_skew", twin("ledger", BUCKETS + """, r as (select fingerprint, ok_runs >= 50 and fail_runs >= 50 as enough,
  case when ok_raw = 0 then 0 else ok_cmp / ok_raw end as sr, case when fail_raw = 0 then 0 else fail_cmp / fail_raw end as fr from b)
-select fingerprint, round(case when enough then sr else 0 end, 6) as success_ratio,
- round(case when enough then fr else 0 end, 6) as failure_ratio,
- round(case when enough and sr > 0 then fr / sr else 0 end, 6) as skew_factor,
+select fingerprint, round(case when enough then sr else 0 end, 9) as success_ratio,
+ round(case when enough then fr else 0 end, 9) as failure_ratio,
+ round(case when enough and sr > 0 then fr / sr else 0 end, 9) as skew_factor,
  enough and sr > 0 and fr / sr > 2 as needs_relearning from r"""))
 def _(spark, d):
     skew = A.exit_code_skew(A.exit_bucket_aggregates(view(spark, d, "ledger")))
@@ -484,19 +484,19 @@ ROLLING = SCORES + """, r as (select *, row_number() over (partition by profile_
 t as (select profile_id, sum(score) / count(*) as score, count(*) as n_sessions from r where rn <= 100 group by profile_id)"""
 
 
-@query("session_scores", twin("bypass", SCORES + "select profile_id, session_id, latest, round(score, 6) as score from s"))
+@query("session_scores", twin("bypass", SCORES + "select profile_id, session_id, latest, round(score, 9) as score from s"))
 def _(spark, d):
     return B.session_scores(view(spark, d, "bypass")).withColumn("score", F.round("score", ROUND))
 
 
-@query("rolling_bypass_score", twin("bypass", ROLLING + "select profile_id, round(score, 6) as score, n_sessions from t"))
+@query("rolling_bypass_score", twin("bypass", ROLLING + "select profile_id, round(score, 9) as score, n_sessions from t"))
 def _(spark, d):
     return B.rolling_bypass_score(view(spark, d, "bypass")).withColumn("score", F.round("score", ROUND))
 
 
 @query("bypass_score_over_time", twin("bypass", SCORES + """, n as (select *, row_number() over (partition by profile_id
  order by latest, session_id) as run_no from s)
-select profile_id, run_no, round(avg(score) over (partition by profile_id order by run_no rows between 99 preceding and current row), 6)
+select profile_id, run_no, round(avg(score) over (partition by profile_id order by run_no rows between 99 preceding and current row), 9)
  as bypass_score from n where run_no > 3"""))
 def _(spark, d):
     runs = B.session_scores(view(spark, d, "bypass")).withColumnRenamed("latest", "at")
@@ -504,7 +504,7 @@ def _(spark, d):
 
 
 @query("bypass_quarantine", twin("bypass", ROLLING + """, o as (select profile_id, count(distinct session_id) as observed from bypass group by 1)
-select profile_id, round(score, 6) as score, observed, 'quarantined' as status,
+select profile_id, round(score, 9) as score, observed, 'quarantined' as status,
  'rolling score ' || printf('%.3f', score) || ' > threshold 0.3' as detail from t join o using (profile_id)
 where observed > 3 and score > 0.3"""))
 def _(spark, d):

@@ -13,22 +13,24 @@ one exchange by session for the first step that looks at several.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gistline import schema
 from gistline.functions import jsontext as J
-from gistline.functions.formats import detect_format
-from gistline.functions.regex import matches
-from gistline.functions.text import rule_lines
+from gistline.functions.formats import with_format
+from gistline.functions.regex import matches, translate, translate_column
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
-from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output
+from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output, explode_lines
 from gistline.operators.scan import WINDOW
 from gistline.operators.versions import active_profile
-from gistline.session import fits_broadcast, lookup
+from gistline.session import checkpoint, fits_broadcast, local_frame, lookup
 
 # Fixed values.
 MAX_STEPS = 10_000_000
@@ -45,10 +47,26 @@ FIELDS = {
 }
 
 
+# Up to this many rule sets are written into the plan; more reach it by lookups.
+PLAN_RULE_SETS = 64
+
+RULES = T.StructType([
+    T.StructField("rule_key", T.LongType()), T.StructField("fingerprint", T.StringType()),
+    T.StructField("version", T.StringType()), T.StructField("profile_id", T.LongType()),
+    T.StructField("tier", T.StringType()), T.StructField("steps", T.ArrayType(schema.RULE)),
+    T.StructField("invariants", T.ArrayType(schema.INVARIANT)),
+])
+
+
 @dataclass(frozen=True)
 class RuleTable:
+    """Rule sets laid over common steps: ``rules`` has one row per rule set, whose ``steps``
+    array holds a rule or null for each step. ``known`` are the same rows on the driver when
+    they are few; ``rule_key`` is then their position in it."""
+
     steps: list[str]
-    rules: DataFrame  # rule_key, fingerprint, profile_id, version, tier, steps array<rule>
+    rules: DataFrame
+    known: list[dict] | None
     small: bool
 
     def attach(self, df: DataFrame, columns: list[str], on: str, how: str = "left") -> DataFrame:
@@ -58,8 +76,15 @@ class RuleTable:
         return lookup(df, narrow, [on], how, measure=False)
 
     def at_step(self, df: DataFrame, i: int) -> DataFrame:
-        """Lines with ``__r``, their rule for this step, or null."""
+        """Lines with ``__r``, their rule for this step, or null. Patterns are translated."""
         wanted = FIELDS[self.steps[i]]
+        if self.known is not None:
+            rules = [p["steps"][i] and {"kind": self.steps[i], **{f: p["steps"][i][f] for f in wanted}}
+                     for p in self.known]
+            part = T.ArrayType(T.StructType([schema.RULE["kind"], *[schema.RULE[f] for f in wanted]]))
+            # One folded literal, read by position.
+            literal = F.from_json(F.lit(json.dumps(rules)), part)
+            return df.withColumn("__r", F.get(literal, F.col("rule_key").cast("int")))
         rule = F.get("steps", F.lit(i))
         part = F.struct(rule["kind"].alias("kind"), *[rule[f].alias(f) for f in wanted])
         users = self.rules.where(rule.isNotNull()).select("rule_key", part.alias("__r"))
@@ -68,12 +93,33 @@ class RuleTable:
         return lookup(df, users, ["rule_key"], "left", measure=False)
 
 
+def _translated(rule: dict) -> dict:
+    out = dict(rule)
+    for f in ("pattern", "pattern2"):
+        out[f] = rule[f] and translate(rule[f])
+    out["states"] = rule["states"] and [
+        {"name": s["name"], "enter": translate(s["enter"]), "keep": [translate(p) for p in s["keep"] or ()],
+         "drop": [translate(p) for p in s["drop"] or ()]} for s in rule["states"]]
+    return out
+
+
+def _translated_column(rule: Column) -> Column:
+    states = F.transform(rule["states"], lambda s: F.struct(
+        s["name"].alias("name"), translate_column(s["enter"]).alias("enter"),
+        F.transform(s["keep"], translate_column).alias("keep"), F.transform(s["drop"], translate_column).alias("drop")))
+    return rule.withField("pattern", translate_column(rule["pattern"])).withField(
+        "pattern2", translate_column(rule["pattern2"])).withField("states", states)
+
+
 def common_sequence(sequences: list[tuple[str, ...]]) -> list[str]:
-    """A short sequence of kinds that contains every given one in order."""
+    """A short sequence of kinds that contains every given one in order. Among equally short
+    ones, steps that look at one line come first, so that they run before the exchange."""
+
+    def cost(s: tuple) -> tuple[int, int]:
+        first = next((i for i, k in enumerate(s) if k not in ONE_LINE), len(s))
+        return len(s), sum(k in ONE_LINE for k in s[first:])
 
     def merge(a: tuple, b: tuple) -> tuple:
-        if not a or not b:
-            return a or b
         best: dict[tuple[int, int], tuple] = {}
         for i in range(len(a), -1, -1):
             for j in range(len(b), -1, -1):
@@ -82,10 +128,11 @@ def common_sequence(sequences: list[tuple[str, ...]]) -> list[str]:
                 elif a[i] == b[j]:
                     best[i, j] = (a[i], *best[i + 1, j + 1])
                 else:
-                    best[i, j] = min((a[i], *best[i + 1, j]), (b[j], *best[i, j + 1]), key=len)
+                    best[i, j] = min((a[i], *best[i + 1, j]), (b[j], *best[i, j + 1]), key=cost)
         return best[0, 0]
 
-    ordered = sorted(set(sequences), key=lambda s: (-len(s), s))
+    # Longest first; among those, the ones that bring the most one-line steps.
+    ordered = sorted(set(sequences), key=lambda s: (-len(s), -sum(k in ONE_LINE for k in s), s))
     return list(fold(merge, ordered, ()))
 
 
@@ -99,23 +146,42 @@ def _places(sequence: tuple[str, ...], steps: list[str]) -> list[int]:
 
 
 def compile_rules(profiles: DataFrame) -> RuleTable:
-    """Lay rule sets over common steps. Only the distinct kind sequences reach the driver:
-    the bundled rule sets have nine, and learned ones add one or two, however many there are."""
+    """Lay rule sets over common steps.
+
+    A few rule sets are read to the driver and become literals. Of many, only the distinct
+    kind sequences reach the driver, which are few: the bundled rule sets have nine, and
+    learned ones add two, however many there are.
+    """
+    spark = profiles.sparkSession
+    first = [r.asDict(recursive=True) for r in profiles.limit(PLAN_RULE_SETS + 1).collect()]
+    if len(first) <= PLAN_RULE_SETS:
+        steps = common_sequence([tuple(r["kind"] for r in p["rules"]) for p in first])
+        known = []
+        for key, p in enumerate(first):
+            stored = p["provenance"] != "bundled"
+            places = _places(tuple(r["kind"] for r in p["rules"]), steps)
+            known.append({
+                "rule_key": key, "fingerprint": p["fingerprint"], "version": p["version"],
+                "profile_id": p["profile_id"] if stored else None, "tier": "learned" if stored else "bundled",
+                "steps": [_translated(p["rules"][places.index(k)]) if k in places else None for k in range(len(steps))],
+                "invariants": p["invariants"]})
+        return RuleTable(steps, local_frame(spark, known, RULES), known, True)
+
+    profiles = checkpoint(profiles)
     kinds = F.transform("rules", lambda r: r["kind"])
     sequences = [tuple(r.k) for r in profiles.select(kinds.alias("k")).distinct().collect()]
     steps = common_sequence(sequences)
-    spark = profiles.sparkSession
     placed = spark.createDataFrame(
         [(list(s), _places(s, steps)) for s in sequences], "kinds array<string>, places array<int>")
     df = profiles.withColumn("kinds", kinds).join(F.broadcast(placed), "kinds")
     slots = F.transform(F.sequence(F.lit(0), F.lit(max(len(steps) - 1, 0))), lambda k: F.get(
-        F.col("rules"), (F.array_position(F.col("places"), k) - 1).cast("int")))
-    rules = df.select(
+        F.transform("rules", _translated_column), (F.array_position(F.col("places"), k) - 1).cast("int")))
+    stored = F.col("provenance") != "bundled"
+    rules = checkpoint(df.select(
         F.col("profile_id").alias("rule_key"), "fingerprint", "version",
-        F.when(F.col("provenance") != "bundled", F.col("profile_id")).alias("profile_id"),
-        F.when(F.col("provenance") == "bundled", "bundled").otherwise("learned").alias("tier"),
-        slots.alias("steps"), "invariants")
-    return RuleTable(steps, rules, fits_broadcast(rules))
+        F.when(stored, F.col("profile_id")).alias("profile_id"),
+        F.when(stored, "learned").otherwise("bundled").alias("tier"), slots.alias("steps"), "invariants"))
+    return RuleTable(steps, rules, None, fits_broadcast(rules))
 
 
 def choose_profiles(bundled: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -164,18 +230,21 @@ def _json_step(df: DataFrame, kind: str, when: Column) -> DataFrame:
     """JSON steps work on the whole text of the sessions that use them. Each distinct path
     list is a literal plan, because the JSON functions need literal paths."""
     names = [c for c in df.columns if not c.startswith("__")]
-    rest = df.where(~when).select(names)
     users = df.where(when)
-    change = J.json_path_keep if kind == "json_path_keep" else J.json_path_drop
-    key = users.groupBy("session_id").agg(F.first("rule_key").alias("rule_key"), F.first("__r.paths").alias("paths"))
-    texts = assemble_output(users).join(key, "session_id").withColumn("text", F.rtrim("text", F.lit("\n")))
-    out = F.col("text")
-    for row in users.select("__r.paths").distinct().collect():
-        out = F.when(F.col("paths") == F.array(*[F.lit(p) for p in row.paths]), change(F.col("text"), row.paths)).otherwise(out)
-    changed = texts.select("session_id", "rule_key", F.posexplode(rule_lines(out)).alias("line_no", "text"))
-    return rest.unionByName(changed.select(
-        "session_id", "rule_key", F.col("line_no").cast("bigint").alias("line_no"),
-        F.lit(0).cast("bigint").alias("sub_no"), "text", F.lit(False).alias("is_placeholder")), True)
+    paths = F.to_json(F.col("__r.paths"))
+    extra = [c for c in names if c not in ("session_id", "line_no", "sub_no", "text", "is_placeholder")]
+    key = users.groupBy("session_id").agg(*[F.first(c).alias(c) for c in extra], F.first(paths).alias("__paths"))
+    texts = assemble_output(users).join(key, "session_id").withColumn(
+        "text", F.regexp_replace("text", r"\n\z", ""))
+    out = df.where(~when).select(names)
+    for row in users.select(F.col("__r.paths").alias("p")).distinct().collect():
+        mine = texts.where(F.col("__paths") == F.to_json(F.array(*[F.lit(p) for p in row.p])))
+        if kind == "json_path_keep":
+            changed = mine.withColumn("text", J.json_path_keep(F.col("text"), row.p))
+        else:
+            changed = J.json_path_drop(mine, "text", row.p)
+        out = out.unionByName(explode_lines(changed, keep=tuple(extra)).select(names))
+    return out
 
 
 def apply_rules(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
@@ -190,7 +259,8 @@ def clean_and_dispatch(sessions: DataFrame, table: RuleTable) -> DataFrame:
     keep = ("fingerprint", "rule_key", "profile_id", "version", "tier")
     dispatched = dispatch_profile(sessions.select("session_id", "fingerprint", "text"), table)
     arrays = clean_arrays(dispatched, keep)
-    return arrays.withColumn("format", F.when(F.col("tier") == "format", detect_format(clean_output())))
+    unmatched = arrays.withColumn("_out", F.when(F.col("tier") == "format", clean_output()))
+    return with_format(unmatched, "_out").drop("_out")
 
 
 def reduce_sessions(sessions: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -69,3 +72,8 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
 
 def _hashable(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() not in ("map", "variant")
+
+
+def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A handful of driver rows as a local relation, which plans fold instead of scanning."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)

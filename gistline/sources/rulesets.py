@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gistline import schema
+from gistline.session import local_frame
 
 
 def keep(p):
@@ -123,15 +124,11 @@ RULESETS = [
 ]
 
 
-def _full(fields: dict, struct) -> tuple:
-    return tuple(fields.get(f.name) for f in struct.fields)
-
-
 def load_profiles(spark: SparkSession) -> DataFrame:
     """The bundled rule sets as profile rows; ids are negative so that none is a stored id."""
     rows = [
-        (-i, fp, version, "1.0", "bundled", "active", 0, claim,
-         [_full(r, schema.RULE) for r in rules], [_full(v, schema.INVARIANT) for v in invariants])
+        {"profile_id": -i, "fingerprint": fp, "version": version, "schema": "1.0", "provenance": "bundled",
+         "status": "active", "created_at": 0, "format_claim": claim, "rules": rules, "invariants": invariants}
         for i, (fp, version, claim, rules, invariants) in enumerate(RULESETS, 1)
     ]
-    return spark.createDataFrame(rows, schema.PROFILES)
+    return local_frame(spark, rows, schema.PROFILES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gistline import schema
 from gistline.functions import metrics as M
-from gistline.functions.redaction import redact_builtin
+from gistline.functions.redaction import redact_text
 from gistline.functions.text import TAG
 
 
@@ -78,7 +78,8 @@ def open_raw(sealed: DataFrame, key: Column, redacted: bool = True) -> DataFrame
     body = F.aes_decrypt(F.substring("sealed", 2, 2_147_483_647), key, F.lit("GCM")).cast("string")
     is_sealed = F.hex(F.substring("sealed", 1, 1)) == "01"
     text = F.when(is_sealed, body).otherwise(F.col("sealed").cast("string"))
-    return sealed.withColumn("text", redact_builtin(text) if redacted else text).drop("sealed")
+    opened = sealed.withColumn("text", text).drop("sealed")
+    return redact_text(opened) if redacted else opened
 
 
 def record_access(session_ids: DataFrame, path: str, at: int) -> None:
