@@ -83,10 +83,9 @@ def near_duplicate_by_agent(runs: DataFrame, seconds: int = NEAR_SECONDS) -> Dat
     """The scaled form: an earlier run of the same agent and fingerprint at most ``seconds``
     ago. Only the latest earlier run matters, so it is a look-back and no join of pairs."""
     order = BlockScan(None, ("agent", "fingerprint"), ("started_at", "run_id"))
-    df = order.scan(runs.select("run_id", "agent", "fingerprint", "started_at"),
-                    prev("last_at", F.col("started_at")))
+    df = order.scan(runs, prev("last_at", F.col("started_at")))
     near = F.coalesce(F.col("started_at") - F.col("last_at") <= seconds, F.lit(False))
-    return df.select("run_id", "agent", "fingerprint", "started_at", near.alias("near_duplicate"))
+    return df.withColumn("near_duplicate", near).drop("last_at")
 
 
 def number_runs(runs: DataFrame) -> DataFrame:

@@ -71,7 +71,8 @@ def doubling_checkpoint(n: Column, base: int = LOCK_IN) -> Column:
 
 def _sample_lines(samples: DataFrame) -> DataFrame:
     split = with_check_lines(samples, "_l", F.col("text"))
-    return split.select("fingerprint", "sample_id", "captured_at", F.posexplode("_l").alias("line_no", "line"))
+    return split.select("fingerprint", "sample_id", "captured_at", F.posexplode_outer("_l").alias("line_no", "line")).where(
+        "line_no is not null")
 
 
 def classify_lines(samples: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def classify_lines(samples: DataFrame) -> DataFrame:
 def constant_lines(samples: DataFrame) -> DataFrame:
     """Non-blank lines that occur, anywhere, in all samples of a fingerprint."""
     split = with_check_lines(samples, "_l", F.col("text"))
-    seen = split.select("fingerprint", F.explode(F.array_distinct("_l")).alias("line"))
+    seen = split.select("fingerprint", F.explode_outer(F.array_distinct("_l")).alias("line")).where("line is not null")
     counts = seen.where(~is_blank(F.col("line"))).groupBy("fingerprint", "line").agg(F.count(F.lit(1)).alias("c"))
     n = sample_count(samples)
     return lookup(counts, n, ["fingerprint"], "inner").where("c = n_samples").select("fingerprint", "line")

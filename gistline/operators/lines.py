@@ -1,4 +1,9 @@
-"""Texts to ordered lines and back."""
+"""Texts to ordered lines and back.
+
+Arrays are exploded with the outer form and a filter on the result: for the plain form the
+optimizer adds a filter on the array, pushes it below the steps that made the array, and so
+makes it twice.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ def explode_lines(sessions: DataFrame, check: bool = False, keep: tuple[str, ...
     split where its row is."""
     step = T.with_check_lines if check else T.with_lines
     split = step(sessions.select("session_id", *keep, "text"), "_l", F.col("text"))
-    return split.select("session_id", *keep, F.posexplode("_l")).select(
+    return split.select("session_id", *keep, F.posexplode_outer("_l")).where("pos is not null").select(
         "session_id", *keep,
         F.col("pos").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
         F.col("col").alias("text"), F.lit(False).alias("is_placeholder"),
@@ -38,7 +43,7 @@ def clean_arrays(sessions: DataFrame, keep: tuple[str, ...] = (), name: str = "c
 
 
 def clean_lines(arrays: DataFrame, keep: tuple[str, ...] = (), name: str = "clean") -> DataFrame:
-    return arrays.select("session_id", *keep, F.explode(name).alias("_x")).select(
+    return arrays.select("session_id", *keep, F.explode_outer(name).alias("_x")).where("_x is not null").select(
         "session_id", *keep,
         F.col("_x.i").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
         F.col("_x.t").alias("text"), F.lit(False).alias("is_placeholder"),

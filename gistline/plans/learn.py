@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistline.operators import judge as G
 from gistline.operators import learn as L
 from gistline.operators.lines import explode_lines
+from gistline.session import checkpoint
 from gistline.plans.reduce import MAX_BYTES, MAX_STEPS, apply_rules, budget_guard, compile_rules, rule_cost
 
 
@@ -28,7 +29,7 @@ def self_test(samples: DataFrame, profiles: DataFrame, max_steps: int = MAX_STEP
         F.col("sample_id").cast("string").alias("session_id"), "fingerprint", "text"),
         ["rule_key"], "fingerprint", "inner").withColumn("profile_id", F.col("rule_key"))
     lines = explode_lines(sessions, keep=("rule_key", "profile_id"))
-    reduced = apply_rules(lines, table)
+    reduced = checkpoint(apply_rules(lines, table))  # read by several checks
     raw = explode_lines(sessions, True, ("profile_id",))
     checks = table.rules.select(F.col("rule_key").alias("profile_id"), "invariants")
     results = G.invariant_results(raw, reduced, sessions, checks)
@@ -47,7 +48,7 @@ def learn(samples: DataFrame, created_at: int) -> tuple[DataFrame, DataFrame]:
     ready = verdicts.where("should_lock").select("fingerprint")
     locked = samples.join(ready, "fingerprint", "left_semi")
     candidates = as_profiles(L.learn_profile(locked), created_at)
-    tests = self_test(locked, candidates)
+    tests = checkpoint(self_test(locked, candidates))
     passed = tests.where("passed").select("fingerprint")
     profiles = candidates.join(passed, "fingerprint", "left_semi").withColumn("status", F.lit("active"))
     return profiles, L.learning_runs(samples, verdicts, tests, created_at)

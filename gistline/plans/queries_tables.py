@@ -265,8 +265,7 @@ def judged(spark, d):
     rules = rule_table(spark)
     sessions = view(spark, d, "tools")
     reduced = R.reduce_sessions(sessions, rules).where("line_no % 4 <> 2")
-    texts = N.assemble_output(reduced)
-    return judge(R.dispatch_profile(sessions, rules), reduced, rules, texts)
+    return judge(R.dispatch_profile(sessions, rules), reduced, rules)
 
 
 @query("invariant_results", twin("tools_clean", JUDGED + """select session_id, name, "check", passed, case when passed then null
@@ -455,7 +454,8 @@ def _(spark, d):
 select run_id, agent, fingerprint, started_at, coalesce(started_at - lag(started_at) over (partition by agent, fingerprint
  order by started_at, run_id) <= 600, false) as near_duplicate from runs"""))
 def _(spark, d):
-    return B.near_duplicate_by_agent(view(spark, d, "runs"), seconds=600)
+    return B.near_duplicate_by_agent(view(spark, d, "runs"), seconds=600).select(
+        "run_id", "agent", "fingerprint", "started_at", "near_duplicate")
 
 
 @query("bypass_events", twin("part_argvs", """

@@ -301,13 +301,16 @@ def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     peak = F.greatest(*[F.sum(c) for c in sums], zero)
     parts.append(marked.groupBy("session_id").agg(F.sum("__visits").alias("steps"), peak.alias("peak")))
     alive = marked.where("__alive").drop("__alive", "__visits", *sums)
+    if i < len(table.steps):
+        alive = checkpoint(alive)  # read once per later step
     for k in range(i, len(table.steps)):
         kind = table.steps[k]
         df = table.at_step(alive, k)
+        # What a session holds before this step is what it held after its last one.
         parts.append(_step_cost(df, kind, order))
         alive = apply_step(df, kind, order).drop("__r")
-        after = table.at_step(alive, k).where("__r is not null").groupBy("session_id").agg(F.sum(size).alias("peak"))
-        parts.append(after.select("session_id", zero.alias("steps"), "peak"))
+    if i < len(table.steps):
+        parts.append(alive.groupBy("session_id").agg(zero.alias("steps"), F.sum(size).alias("peak")))
     every = fold(DataFrame.unionByName, parts)
     return every.groupBy("session_id").agg(F.sum("steps").alias("steps"), F.max("peak").alias("peak_bytes"))
 
@@ -325,26 +328,26 @@ def _stays(kind: str) -> Column:
 
 
 def _step_cost(df: DataFrame, kind: str, order) -> DataFrame:
-    used = df.where("__r is not null")
+    used = F.col("__r").isNotNull()
     n = F.count(F.lit(1))
     if kind in ("head_after", "tail_before"):
         hit = ~F.col("is_placeholder") & matches(F.col("text"), F.col("__r.pattern"))
-        used = O.order_rows(used, order).withColumn("__at", F.when(hit, F.col("__rn")))
-        limit = F.first("__r.n")
-        anchor = F.min("__at")
+        df = O.order_rows(df, order).withColumn("__at", F.when(hit, F.col("__rn")))
+        limit, anchor = F.max("__r.n"), F.min("__at")
         if kind == "head_after":
             visits = F.least(n, F.coalesce(anchor + limit + 1, n))
         else:
             visits = F.when(anchor.isNull(), n).otherwise(
                 anchor + n - F.greatest(anchor - 1 - limit, F.lit(0)))
     elif kind in ("head", "tail"):
-        visits = F.least(n, F.first("__r.n"))
+        visits = F.least(n, F.max("__r.n"))
     elif kind in ("truncate_to", "json_path_keep", "json_path_drop"):
         visits = F.lit(0)
     else:
         visits = n
-    return used.groupBy("session_id").agg(
-        visits.cast("bigint").alias("steps"), F.sum(F.octet_length("text").cast("bigint")).alias("peak"))
+    return df.groupBy("session_id").agg(
+        F.when(F.max(used), visits).otherwise(0).cast("bigint").alias("steps"),
+        F.sum(F.octet_length("text").cast("bigint")).alias("peak"))
 
 
 def budget_guard(cost: DataFrame, max_steps: int = MAX_STEPS, max_bytes: int = MAX_BYTES) -> DataFrame:

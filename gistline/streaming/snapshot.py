@@ -1,0 +1,47 @@
+"""State of a stream as a small versioned table.
+
+Version n is what is known after micro-batch n. A batch reads the version before its own and
+overwrites its own, so a batch that is run again after a failure gives the same state. The
+folder must be on storage that all executors share.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+KEPT_VERSIONS = 2
+
+
+class Snapshot:
+    def __init__(self, path: str, schema: T.StructType):
+        self.path, self.schema = path, schema
+
+    def _folder(self, spark: SparkSession):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        folder, fs = self._folder(spark)
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        done = spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(done(f"{self.path}/{n}/_SUCCESS")))
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        known = [v for v in self.versions(spark) if before is None or v < before]
+        if not known:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(f"{self.path}/{known[-1]}")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        df.select([f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        _, fs = self._folder(spark)
+        for old in [v for v in self.versions(spark) if v <= batch_id][:-KEPT_VERSIONS]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+
+
+def upsert(known: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    return known.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(known.columns))
