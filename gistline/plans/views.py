@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistline.session import spread
+
 NL = "chr(10)"
 
 
@@ -203,7 +205,10 @@ def _render(expr: str, dialect: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, exprs = VIEWS[name]
-    return table(spark, sf_dir, source).selectExpr(*[_render(e, "spark") for e in exprs])
+    rows = table(spark, sf_dir, source)
+    if source == "documents":
+        rows = spread(rows.select("doc_id", "source", "text"))
+    return rows.selectExpr(*[_render(e, "spark") for e in exprs])
 
 
 def _line_cte(name: str) -> str:

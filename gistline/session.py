@@ -20,6 +20,8 @@ SETTINGS = {
 # A table is broadcast only after its rows and its bytes were measured below these.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Below this much input per core a scan is spread before text work.
+SPREAD_BYTES = 16 * 1024 * 1024
 # Copies of each lookup row, and so the number of tasks a hot key is spread over.
 SALTS = 64
 
@@ -55,6 +57,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores.
+
+    A parquet file of one row group is one task, however many cores wait, and text work is
+    bound by the CPU. A scan of some size has tasks enough and is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Measure a lookup table. Two numbers reach the driver."""
     n, b = df.agg(
@@ -73,8 +87,10 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
     """
     if measure and fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.lit(salts))
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    # A random salt could differ when a lost task runs again; a hash of the row cannot.
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.lit(salts).cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    salted = small.withColumn("_salt", F.explode(copies))
     return big.withColumn("_salt", spread).join(salted, [*on, "_salt"], how).drop("_salt")
 
 

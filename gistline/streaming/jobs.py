@@ -88,8 +88,8 @@ def stream_near_duplicate(runs: DataFrame, state: Snapshot, path: str, checkpoin
         newest = F.max_by(F.struct(columns), F.struct("started_at", "run_id"))
         # A last run older than the look-back behind the newest row can match nothing more.
         keep = both.groupBy("agent", "fingerprint").agg(newest.alias("r")).select("r.*")
-        horizon = keep.agg(F.max("started_at").alias("top"))
-        state.write(keep.crossJoin(F.broadcast(horizon)).where(F.col("started_at") >= F.col("top") - seconds), batch_id)
+        top = both.agg(F.max("started_at")).first()[0]
+        state.write(keep.where(F.col("started_at") >= F.lit(top) - seconds), batch_id)
 
     return _run(runs, "append", handle, checkpoint, trigger)
 
