@@ -7,6 +7,7 @@ Output is compact JSON with sorted keys.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +15,11 @@ from pyspark.sql import functions as F
 
 
 def json_valid(text: Column) -> Column:
-    boxed = F.concat(F.lit("["), text, F.lit("]"))
+    """Strict: one document and nothing after it. As an object member the text must parse,
+    and as an array element it must be the only one; trailing text fails one or the other."""
     keyed = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    return (
-        F.try_parse_json(text).isNotNull()
-        & F.coalesce(F.json_array_length(boxed) == 1, F.lit(False))
-        & F.try_parse_json(boxed).isNotNull()
-        & F.try_parse_json(keyed).isNotNull()
-    )
+    boxed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.try_parse_json(keyed).isNotNull() & F.coalesce(F.json_array_length(boxed) == 1, F.lit(False))
 
 
 def segments(path: str) -> list[str | int] | None:
@@ -61,15 +59,14 @@ def json_get(document: Column, path: str) -> Column:
     return F.try_variant_get(document, variant_path(parts), "variant")
 
 
-def json_path_keep(text: Column, paths: list[str]) -> Column:
-    """Object that maps each path found, as written, to its value; other text is unchanged."""
-    document = F.try_parse_json(text)
-    entries = [
-        F.struct(F.lit(p).alias("key"), json_get(document, p).alias("value")) for p in sorted(set(paths))
-    ]
-    found = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    kept = F.to_json(F.map_from_entries(found))
-    return F.when(json_valid(text), kept).otherwise(text)
+def json_path_keep(df: DataFrame, column: str, paths: list[str]) -> DataFrame:
+    """Object that maps each path found, as written, to its value; other text is unchanged.
+    The document is parsed once, in a step of its own."""
+    df = df.withColumns({"_valid": json_valid(F.col(column)), "_doc": F.try_parse_json(F.col(column))})
+    members = [F.concat(F.lit(json.dumps(p, ensure_ascii=False) + ":"), F.to_json(json_get(F.col("_doc"), p)))
+               for p in sorted(set(paths))]
+    kept = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    return df.withColumn(column, F.when(F.col("_valid"), kept).otherwise(F.col(column))).drop("_valid", "_doc")
 
 
 def json_path_drop(df: DataFrame, column: str, paths: list[str]) -> DataFrame:

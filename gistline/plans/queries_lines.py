@@ -244,11 +244,13 @@ select session_id, case when not json_valid(text) then null else json_extract_st
  case when json_valid(text) then json_extract_string(text, '$.user.id') end as id,
  json_valid(text) as changed from event_json"""))
 def _(spark, d):
-    kept = J.json_path_keep(F.col("text"), ["$.level", "$.user.tags[1].t", "$.user.id", "$.user.missing"])
-    return view(spark, d, "event_json").select("session_id", kept.alias("k"), "text").select(
-        "session_id", *[F.try_variant_get(F.try_parse_json("k"), f'$["{p}"]', "string").alias(n) for p, n in
-                        (("$.level", "level"), ("$.user.tags[1].t", "tag"), ("$.user.id", "id"))],
-        (F.col("k") != F.col("text")).alias("changed"))
+    rows = view(spark, d, "event_json").select("session_id", "text", F.col("text").alias("k"))
+    kept = J.json_path_keep(rows, "k", ["$.level", "$.user.tags[1].t", "$.user.id", "$.user.missing"])
+    found = F.from_json("k", "struct<`$.level` string, `$.user.tags[1].t` string, `$.user.id` string>")
+    changed = F.col("k") != F.col("text")
+    return kept.select("session_id", F.when(changed, found).alias("f"), changed.alias("changed")).select(
+        "session_id", F.col("f")["$.level"].alias("level"), F.col("f")["$.user.tags[1].t"].alias("tag"),
+        F.col("f")["$.user.id"].alias("id"), "changed")
 
 
 @query("json_path_drop", twin("event_json", """

@@ -239,10 +239,8 @@ def _json_step(df: DataFrame, kind: str, when: Column) -> DataFrame:
     out = df.where(~when).select(names)
     for row in users.select(F.col("__r.paths").alias("p")).distinct().collect():
         mine = texts.where(F.col("__paths") == F.to_json(F.array(*[F.lit(p) for p in row.p])))
-        if kind == "json_path_keep":
-            changed = mine.withColumn("text", J.json_path_keep(F.col("text"), row.p))
-        else:
-            changed = J.json_path_drop(mine, "text", row.p)
+        change = J.json_path_keep if kind == "json_path_keep" else J.json_path_drop
+        changed = change(mine, "text", row.p)
         out = out.unionByName(explode_lines(changed, keep=tuple(extra)).select(names))
     return out
 
