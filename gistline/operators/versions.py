@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gistline.session import lookup
+
 
 def _newest_first() -> list:
     return [F.desc("created_at"), F.desc("profile_id")]
@@ -23,32 +25,31 @@ def active_profile(profiles: DataFrame) -> DataFrame:
 def promote(profiles: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each candidate id becomes active; what was active for its fingerprint is superseded.
     With several candidates for a fingerprint the last id wins, as if promoted in turn."""
-    chosen = profiles.join(candidates.select("profile_id").distinct(), "profile_id", "left_semi").groupBy(
-        "fingerprint").agg(F.max("profile_id").alias("_new"),
-                           F.collect_set("profile_id").alias("_all"))
-    df = profiles.join(chosen, "fingerprint", "left")
+    marked = profiles.join(candidates.select("profile_id").distinct().withColumn("_cand", F.lit(True)),
+                           "profile_id", "left")
+    new = marked.where("_cand").groupBy("fingerprint").agg(F.max("profile_id").alias("_new"))
+    df = lookup(marked, new, ["fingerprint"])
     status = (
         F.when(F.col("profile_id") == F.col("_new"), "active")
-        .when(F.coalesce(F.array_contains("_all", F.col("profile_id")), F.lit(False)), "superseded")
+        .when(F.col("_cand"), "superseded")
         .when(F.col("_new").isNotNull() & (F.col("status") == "active"), "superseded")
         .otherwise(F.col("status")))
-    return df.withColumn("status", status).drop("_new", "_all").select(profiles.columns)
+    return df.withColumn("status", status).select(profiles.columns)
 
 
 def rollback(profiles: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
     """The newest superseded row becomes active and the active one superseded; a
     fingerprint without a superseded row does not change."""
-    target = profiles.where("status = 'superseded'")
-    if fingerprints is not None:
-        target = target.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    back = target.groupBy("fingerprint").agg(
+    back = profiles.where("status = 'superseded'").groupBy("fingerprint").agg(
         F.max_by("profile_id", F.struct("created_at", "profile_id")).alias("_back"))
-    df = profiles.join(back, "fingerprint", "left")
+    if fingerprints is not None:
+        back = back.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    df = lookup(profiles, back, ["fingerprint"])
     status = (
         F.when(F.col("profile_id") == F.col("_back"), "active")
         .when(F.col("_back").isNotNull() & (F.col("status") == "active"), "superseded")
         .otherwise(F.col("status")))
-    return df.withColumn("status", status).drop("_back").select(profiles.columns)
+    return df.withColumn("status", status).select(profiles.columns)
 
 
 def revoke_profile(profiles: DataFrame, fingerprint: str) -> DataFrame:
@@ -87,8 +88,8 @@ def profile_usage(sessions: DataFrame, samples: DataFrame, profiles: DataFrame)
     used = sessions.where("profile_id is not null").groupBy("profile_id").agg(
         F.max("started_at").alias("last_used_at"), F.count(F.lit(1)).alias("uses"))
     counts = samples.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    df = profiles.select("profile_id", "fingerprint", "status").join(used, "profile_id", "left").join(
-        counts, "fingerprint", "left")
+    df = lookup(profiles.select("profile_id", "fingerprint", "status").join(used, "profile_id", "left"),
+                counts, ["fingerprint"])
     return df.select(
         "profile_id", "fingerprint", "last_used_at", F.coalesce("uses", F.lit(0)).alias("uses"),
         F.when(F.col("status") == "active", F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("sample_count"))

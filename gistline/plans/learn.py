@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gistline.operators import judge as G
 from gistline.operators import learn as L
 from gistline.operators.lines import explode_lines
-from gistline.session import checkpoint
+from gistline.session import checkpoint, lookup
 from gistline.plans.reduce import MAX_BYTES, MAX_STEPS, apply_rules, budget_guard, compile_rules, rule_cost
 
 
@@ -46,7 +46,7 @@ def learn(samples: DataFrame, created_at: int) -> tuple[DataFrame, DataFrame]:
     """New profiles (active, self-tested) and the outcome of the run per fingerprint."""
     verdicts = L.lock_in_verdict(samples)
     ready = verdicts.where("should_lock").select("fingerprint")
-    locked = samples.join(ready, "fingerprint", "left_semi")
+    locked = lookup(samples, ready, ["fingerprint"], "inner").select(samples.columns)
     candidates = as_profiles(L.learn_profile(locked), created_at)
     tests = checkpoint(self_test(locked, candidates))
     passed = tests.where("passed").select("fingerprint")

@@ -17,9 +17,10 @@ from gistline.operators import versions as V
 from gistline.plans import reduce as R
 from gistline.plans.judge import judge
 from gistline.plans.learn import as_profiles, learn, self_test
-from gistline.session import local_frame
 from gistline.plans.views import REGISTRY, table, twin, view
+from gistline.session import local_frame
 from gistline.sources.rulesets import RULESETS, load_profiles
+from gistline.sources.sessions import preserve_raw_policy, session_facts, session_mode
 
 query = REGISTRY.add
 NOW = 928_195_200  # a day inside the order dates
@@ -74,7 +75,9 @@ PROFILE_ID = "case fingerprint " + " ".join(
     f"when {quoted(r[0])} then {1000 + i}" for i, r in enumerate(RULESETS, 1) if i % 2 == 0) + " end"
 
 
-@query("load_profiles")
+@query("load_profiles", twin("tools", "with b(fingerprint, version, format_claim, n_rules) as (values " + ", ".join(
+    f"({quoted(r[0])}, {quoted(r[1])}, {quoted(r[2])}, {len(r[3])})" for r in RULESETS) + """)
+select b.*, n_sessions from b left join (select fingerprint, count(*) as n_sessions from tools group by 1) using (fingerprint)"""))
 def _(spark, d):
     used = view(spark, d, "tools").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_sessions"))
     return load_profiles(spark).select("fingerprint", "version", "format_claim", F.size("rules").alias("n_rules")).join(
@@ -111,6 +114,25 @@ def _(spark, d):
                        F.round("ratio", ROUND).alias("ratio"), "tokens_saved")
 
 
+@query("session_facts", twin("tools_clean", REDUCED + f""", out as (select session_id,
+ string_agg(text || chr(10), '' order by line_no) as c from reduced group by session_id),
+f as (select t.session_id, t.fingerprint, cast({PROFILE_ID.replace('fingerprint', 't.fingerprint', 1)} as bigint) as profile_id,
+ t.text, coalesce(c, '') as c from tools t left join out using (session_id))
+select session_id, fingerprint, profile_id, case when fingerprint <> 'psql' then sha256(text) end as raw_sha,
+ sha256(c) as compressed_sha, strlen(text) as raw_bytes, strlen(c) as compressed_bytes,
+ greatest(strlen(text) - strlen(c), 0) // 4 as tokens_saved,
+ case when fingerprint in ({STORED}, {BUNDLED}) then 'Full' else 'Passthrough' end as mode from f"""))
+def _(spark, d):
+    rules = rule_table(spark)
+    sessions = view(spark, d, "tools")
+    out = N.assemble_output(R.reduce_sessions(sessions, rules), sessions).withColumnRenamed("text", "compressed")
+    keyed = R.dispatch_profile(sessions.withColumnRenamed("text", "raw"), rules).join(out, "session_id")
+    return session_facts(keyed.withColumns({
+        "mode": session_mode(F.col("tier") != "format", F.lit(False)), "started_at": F.lit(NOW).cast("bigint"),
+        "exit_code": F.lit(0), "preserve_raw": preserve_raw_policy(F.col("fingerprint"), True, ["psql"], [])})).drop(
+        "started_at", "exit_code")
+
+
 def one_rule_set(spark, rules, fingerprint="all"):
     row = {"profile_id": 1, "fingerprint": fingerprint, "version": "1.0.0", "schema": "1.0", "provenance": "synthesized",
            "status": "active", "created_at": 0, "format_claim": "plain", "rules": rules, "invariants": []}
@@ -494,6 +516,13 @@ def _(spark, d):
     return B.rolling_bypass_score(view(spark, d, "bypass")).withColumn("score", F.round("score", ROUND))
 
 
+@query("number_runs", twin("bypass", SCORES + """select profile_id, session_id, row_number() over (partition by profile_id
+ order by latest, session_id) as run_no from s"""))
+def _(spark, d):
+    runs = B.session_scores(view(spark, d, "bypass")).withColumnRenamed("latest", "at")
+    return B.number_runs(runs).select("profile_id", "session_id", "run_no")
+
+
 @query("bypass_score_over_time", twin("bypass", SCORES + """, n as (select *, row_number() over (partition by profile_id
  order by latest, session_id) as run_no from s)
 select profile_id, run_no, round(avg(score) over (partition by profile_id order by run_no rows between 99 preceding and current row), 9)

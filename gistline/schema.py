@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 FORMATS = ("json", "ndjson", "diff", "stack_trace", "tabular", "log", "plain")
 MODES = ("Full", "Degraded", "Passthrough", "Shadow")
 STATUSES = ("pending", "active", "superseded", "quarantined")
-PROVENANCES = ("bundled", "synthesized", "llm_refined", "imported")
+PROVENANCES = ("bundled", "synthesized", "hand_tuned", "imported")
 
 RULE_KINDS = (
     "keep_lines", "drop_lines", "collapse_repeated", "collapse_between", "head", "tail",
