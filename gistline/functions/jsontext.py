@@ -76,9 +76,12 @@ def json_path_drop(df: DataFrame, column: str, paths: list[str]) -> DataFrame:
     for path in paths:
         parts = _drop_segments(path)
         if parts:
-            df = df.withColumn("_json", _remove(F.col("_json"), parts))
+            # Where nothing is at the path, looking is all there is to do.
+            found = F.try_variant_get(F.try_parse_json("_json"), variant_path(parts), "variant").isNotNull()
+            df = df.withColumn("_found", found).withColumn("_json", F.when(
+                F.col("_found"), _remove(F.col("_json"), parts)).otherwise(F.col("_json")))
     return df.withColumn(column, F.when(F.col("_valid"), F.col("_json")).otherwise(F.col(column))).drop(
-        "_valid", "_json")
+        "_valid", "_json", "_found")
 
 
 def _drop_segments(path: str) -> list[str | int] | None:

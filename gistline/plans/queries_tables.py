@@ -14,9 +14,11 @@ from gistline.operators import judge as G
 from gistline.operators import learn as L
 from gistline.operators import lines as N
 from gistline.operators import versions as V
+from gistline.operators.formats import detect_format_lines
 from gistline.plans import reduce as R
 from gistline.plans.judge import judge
 from gistline.plans.learn import as_profiles, learn, self_test
+from gistline.plans.queries_lines import FORMAT_CASE, flags_twin
 from gistline.plans.views import REGISTRY, table, twin, view
 from gistline.session import local_frame
 from gistline.sources.rulesets import RULESETS, load_profiles
@@ -139,6 +141,36 @@ def one_rule_set(spark, rules, fingerprint="all"):
     return R.compile_rules(local_frame(spark, [row], schema.PROFILES))
 
 
+LINE_RULES = [{"kind": "drop_lines", "pattern": "^TRACE"}, {"kind": "dedup"},
+              {"kind": "collapse_repeated", "pattern": "^(DEBUG|INFO)", "placeholder": "[... {count} ...]", "min": 2},
+              {"kind": "tail", "n": 40}]
+
+
+@query("reduce_lines", twin("event_lines", """
+with c as (select *, session_id like '%3' as ruled from (select *, lag(text) over (partition by session_id order by line_no) as p
+  from event_lines) where p is null or p <> text),
+d as (select * from (select * exclude (p), lag(text) over (partition by session_id order by line_no) as p from c
+  where not ruled or is_placeholder or text not like 'TRACE%') where not ruled or p is null or p <> text),
+h as (select *, ruled and not is_placeholder and regexp_matches(text, '^(DEBUG|INFO)') as hit from d),
+i as (select *, sum(case when hit then 0 else 1 end) over (partition by session_id order by line_no) as island from h),
+r as (select *, count(*) over (partition by session_id, island, hit) as len,
+  row_number() over (partition by session_id, island, hit order by line_no) as k from i),
+f as (select session_id, line_no, ruled, case when hit and len >= 2 then '[... ' || cast(len as varchar) || ' ...]' else text end as text,
+  is_placeholder or (hit and len >= 2) as is_placeholder from r where not hit or len < 2 or k = 1),
+n as (select *, row_number() over (partition by session_id order by line_no desc) as back from f)
+select session_id, line_no, text, is_placeholder from n where not ruled or back <= 40"""))
+def _(spark, d):
+    lines = view(spark, d, "event_lines").withColumn(
+        "fingerprint", F.when(F.col("session_id").endswith("3"), "all").otherwise("none"))
+    return R.reduce_lines(lines, one_rule_set(spark, LINE_RULES)).select("session_id", "line_no", "text", "is_placeholder")
+
+
+@query("detect_format_lines", flags_twin(f"select session_id, {FORMAT_CASE} as format from f where session_id in "
+                                         "(select session_id from format_texts_lines)"))
+def _(spark, d):
+    return detect_format_lines(N.explode_lines(view(spark, d, "format_texts"), check=True))
+
+
 COSTED = [
     {"kind": "strip_ansi"}, {"kind": "drop_lines", "pattern": "^tick"},
     {"kind": "keep_lines", "pattern": "[aeiou]"}, {"kind": "dedup"}, {"kind": "head_after", "n": 3, "pattern": "^error"},

@@ -27,8 +27,9 @@ from gistline.functions.formats import with_format
 from gistline.functions.regex import matches, translate, translate_column
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
+from gistline.operators.formats import detect_format_lines
 from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output, explode_lines
-from gistline.operators.scan import WINDOW
+from gistline.operators.scan import BLOCK_LINES, MAX_TASK_LINES, WINDOW, run_ordered
 from gistline.operators.versions import active_profile
 from gistline.session import checkpoint, fits_broadcast, local_frame, lookup
 
@@ -270,6 +271,28 @@ def reduce_sessions(sessions: DataFrame, table: RuleTable, order=WINDOW) -> Data
     return apply_rules(lines, table, order)
 
 
+def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_LINES,
+                 block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Reduce sessions that come as line tables, of any length. Lines carry a fingerprint.
+
+    The same passes as for texts; here the repeats need the order of lines, so they run
+    under the plan the length of a session allows. JSON steps put a session together and are
+    for sessions that fit a row.
+    """
+    keyed = dispatch_profile(lines, table).drop("fingerprint", "version", "profile_id")
+    cleaned = S.strip_ansi(S.strip_cr(keyed))
+
+    def chain(df: DataFrame, order) -> DataFrame:
+        df = checkpoint(O.dedup_adjacent(df, order))  # read for the classes and for the rules
+        formats = detect_format_lines(df.where("tier = 'format'"), order).where("format = 'log'")
+        # Sessions too long for one task are few, so theirs is a small table.
+        tagged = df.join(F.broadcast(formats) if fits_broadcast(formats) else formats, "session_id", "left")
+        kept = S.drop_debug_lines(tagged.withColumn("format", F.coalesce("format", F.lit("")))).drop("format", "tier")
+        return apply_rules(kept, table, order)
+
+    return run_ordered(cleaned, chain, max_lines, block_lines)
+
+
 def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     """Per session: lines visited by all rules, and most bytes held before or after a rule.
 
@@ -299,10 +322,10 @@ def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     peak = F.greatest(*[F.sum(c) for c in sums], zero)
     parts.append(marked.groupBy("session_id").agg(F.sum("__visits").alias("steps"), peak.alias("peak")))
     alive = marked.where("__alive").drop("__alive", "__visits", *sums)
-    if i < len(table.steps):
-        alive = checkpoint(alive)  # read once per later step
     for k in range(i, len(table.steps)):
         kind = table.steps[k]
+        # Read for the cost of this step and for the step itself.
+        alive = checkpoint(alive)
         df = table.at_step(alive, k)
         # What a session holds before this step is what it held after its last one.
         parts.append(_step_cost(df, kind, order))

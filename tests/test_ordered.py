@@ -46,7 +46,7 @@ def sessions():
     pool = ["x", "xx", "A", "B", "T", "é", "y", "z", "A x", ""]
     return {
         f"s{i}": [(rng.choice(pool), rng.random() < 0.1) for _ in range(rng.randint(1, 25))]
-        for i in range(120)
+        for i in range(80)
     }
 
 

@@ -106,6 +106,16 @@ def test_all_rule_kinds_in_one_table(spark, profiles, sessions, mode, monkeypatc
     assert collected(R.reduce_sessions(sessions, table)) == expected(sessions)
 
 
+def test_line_tables_of_any_length(spark, profiles, sessions):
+    some = "fingerprint in ('one', 'two', 'none')"
+    table = R.compile_rules(profiles.where(some))
+    texts = sessions.where(some)
+    lines = N.explode_lines(texts, keep=("fingerprint",)).repartition(3)
+    want = expected(texts)
+    assert collected(R.reduce_lines(lines, table)) == want
+    assert collected(R.reduce_lines(lines, table, max_lines=9, block_lines=4)) == want
+
+
 def test_reduce_reads_the_table_once_with_one_exchange(spark, sf_dir):
     from gistline.plans.views import view
 
@@ -128,7 +138,8 @@ def test_common_sequence_contains_all():
 def test_rule_cost_and_guard(spark, profiles, sessions):
     table = R.compile_rules(profiles)
     lines = N.clean_lines(R.clean_and_dispatch(sessions, table), ("rule_key",))
-    got = {r.session_id: (r.steps, r.peak_bytes) for r in R.rule_cost(lines, table).collect()}
+    cost = R.rule_cost(lines, table).cache()
+    got = {r.session_id: (r.steps, r.peak_bytes) for r in cost.collect()}
     for s in sessions.collect():
         if s.fingerprint not in ("one", "two", "three", "four"):
             continue
@@ -153,7 +164,7 @@ def test_rule_cost_and_guard(spark, profiles, sessions):
             peak = max(peak, sum(len(t.encode()) for t, _ in now))
         SETS.pop("tmp", None)
         assert got[s.session_id] == (steps, peak), s
-    guard = R.budget_guard(R.rule_cost(lines, table), max_steps=20)
+    guard = R.budget_guard(cost, max_steps=20)
     assert 0 < guard.where("aborted").count() < guard.count()
     reduced = R.apply_rules(lines, table)
     out = collected(R.guarded_output(reduced, lines, guard))
