@@ -134,5 +134,13 @@ def string_field(text: Column, field: str) -> Column:
     )
 
 
-def ndjson_keeps(text: Column, field: str, keep_values: list[str]) -> Column:
-    return F.coalesce(string_field(text, field).isin(*keep_values), F.lit(False))
+def ndjson_keeps(text: Column, field: str | Column, keep_values: list[str] | Column) -> Column:
+    """Whether a line is JSON with a string member whose value is in the list."""
+    if isinstance(field, str):
+        return F.coalesce(string_field(text, field).isin(*keep_values), F.lit(False))
+    # A member name held in a column: read the members as a map.
+    members = F.from_json(text, "map<string,variant>")
+    value = F.get(F.map_values(F.map_filter(members, lambda k, v: k == field)), F.lit(0))
+    found = (F.schema_of_variant(value) == "STRING") & F.array_contains(
+        keep_values, F.try_variant_get(value, "$", "string"))
+    return F.coalesce(json_valid(text) & found, F.lit(False))

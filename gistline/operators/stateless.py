@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistline.functions import text as T
-from gistline.functions.jsontext import ndjson_keeps, string_field
+from gistline.functions.jsontext import ndjson_keeps
 from gistline.functions.regex import matches
 from gistline.operators.lines import active, verbatim
 
@@ -33,16 +33,7 @@ def strip_cr(lines: DataFrame) -> DataFrame:
 
 def ndjson_filter(lines: DataFrame, field: str | Column, keep_values: list[str] | Column,
                   when: Column | None = None) -> DataFrame:
-    if isinstance(field, str):
-        kept = ndjson_keeps(F.col("text"), field, list(keep_values))
-    else:
-        # A member name held in a column: read the members as a map.
-        members = F.from_json("text", "map<string,variant>")
-        value = F.get(F.map_values(F.map_filter(members, lambda k, v: k == field)), F.lit(0))
-        is_string = F.schema_of_variant(value) == "STRING"
-        kept = F.coalesce(
-            string_field(F.col("text"), "").isNull() & is_string
-            & F.array_contains(keep_values, F.try_variant_get(value, "$", "string")), F.lit(False))
+    kept = ndjson_keeps(F.col("text"), field, keep_values)
     return lines.where(~verbatim(when) | kept)
 
 

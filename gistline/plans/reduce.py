@@ -94,6 +94,18 @@ class RuleTable:
         return lookup(df, users, ["rule_key"], "left", measure=False)
 
 
+    def paths_at(self, i: int) -> list[list[str]]:
+        """The distinct path lists of a JSON step, read from the rules and not from the lines."""
+        if not self.steps[i].startswith("json"):
+            return []
+        if self.known is not None:
+            lists = [p["steps"][i]["paths"] for p in self.known if p["steps"][i]]
+        else:
+            paths = F.get("steps", F.lit(i))["paths"].alias("p")
+            lists = [r.p for r in self.rules.select(paths).distinct().where("p is not null").collect()]
+        return [list(p) for p in sorted(set(map(tuple, lists)))]
+
+
 def _translated(rule: dict) -> dict:
     out = dict(rule)
     for f in ("pattern", "pattern2"):
@@ -199,7 +211,7 @@ def dispatch_profile(sessions: DataFrame, table: RuleTable) -> DataFrame:
     return df.withColumn("tier", F.coalesce("tier", F.lit("format")))
 
 
-def apply_step(df: DataFrame, kind: str, order=WINDOW) -> DataFrame:
+def apply_step(df: DataFrame, kind: str, order=WINDOW, path_lists: list | None = None) -> DataFrame:
     """One step on lines that carry their rule as ``__r``."""
     r, when = (lambda f: F.col(f"__r.{f}")), F.col("__r").isNotNull()
     if kind == "strip_ansi":
@@ -224,32 +236,33 @@ def apply_step(df: DataFrame, kind: str, order=WINDOW) -> DataFrame:
         return O.state_machine(df, r("states"), order, when)
     if kind == "truncate_to":
         return O.truncate_to(df, r("bytes"), order, when)
-    return _json_step(df, kind, when)
+    return _json_step(df, kind, path_lists or [])
 
 
-def _json_step(df: DataFrame, kind: str, when: Column) -> DataFrame:
-    """JSON steps work on the whole text of the sessions that use them. Each distinct path
-    list is a literal plan, because the JSON functions need literal paths."""
+def _json_step(df: DataFrame, kind: str, path_lists: list[list[str]]) -> DataFrame:
+    """JSON steps work on the whole text of the sessions that use them; a text that is no
+    JSON keeps its lines. Each distinct path list is a literal plan, because the JSON
+    functions need literal paths."""
     names = [c for c in df.columns if not c.startswith("__")]
-    users = df.where(when)
-    paths = F.to_json(F.col("__r.paths"))
+    df = checkpoint(df)  # read for the texts and for the lines that stay
+    users = df.where("__r is not null")
     extra = [c for c in names if c not in ("session_id", "line_no", "sub_no", "text", "is_placeholder")]
-    key = users.groupBy("session_id").agg(*[F.first(c).alias(c) for c in extra], F.first(paths).alias("__paths"))
-    texts = assemble_output(users).join(key, "session_id").withColumn(
-        "text", F.regexp_replace("text", r"\n\z", ""))
-    out = df.where(~when).select(names)
-    for row in users.select(F.col("__r.paths").alias("p")).distinct().collect():
-        mine = texts.where(F.col("__paths") == F.to_json(F.array(*[F.lit(p) for p in row.p])))
-        change = J.json_path_keep if kind == "json_path_keep" else J.json_path_drop
-        changed = change(mine, "text", row.p)
-        out = out.unionByName(explode_lines(changed, keep=tuple(extra)).select(names))
+    key = users.groupBy("session_id").agg(
+        *[F.first(c).alias(c) for c in extra], F.first(F.to_json("__r.paths")).alias("__paths"))
+    texts = assemble_output(users).withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    documents = texts.where(J.json_valid(F.col("text"))).join(key, "session_id")
+    out = df.join(documents.select("session_id"), "session_id", "left_anti").select(names)
+    change = J.json_path_keep if kind == "json_path_keep" else J.json_path_drop
+    for paths in path_lists:
+        mine = documents.where(F.col("__paths") == F.to_json(F.array(*[F.lit(p) for p in paths])))
+        out = out.unionByName(explode_lines(change(mine, "text", paths), keep=tuple(extra)).select(names))
     return out
 
 
 def apply_rules(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     """All steps over lines that carry ``rule_key``; lines without one are unchanged."""
     for i, kind in enumerate(table.steps):
-        lines = apply_step(table.at_step(lines, i), kind, order).drop("__r")
+        lines = apply_step(table.at_step(lines, i), kind, order, table.paths_at(i)).drop("__r")
     return lines
 
 
@@ -329,7 +342,7 @@ def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
         df = table.at_step(alive, k)
         # What a session holds before this step is what it held after its last one.
         parts.append(_step_cost(df, kind, order))
-        alive = apply_step(df, kind, order).drop("__r")
+        alive = apply_step(df, kind, order, table.paths_at(k)).drop("__r")
     if i < len(table.steps):
         parts.append(alive.groupBy("session_id").agg(zero.alias("steps"), F.sum(size).alias("peak")))
     every = fold(DataFrame.unionByName, parts)
@@ -342,10 +355,7 @@ def _stays(kind: str) -> Column:
         return F.coalesce(matches(text, F.col("__r.pattern")), F.lit(False))
     if kind == "drop_lines":
         return ~F.coalesce(matches(text, F.col("__r.pattern")), F.lit(False))
-    members = F.from_json(text, "map<string,variant>")
-    value = F.get(F.map_values(F.map_filter(members, lambda k, v: k == F.col("__r.field"))), F.lit(0))
-    return F.coalesce((F.schema_of_variant(value) == "STRING") & F.array_contains(
-        F.col("__r.keep_values"), F.try_variant_get(value, "$", "string")), F.lit(False))
+    return J.ndjson_keeps(text, F.col("__r.field"), F.col("__r.keep_values"))
 
 
 def _step_cost(df: DataFrame, kind: str, order) -> DataFrame:
