@@ -107,15 +107,20 @@ select fingerprint, count(*) as runs, cast(sum(raw) as bigint) as raw_bytes, cas
  round(sum(cmp) / sum(raw), 9) as ratio, cast(greatest(sum(raw) - sum(cmp), 0) // 4 as bigint) as tokens_saved
 from s group by fingerprint"""))
 def _(spark, d):
-    sessions = redact_text(view(spark, d, "tools"))
-    out = N.output_bytes(R.reduce_sessions(sessions, rule_table(spark)))
-    facts = sessions.select("session_id", "fingerprint", F.octet_length("text").cast("bigint").alias("raw_bytes"),
-                            F.lit("Full").alias("mode")).join(out, "session_id", "left")
-    gain = A.gain_by_fingerprint(facts, top=None)
+    sizes = R.session_sizes(redact_text(view(spark, d, "tools")), rule_table(spark))
+    gain = A.gain_by_fingerprint(sizes.withColumn("mode", F.lit("Full")), top=None)
     return gain.select("fingerprint", "runs", "raw_bytes", "compressed_bytes",
                        F.round("ratio", ROUND).alias("ratio"), "tokens_saved")
 
 
+@query("session_sizes", twin("tools_clean", REDUCED + """,
+out as (select session_id, sum(strlen(text) + 1) as cmp from reduced group by session_id)
+select t.session_id, t.fingerprint, strlen(t.text) as raw_bytes, cast(coalesce(cmp, 0) as bigint) as compressed_bytes
+from tools t left join out using (session_id)"""))
+def _(spark, d):
+    return R.session_sizes(view(spark, d, "tools"), rule_table(spark))
+
+
 @query("session_facts", twin("tools_clean", REDUCED + f""", out as (select session_id,
  string_agg(text || chr(10), '' order by line_no) as c from reduced group by session_id),
 f as (select t.session_id, t.fingerprint, cast({PROFILE_ID.replace('fingerprint', 't.fingerprint', 1)} as bigint) as profile_id,
@@ -127,9 +132,10 @@ select session_id, fingerprint, profile_id, case when fingerprint <> 'psql' then
 def _(spark, d):
     rules = rule_table(spark)
     sessions = view(spark, d, "tools")
-    out = N.assemble_output(R.reduce_sessions(sessions, rules), sessions).withColumnRenamed("text", "compressed")
-    keyed = R.dispatch_profile(sessions.withColumnRenamed("text", "raw"), rules).join(out, "session_id")
+    out = N.assemble_output(R.reduce_sessions(sessions, rules)).withColumnRenamed("text", "compressed")
+    keyed = R.dispatch_profile(sessions.withColumnRenamed("text", "raw"), rules).join(out, "session_id", "left")
     return session_facts(keyed.withColumns({
+        "compressed": F.coalesce("compressed", F.lit("")),
         "mode": session_mode(F.col("tier") != "format", F.lit(False)), "started_at": F.lit(NOW).cast("bigint"),
         "exit_code": F.lit(0), "preserve_raw": preserve_raw_policy(F.col("fingerprint"), True, ["psql"], [])})).drop(
         "started_at", "exit_code")

@@ -25,6 +25,7 @@ from gistline import schema
 from gistline.functions import jsontext as J
 from gistline.functions.formats import with_format
 from gistline.functions.regex import matches, translate, translate_column
+from gistline.functions.text import DEBUG_WORD, line_bytes
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
 from gistline.operators.formats import detect_format_lines
@@ -48,6 +49,8 @@ FIELDS = {
 }
 
 
+# First character of the key of a session's extra row; no session id starts with it.
+EXTRA = "\u0000"
 # Up to this many rule sets are written into the plan; more reach it by lookups.
 PLAN_RULE_SETS = 64
 
@@ -266,22 +269,51 @@ def apply_rules(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     return lines
 
 
-def clean_and_dispatch(sessions: DataFrame, table: RuleTable) -> DataFrame:
+def clean_and_dispatch(sessions: DataFrame, table: RuleTable, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cleaned line arrays with rule_key, and the format class where no rule set applies."""
-    keep = ("fingerprint", "rule_key", "profile_id", "version", "tier")
-    dispatched = dispatch_profile(sessions.select("session_id", "fingerprint", "text"), table)
-    arrays = clean_arrays(dispatched, keep)
+    dispatched = dispatch_profile(sessions.select("session_id", "fingerprint", "text", *keep), table)
+    arrays = clean_arrays(dispatched, ("fingerprint", "rule_key", "profile_id", "version", "tier", *keep))
     unmatched = arrays.withColumn("_out", F.when(F.col("tier") == "format", clean_output()))
     return with_format(unmatched, "_out").drop("_out")
 
 
+def _reduce(lines: DataFrame, table: RuleTable, order) -> DataFrame:
+    noise = (F.col("format") == "log") & matches(F.col("text"), DEBUG_WORD)
+    return apply_rules(lines.where(~F.coalesce(noise, F.lit(False))).drop("format"), table, order)
+
+
 def reduce_sessions(sessions: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     """Reduced lines of every session, with rule_key."""
     cleaned = clean_and_dispatch(sessions, table)
-    lines = clean_lines(cleaned, ("rule_key", "profile_id", "format"))
-    lines = lines.where(F.col("format").isNull() | (F.col("format") != "log") | ~matches(
-        F.col("text"), r"(?i)\b(debug|trace)\b")).drop("format")
-    return apply_rules(lines, table, order)
+    return _reduce(clean_lines(cleaned, ("rule_key", "profile_id", "format")), table, order)
+
+
+def session_sizes(sessions: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
+    """Raw and reduced bytes of every session, also of those no line is left of.
+
+    Joining the reduced lines back to the sessions would read, redact and clean all texts
+    twice. Instead each session sends one extra row along with its lines, under a key of its
+    own and without a rule, so that no step touches it; it carries the raw size to the sums.
+    """
+    raw = sessions.withColumn("raw_bytes", F.octet_length("text").cast("bigint"))
+    cleaned = clean_and_dispatch(raw, table, ("raw_bytes",))
+    extra = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("t"),
+                             F.lit(True).alias("fresh")))
+    rows = cleaned.select("session_id", "fingerprint", "rule_key", "format", "raw_bytes",
+                          F.explode(F.concat("clean", extra)).alias("_x"))
+    mark = F.col("_x.t").isNull()
+    lines = rows.select(
+        F.when(mark, F.concat(F.lit(EXTRA), "session_id")).otherwise(F.col("session_id")).alias("session_id"),
+        F.coalesce("_x.i", F.lit(0)).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("sub_no"),
+        F.col("_x.t").alias("text"), mark.alias("is_placeholder"),
+        *[F.when(~mark, F.col(c)).alias(c) for c in ("rule_key", "format")],
+        *[F.when(mark, F.col(c)).alias(c) for c in ("fingerprint", "raw_bytes")])
+    out = _reduce(lines, table, order)
+    is_extra = F.col("session_id").startswith(EXTRA)
+    own = F.when(is_extra, F.substring("session_id", 2, 2_147_483_647)).otherwise(F.col("session_id"))
+    return out.groupBy(own.alias("session_id")).agg(
+        F.max("fingerprint").alias("fingerprint"), F.max("raw_bytes").alias("raw_bytes"),
+        F.sum(F.when(is_extra, F.lit(0)).otherwise(line_bytes(F.col("text")))).alias("compressed_bytes"))
 
 
 def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_LINES,

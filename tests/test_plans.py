@@ -126,6 +126,20 @@ def test_reduce_reads_the_table_once_with_one_exchange(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_sizes_in_one_pass(spark, profiles, sessions):
+    some = sessions.where("fingerprint not in ('six', 'seven', 'eight')")
+    table = R.compile_rules(profiles.where("fingerprint in ('one', 'two', 'three', 'four', 'five')"))
+    sizes = R.session_sizes(some, table)
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == plan.count("BroadcastHashJoin")
+    got = {r.session_id: (r.fingerprint, r.raw_bytes, r.compressed_bytes) for r in sizes.collect()}
+    lines = expected(some)
+    assert got == {s.session_id: (s.fingerprint, len(s.text.encode()),
+                                  sum(len(t.encode()) + 1 for t, _ in lines.get(s.session_id, [])))
+                   for s in some.collect()}
+    assert any(raw and not cmp for _, raw, cmp in got.values())
+
+
 def test_common_sequence_contains_all():
     kinds = [tuple(r["kind"] for r in s[3]) for s in RULESETS]
     steps = R.common_sequence(kinds)
