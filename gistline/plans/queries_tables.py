@@ -471,12 +471,12 @@ def _(spark, d):
     return A.content_total_bytes(view(spark, d, "contents"))
 
 
-@query("orphan_content", twin("ledger customers", """
-select sha256, kind, size, created_at, ref_count from customers where sha256 not in (select raw_sha from ledger)
+@query("orphan_content", twin("ledger part_contents", """
+select sha256, kind, size, created_at, ref_count from part_contents where sha256 not in (select raw_sha from ledger)
 and sha256 not in (select compressed_sha from ledger where compressed_sha is not null)"""))
 def _(spark, d):
     ledger = view(spark, d, "ledger")
-    return A.orphan_content(view(spark, d, "customers"), ledger.select(F.col("raw_sha").alias("sha256")),
+    return A.orphan_content(view(spark, d, "part_contents"), ledger.select(F.col("raw_sha").alias("sha256")),
                             ledger.select(F.col("compressed_sha").alias("sha256")))
 
 

@@ -53,6 +53,8 @@ FIELDS = {
 EXTRA = "\u0000"
 # Up to this many rule sets are written into the plan; more reach it by lookups.
 PLAN_RULE_SETS = 64
+# Up to this many different kind sequences are merged into a shortest one.
+MAX_SEQUENCES = 200
 
 RULES = T.StructType([
     T.StructField("rule_key", T.LongType()), T.StructField("fingerprint", T.StringType()),
@@ -164,9 +166,9 @@ def _places(sequence: tuple[str, ...], steps: list[str]) -> list[int]:
 def compile_rules(profiles: DataFrame) -> RuleTable:
     """Lay rule sets over common steps.
 
-    A few rule sets are read to the driver and become literals. Of many, only the distinct
-    kind sequences reach the driver, which are few: the bundled rule sets have nine, and
-    learned ones add two, however many there are.
+    A few rule sets are read to the driver and become literals. Of many, only distinct kind
+    sequences reach the driver: the bundled rule sets have nine, and learned ones add two,
+    however many there are.
     """
     spark = profiles.sparkSession
     first = [r.asDict(recursive=True) for r in profiles.limit(PLAN_RULE_SETS + 1).collect()]
@@ -185,11 +187,20 @@ def compile_rules(profiles: DataFrame) -> RuleTable:
 
     profiles = checkpoint(profiles)
     kinds = F.transform("rules", lambda r: r["kind"])
-    sequences = [tuple(r.k) for r in profiles.select(kinds.alias("k")).distinct().collect()]
-    steps = common_sequence(sequences)
-    placed = spark.createDataFrame(
-        [(list(s), _places(s, steps)) for s in sequences], "kinds array<string>, places array<int>")
-    df = profiles.withColumn("kinds", kinds).join(F.broadcast(placed), "kinds")
+    keyed = profiles.withColumn("kinds", kinds)
+    sequences = [tuple(r.kinds) for r in keyed.select("kinds").distinct().limit(MAX_SEQUENCES + 1).collect()]
+    if len(sequences) <= MAX_SEQUENCES:
+        steps = common_sequence(sequences)
+        placed = spark.createDataFrame(
+            [(list(s), _places(s, steps)) for s in sequences], "kinds array<string>, places array<int>")
+        df = keyed.join(F.broadcast(placed), "kinds")  # at most MAX_SEQUENCES rows
+    else:
+        # No common order worth looking for: each position offers every kind in use.
+        used = sorted(r.k for r in keyed.select(F.explode("kinds").alias("k")).distinct().collect())
+        steps = used * keyed.agg(F.max(F.size("kinds"))).first()[0]
+        every = F.array(*[F.lit(k) for k in used])
+        df = keyed.withColumn("places", F.transform("kinds", lambda k, i: (
+            i * len(used) + F.array_position(every, k) - 1).cast("int")))
     slots = F.transform(F.sequence(F.lit(0), F.lit(max(len(steps) - 1, 0))), lambda k: F.get(
         F.transform("rules", _translated_column), (F.array_position(F.col("places"), k) - 1).cast("int")))
     stored = F.col("provenance") != "bundled"

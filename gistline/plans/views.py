@@ -171,6 +171,9 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "customers": ("customer", [
         "md5(cast(c_custkey as string)) as sha256", "'raw' as kind", "cast(length(c_name) as bigint) as size",
         "c_custkey as created_at", "c_custkey % 4 + 1 as ref_count"]),
+    "part_contents": ("part", [
+        "md5(cast(p_partkey as string)) as sha256", "'raw' as kind", "cast(length(p_name) as bigint) as size",
+        "p_partkey as created_at", "p_partkey % 4 + 1 as ref_count"]),
     "part_samples": ("part", [
         "p_partkey as sample_id", "concat(p_brand, ' ', p_type) as fingerprint", "p_size as captured_at", "p_name as text"]),
     "argvs": ("pages", [

@@ -106,6 +106,15 @@ def test_all_rule_kinds_in_one_table(spark, profiles, sessions, mode, monkeypatc
     assert collected(R.reduce_sessions(sessions, table)) == expected(sessions)
 
 
+def test_many_kind_sequences(spark, profiles, sessions, monkeypatch):
+    monkeypatch.setattr(R, "PLAN_RULE_SETS", 0)
+    monkeypatch.setattr(R, "MAX_SEQUENCES", 1)
+    some = "fingerprint in ('one', 'four')"
+    table = R.compile_rules(profiles.where(some))
+    assert len(table.steps) == 15 and table.known is None
+    assert collected(R.reduce_sessions(sessions.where(some), table)) == expected(sessions.where(some))
+
+
 def test_line_tables_of_any_length(spark, profiles, sessions):
     some = "fingerprint in ('one', 'two', 'none')"
     table = R.compile_rules(profiles.where(some))
