@@ -95,10 +95,10 @@ def invariant_results(raw: DataFrame, compressed: DataFrame, sessions: DataFrame
     ``profiles`` carries the invariants. The checks reach each line by a size-checked
     lookup, so only lines that some check asks about are shuffled, equal ones folded first.
     """
-    checks = profiles.select("profile_id", F.explode("invariants").alias("i")).select(
-        "profile_id", "i.name", "i.check", translate_column(F.col("i.pattern")).alias("pattern"), "i.count", "i.path")
-    per_profile = checks.groupBy("profile_id").agg(F.collect_list(F.struct(
-        "name", "check", "pattern", "count", "path")).alias("checks"))
+    per_profile = profiles.where(F.size("invariants") > 0).select("profile_id", F.transform(
+        "invariants", lambda i: F.struct(
+            i["name"].alias("name"), i["check"].alias("check"), translate_column(i["pattern"]).alias("pattern"),
+            i["count"].alias("count"), i["path"].alias("path"))).alias("checks"))
     small = fits_broadcast(per_profile)
 
     def with_checks(df: DataFrame) -> DataFrame:
