@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from gistline.llm import ef_tokens, piece_bpe, quality_lines
+from gistline.llm import (
+    chat_repair, ef_tokens, fss_dedup, leak_index, maxent_lm, nb_toxicity, pii_boost, piece_bpe, quality_lines, url_model,
+)
 
 QUERIES = {
+    "op1_pii_boost": pii_boost.query,
+    "op2_nb_toxicity": nb_toxicity.query,
+    "op3_fss_dedup": fss_dedup.query,
+    "op4_chat_repair": chat_repair.query,
+    "op5_maxent_lm": maxent_lm.query,
     "op6_quality_lines": quality_lines.query,
     "op7_piece_bpe": piece_bpe.query,
+    "op8_url_model": url_model.query,
     "op9_elias_fano_tokens": ef_tokens.query,
+    "op10_leak_index": leak_index.query,
 }
 
 SQL: dict[str, str] = {}
