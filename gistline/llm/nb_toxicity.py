@@ -87,7 +87,7 @@ class Model:
 def fit(labelled: DataFrame, *, keep: int = 4096, alpha: float = 1.0, ridge: float = 1e-3, steps: int = 300) -> Model:
     """Train on (toxic, text)."""
     labelled = common.stored(labelled.mapInArrow(featured, "toxic int, features binary"))
-    tally = labelled.mapInArrow(tallied, "toxic int, n long, feature array<int>, docs array<long>")
+    tally = labelled.mapInArrow(tallied, "toxic int, n long, feature array<long>, docs array<long>")
     sizes = {r["toxic"]: r["n"] for r in tally.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     n = np.array([sizes.get(0, 0), sizes.get(1, 0)], np.float64)
     bias = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))

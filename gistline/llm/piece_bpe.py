@@ -5,8 +5,8 @@ a word mark that follows another character. Each cut part is encoded by an agend
 adjacent symbol pairs ordered by the score of the piece they make, leftmost first; the best pair
 is merged, pairs that it outdates are skipped when they come up, and the two new neighbours are
 added. Symbols outside the vocabulary become bytes. Parts are encoded once per worker and
-remembered, and every newly encoded part is checked against the sentencepiece library, in one
-call per Arrow slice; a difference is an error.
+remembered. Every whole text is checked against the sentencepiece library, in one call per slice of
+an Arrow batch; a difference is an error.
 
 Edge cases: null and empty texts have the begin and end ids only and decode to an empty text;
 texts of any length are taken whole; repeated rows get a row each; an empty table gives no rows.
@@ -58,7 +58,6 @@ class PieceBpe:
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         self.marks_only = lib.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
-        self.lead = self.agenda(MARK) + self.agenda("\n")
         self.store = common.IdStore(remembered)
 
     def agenda(self, part: str) -> list[int]:
@@ -96,19 +95,11 @@ class PieceBpe:
                     out.append(i)
         return out
 
-    def check(self, parts: list[str], found: list[list[int]]) -> None:
-        """Compare with the library. It puts a mark before a text; a part without one is led by a line feed."""
-        led = [p if p[0] == MARK else "\n" + p for p in parts]
-        theirs = self.library.encode([p[1:] if p[0] == MARK else p for p in led], num_threads=1)
-        for part, lead, mine, other in zip(parts, led, found, theirs, strict=True):
-            own = mine if lead is part else self.lead + mine
-            if part != MARK and own != other:
-                raise AssertionError(f"the agenda and the library differ on {part!r}: {mine} and {other}")
-
-    def _learn(self, parts: list[str]) -> list[list[int]]:
-        found = [self.agenda(p) for p in parts]
-        self.check(parts, found)
-        return found
+    def check(self, texts: list[str], found: list[np.ndarray]) -> None:
+        """Compare whole texts with the library."""
+        for text, mine, other in zip(texts, found, self.library.encode(texts, num_threads=1), strict=True):
+            if len(mine) != len(other) or mine.tolist() != other:
+                raise AssertionError(f"the agenda and the library differ on {text[:200]!r}")
 
     def split(self, text: str) -> list[str]:
         """Parts of a text that no piece reaches across."""
@@ -123,7 +114,7 @@ class PieceBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32, without begin and end."""
-        return self.store.encode([self.split(t) for t in texts], self._learn)
+        return self.store.encode([self.split(t) for t in texts], lambda parts: [self.agenda(p) for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -140,7 +131,10 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     edge = np.array([model.begin], "<u4"), np.array([model.end], "<u4")
     for batch in common.slices(batches, "text", 4 << 20):
         names = [c for c in batch.schema.names if c != "text"]
-        ids = [np.concatenate([edge[0], x, edge[1]]).astype("<u4") for x in model.encode(common.texts(batch, "text"))]
+        texts = common.texts(batch, "text")
+        found = model.encode(texts)
+        model.check(texts, found)
+        ids = [np.concatenate([edge[0], x, edge[1]]).astype("<u4") for x in found]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in names), pa.array([x.tobytes() for x in ids], pa.binary()),
              pa.array([model.decode(x.tolist()) for x in ids], pa.string())],

@@ -202,7 +202,7 @@ def test_chats(spark):
             assert not text or text in "".join(r.piece for r in by[c])
     assert "".join(r.piece for r in by[0]) == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n"
     assert [r.action for r in by[1]] == ["keep", "merge", "keep"]
-    assert [r.role for r in by[50]] == ["system", "user", "user"] and None in by
+    assert [r.role for r in by[50]] == ["system", "user", "assistant"] and None in by
     assert chat_repair.repair(table.limit(0)).count() == 0
 
 

@@ -37,9 +37,9 @@ def test_agenda_forgets_and_goes_on():
 
 def test_check_finds_a_difference():
     model = piece_bpe.PieceBpe(PIECES)
-    model.place.pop("▁t")
+    model.place.pop("▁that")
     try:
-        model.encode(["that"])
+        model.check(["that"], model.encode(["that"]))
     except AssertionError:
         return
     raise AssertionError("a wrong encoding was not noticed")
