@@ -1,6 +1,6 @@
 import random
 
-import brute
+import llm_plain as brute
 import numpy as np
 
 from gistline.llm import fss_dedup

@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-import brute
+import llm_plain as brute
 import numpy as np
 
 from gistline.llm import chat_repair, common, maxent_lm, nb_toxicity, url_model

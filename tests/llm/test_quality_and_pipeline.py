@@ -1,6 +1,6 @@
 import re
 
-import brute
+import llm_plain as brute
 import numpy as np
 
 import corpus_pipeline

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-import brute
+import llm_plain as brute
 import pytest
 
 from gistline.llm import leak_index, pii_boost

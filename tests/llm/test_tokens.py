@@ -2,7 +2,7 @@ import hashlib
 import random
 import zlib
 
-import brute
+import llm_plain as brute
 import numpy as np
 import public_tokenizers
 import sentencepiece
