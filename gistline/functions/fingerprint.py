@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SHAPE_FLAGS = ("--format", "--output", "-o", "--json", "--pretty", "--oneline")
-NUMBER = r"(?dU)^-?\d+(\.\d+)?$"
-HEX = r"(?dU)^[0-9a-fA-F]{6,}$"
+NUMBER = r"(?dU)^-?\d+(\.\d+)?\z"
+HEX = r"(?dU)^[0-9a-fA-F]{6,}\z"
 URL = r"(?dU)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+).*$"
 PATH = (
     r"(?dU)^(\.{1,2}[/\\]|[/\\~]|[A-Za-z]:[/\\]|[\w.-]+[/\\][\w./\\-]+|"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistline.functions.regex import PatternError, translate
@@ -28,12 +30,12 @@ ENTROPY_LIMIT = 4.5
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; equal to bits per byte for the ASCII tokens it is used on."""
-    letters = F.split(text, "")
-    n = F.size(letters)
+    """Bits per byte of the UTF-8 text."""
+    octets = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    n = F.octet_length(text)
     bits = F.transform(
-        F.array_distinct(letters),
-        lambda c: (F.lit(1.0) * F.size(F.filter(letters, lambda x: x == c)) / n),
+        F.array_distinct(octets),
+        lambda c: (F.lit(1.0) * F.size(F.filter(octets, lambda x: x == c)) / n),
     )
     total = F.aggregate(bits, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(F.octet_length(text) == 0, F.lit(0.0)).otherwise(total)
@@ -66,23 +68,32 @@ def redact_text(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def redact_user(text: Column, patterns: Iterable[str]) -> Column:
-    """Apply configured patterns; one that is not a valid pattern is skipped."""
-    jvm = _pattern_class()
+    """Apply configured patterns; one that is not a valid pattern is reported and skipped."""
     for pattern in patterns:
-        try:
-            source = translate(pattern)
-            jvm.compile(source)
-        except (PatternError, Exception):  # noqa: B014 - the JVM error has no Python class
-            continue
-        text = F.regexp_replace(text, source, "[REDACTED:user]")
+        source = valid_pattern(pattern)
+        if source is None:
+            warnings.warn(f"not a valid pattern, skipped: {pattern}", stacklevel=2)
+        else:
+            text = F.regexp_replace(text, source, "[REDACTED:user]")
     return text
 
 
-def redact_deny_sweep(text: Column) -> Column:
-    return F.regexp_replace(text, translate(DENY_TOKEN), "[REDACTED:deny]")
+def valid_pattern(pattern: str) -> str | None:
+    """The translated pattern, or None if it is refused or does not compile."""
+    try:
+        source = translate(pattern)
+    except PatternError:
+        return None
+    probe = SparkSession.active().range(1).select(F.regexp_count(F.lit(""), F.lit(source)))
+    try:
+        probe.collect()
+    except PySparkException as error:
+        if "REGEX" in (error.getCondition() or "") or "PatternSyntax" in str(error) or "INVALID_PARAMETER" in (error.getCondition() or ""):
+            return None
+        raise
+    return source
 
 
-def _pattern_class():
-    from pyspark.sql import SparkSession
+def redact_deny_sweep(text: Column) -> Column:
+    return F.regexp_replace(text, translate(DENY_TOKEN), "[REDACTED:deny]")
 
-    return SparkSession.active().sparkContext._jvm.java.util.regex.Pattern

@@ -19,18 +19,45 @@ BACK_REFERENCE = r"(?<!\\)(?:\\\\)*\\[1-9]"
 LOOK_AROUND = r"\(\?(?:[=!>]|<[=!])"
 
 
+# The named classes of bracket expressions, ASCII only.
+NAMED_CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
+    "graph": "!-~", "lower": "a-z", "print": r"\x20-~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r\x20", "upper": "A-Z",
+    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+NAMED_CLASS = r"\[:(\^?)([a-z]+):\]"
+# Set difference inside a class has no counterpart in the JVM.
+SET_DIFFERENCE = r"\[[^\]\\]*(?:--|~~)[^\]]*\["
+
+
 class PatternError(ValueError):
     pass
 
 
 def portable(pattern: str) -> bool:
-    return not (re.search(BACK_REFERENCE, pattern) or re.search(LOOK_AROUND, pattern))
+    names = [m[2] for m in re.finditer(NAMED_CLASS, pattern)]
+    return not any(re.search(p, pattern) for p in (BACK_REFERENCE, LOOK_AROUND, SET_DIFFERENCE)) and all(
+        n in NAMED_CLASSES for n in names)
+
+
+def portable_column(pattern: Column) -> Column:
+    """``portable`` for patterns held in a table; a null is portable."""
+    names = "|".join(NAMED_CLASSES)
+    bad = [BACK_REFERENCE, LOOK_AROUND, SET_DIFFERENCE, rf"\[:\^?(?!(?:{names}):\])[a-z]+:\]"]
+    out = F.lit(False)
+    for p in bad:
+        out = out | pattern.rlike(p)
+    return ~F.coalesce(out, F.lit(False))
+
+
+def _named(negated: str, name: str) -> str:
+    return f"[^{NAMED_CLASSES[name]}]" if negated else NAMED_CLASSES[name]
 
 
 def translate(pattern: str) -> str:
     if not portable(pattern):
-        raise PatternError(f"look-around and back-references are refused: {pattern}")
-    return FLAGS + pattern.replace("(?P<", "(?<")
+        raise PatternError(f"look-around, back-references, set differences and unknown classes are refused: {pattern}")
+    return FLAGS + re.sub(NAMED_CLASS, lambda m: _named(m[1], m[2]), pattern.replace("(?P<", "(?<"))
 
 
 def escape(text: Column) -> Column:
@@ -40,7 +67,11 @@ def escape(text: Column) -> Column:
 
 def translate_column(pattern: Column) -> Column:
     """``translate`` for patterns held in a table; applied to the table, not to each line."""
-    return F.concat(F.lit(FLAGS), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+    out = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
+    for name in NAMED_CLASSES:
+        for sign in ("", "^"):
+            out = F.replace(out, F.lit(f"[:{sign}{name}:]"), F.lit(_named(sign, name)))
+    return F.concat(F.lit(FLAGS), out)
 
 
 def matches(text: Column, pattern: str | Column) -> Column:

@@ -82,7 +82,7 @@ def near_duplicate_global(runs: DataFrame, seconds: int = NEAR_SECONDS) -> DataF
 def near_duplicate_by_agent(runs: DataFrame, seconds: int = NEAR_SECONDS) -> DataFrame:
     """The scaled form: an earlier run of the same agent and fingerprint at most ``seconds``
     ago. Only the latest earlier run matters, so it is a look-back and no join of pairs."""
-    order = BlockScan(None, ("agent", "fingerprint"), ("started_at", "run_id"))
+    order = BlockScan(keys=("agent", "fingerprint"), order=("started_at", "run_id"))
     df = order.scan(runs, prev("last_at", F.col("started_at")))
     near = F.coalesce(F.col("started_at") - F.col("last_at") <= seconds, F.lit(False))
     return df.withColumn("near_duplicate", near).drop("last_at")
@@ -90,7 +90,7 @@ def near_duplicate_by_agent(runs: DataFrame, seconds: int = NEAR_SECONDS) -> Dat
 
 def number_runs(runs: DataFrame) -> DataFrame:
     """Runs of each profile numbered 1, 2, ... by time; ties go by session."""
-    order = BlockScan(None, ("profile_id",), ("at", "session_id"))
+    order = BlockScan(keys=("profile_id",), order=("at", "session_id"))
     return order.scan(runs, running("run_no", F.lit(1).cast("bigint")))
 
 

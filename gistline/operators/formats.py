@@ -19,7 +19,7 @@ from gistline.session import fits_broadcast
 ROW_BYTES = 1 << 30
 
 
-def detect_format_lines(lines: DataFrame, order=WINDOW) -> DataFrame:
+def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYTES) -> DataFrame:
     """One row per session: session_id, format."""
     text = F.col("text")
     lines = lines.select("session_id", "line_no", "sub_no", "text", (~is_blank(text)).alias("__full"))
@@ -34,12 +34,14 @@ def detect_format_lines(lines: DataFrame, order=WINDOW) -> DataFrame:
         F.bool_or(text.rlike(formats.STACK_TRACE)).alias("trace"), F.bool_or(text.rlike(formats.LOG)).alias("log"),
         F.min(words).alias("fewest"), F.max(words).alias("most"), F.max(start).alias("start"),
         F.sum(line_bytes(text)).alias("bytes"))
-    maybe = facts.where(F.col("start") & (F.col("bytes") < ROW_BYTES)).select("session_id")
+    maybe = facts.where(F.col("start") & (F.col("bytes") < row_bytes)).select("session_id")
     hint = F.broadcast(maybe) if fits_broadcast(maybe) else maybe
     documents = assemble_output(lines.join(hint, "session_id", "left_semi")).where(json_valid(F.col("text")))
     joined = facts.join(documents.select("session_id", F.lit(True).alias("json")), "session_id", "left")
     out = (
         F.when(F.col("json"), "json")
+        # Starts like a document, but is too large to be put together and parsed.
+        .when(F.col("start") & (F.col("bytes") >= row_bytes), "too_large")
         .when(F.col("early") & (F.col("full") >= 2), "ndjson")
         .when(F.col("hunk") & F.col("header"), "diff")
         .when(F.col("trace"), "stack_trace")

@@ -5,9 +5,10 @@ last or next known value, a total. ``WindowScan`` reads them off one window per
 That is the cheapest plan, but it puts a session into one task.
 
 ``BlockScan`` gives the same facts for a session that is too long for one task. Lines are
-keyed by (session, block of consecutive line numbers), each block is scanned on its own, and
-one summary row per block carries the state over from the blocks before it. A task holds one
-block, or the summaries of one session, never all lines of one session.
+cut into even ranges by (session, order), whatever the values of the order column are; each
+range is scanned on its own, and one summary row per session and range carries the state over
+from the ranges before it. A task holds one range, or the summaries of one session, never all
+lines of one session. A null key is a key like any other.
 
 ``run_ordered`` measures the sessions and picks the plan; both give the same rows.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gistline.session import checkpoint, fits_broadcast
 
 MAX_TASK_LINES = 2_000_000
-BLOCK_LINES = 100_000
+MAX_TASK_BYTES = 1 << 30
 ORDER = ("line_no", "sub_no")
 
 
@@ -71,24 +72,20 @@ class WindowScan:
 
 
 class BlockScan:
-    """Blocks of ``block_lines`` consecutive line numbers, or, with None, blocks cut by range
-    partitioning: even whatever the order column's values are, as times are not."""
+    """Blocks cut by range partitioning into ``parts``, or as many as the session shuffles into."""
 
-    def __init__(self, block_lines: int | None = BLOCK_LINES, keys: tuple[str, ...] = ("session_id",),
+    def __init__(self, parts: int | None = None, keys: tuple[str, ...] = ("session_id",),
                  order: tuple[str, ...] = ORDER):
-        self.block_lines, self.keys, self.order = block_lines, keys, order
+        self.parts, self.keys, self.order = parts, keys, order
 
     def scan(self, lines: DataFrame, *facts: Fact) -> DataFrame:
         names = lines.columns
         lines = lines.select("*", *[f.expr.alias(f"_x_{f.name}") for f in facts])
-        if self.block_lines is None:
-            lines = lines.repartitionByRange(*self.keys, *self.order)
-            block = F.spark_partition_id()
-        else:
-            block = F.floor(F.col(self.order[0]) / self.block_lines).cast("bigint")
+        cut = (*self.keys, *self.order)
+        lines = lines.repartitionByRange(self.parts, *cut) if self.parts else lines.repartitionByRange(*cut)
         # Both branches below read this. The cut keeps a chain of scans from doubling the
-        # work of the ones before, and fixes range blocks, which depend on a sample.
-        lines = checkpoint(lines.withColumn("_blk", block))
+        # work of the ones before, and fixes the ranges, which depend on a sample.
+        lines = checkpoint(lines.withColumn("_blk", F.spark_partition_id()))
         position = F.struct(*self.order)
         inner = [Fact(f.name, f.kind, F.col(f"_x_{f.name}")) for f in facts]
         keys = [*self.keys, "_blk"]
@@ -96,8 +93,12 @@ class BlockScan:
         local = lines.withColumns(_window_columns(inner, tuple(keys), self.order)).withColumn(
             "_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*self.order)))
         summary = lines.groupBy(*keys).agg(*[_summary(f, position).alias(f"_s_{f.name}") for f in inner])
-        carried = summary.select(*keys, *[self._carry(f).alias(f"_c_{f.name}") for f in inner])
-        joined = local.join(carried, keys)
+        carried = summary.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], *[self._carry(f).alias(f"_c_{f.name}") for f in inner])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = local.join(carried, same)
         return joined.select(*names, *[_stitch(f).alias(f.name) for f in inner])
 
     def _carry(self, fact: Fact) -> Column:
@@ -167,20 +168,22 @@ WINDOW = WindowScan()
 
 
 def run_ordered(lines: DataFrame, chain: Callable[[DataFrame, object], DataFrame],
-                max_lines: int = MAX_TASK_LINES, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Apply a chain of line rules with the plan each session's length allows.
+                max_lines: int = MAX_TASK_LINES, parts: int | None = None, max_bytes: int = MAX_TASK_BYTES) -> DataFrame:
+    """Apply a chain of line rules with the plan each session's length, in lines and bytes, allows.
 
     For line tables whose sessions have no bound. Lines exploded from one text column need
     no measuring: Spark itself bounds a row, and so a session, to 2 GiB.
     """
-    lengths = lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
-    giants = lengths.where(F.col("_n") > max_lines).select("session_id")
+    lengths = lines.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("_b"))
+    giants = lengths.where((F.col("_n") > max_lines) | (F.col("_b") > max_bytes)).select(F.col("session_id").alias("_giant"))
     if giants.isEmpty():
         return chain(lines, WINDOW)
-    blocks = BlockScan(block_lines)
+    blocks = BlockScan(parts)
     if not fits_broadcast(giants):
         return chain(lines, blocks)
     named = F.broadcast(giants)
-    short = chain(lines.join(named, "session_id", "left_anti"), WINDOW)
-    long = chain(lines.join(named, "session_id", "left_semi"), blocks)
+    same = F.col("session_id").eqNullSafe(F.col("_giant"))
+    short = chain(lines.join(named, same, "left_anti"), WINDOW)
+    long = chain(lines.join(named, same, "left_semi"), blocks)
     return short.unionByName(long)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gistline.functions import commands, fingerprint as FP, formats, jsontext as J, metrics as M, redaction as R
@@ -11,7 +13,10 @@ from gistline.operators import ordered as O
 from gistline.operators import stateless as S
 from gistline.operators.scan import run_ordered
 from gistline.plans.views import REGISTRY, twin, view
-from gistline.sources.sessions import attestation_line, open_raw, preserve_raw_policy, redaction_policy, seal_raw
+from gistline.session import shared_folder
+from gistline.sources.sessions import (
+    attestation_line, open_raw, preserve_raw_policy, read_sessions, redaction_policy, seal_raw, write_sessions,
+)
 
 query = REGISTRY.add
 
@@ -28,10 +33,24 @@ FULL = ["session_id", "line_no", "text", "is_placeholder"]
 
 @query("read_sessions", twin("docs", "select session_id, fingerprint, strlen(text) as raw_bytes from docs"))
 def _(spark, d):
-    return view(spark, d, "docs").select(
+    path = f"{shared_folder(spark)}/sessions-{uuid.uuid4()}"
+    view(spark, d, "docs").write.parquet(path)
+    return read_sessions(spark, path).select(
         "session_id", "fingerprint", F.octet_length("text").cast("bigint").alias("raw_bytes"))
 
 
+@query("write_sessions", twin("ledger", """
+select session_id, raw_bytes, cast(cast(to_timestamp(started_at - started_at % 31536000) at time zone 'UTC' as date) as varchar) as start_date
+from ledger"""))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4()}"
+    # All of a year on its first day, as a folder is written per day; and every day a second time.
+    facts = view(spark, d, "ledger").withColumn("started_at", F.expr("started_at - started_at % 31536000"))
+    write_sessions(facts, path)
+    write_sessions(facts, path)
+    return spark.read.parquet(path).select("session_id", "raw_bytes", F.col("start_date").cast("string").alias("start_date"))
+
+
 @query("explode_lines", twin("planted_lines", "select session_id, line_no, text from planted_lines"))
 def _(spark, d):
     return planted_lines(spark, d).select(LINE)
@@ -39,9 +58,9 @@ def _(spark, d):
 
 @query("assemble_output", twin("planted_lines", """
 select session_id, string_agg(text, chr(10) order by line_no) || chr(10) as text
-from planted_lines where line_no % 3 = 0 group by session_id"""))
+from planted_lines group by session_id"""))
 def _(spark, d):
-    return L.assemble_output(planted_lines(spark, d).where("line_no % 3 = 0"))
+    return L.assemble_output(planted_lines(spark, d))
 
 
 @query("attestation_line", twin("ledger", """
@@ -316,10 +335,15 @@ def _(spark, d):
         "id", F.col("pos").cast("bigint").alias("pos"), FP.canonical_token(F.col("t")).alias("token"))
 
 
-@query("canonical_argv", twin("argvs", canonical_sql("argvs") + "select id, tail as canonical from j"))
+@query("canonical_argv", twin("argvs", canonical_sql(
+    "(select id, case when id % 10 = 0 then flatten([argv for _ in range(20)]) else argv end as argv from argvs)") +
+    "select id, tail as canonical from j"))
 def _(spark, d):
-    tail = F.slice("argv", 2, 100)
-    return view(spark, d, "argvs").select("id", F.array_join(FP.canonical_argv(tail), " ").alias("canonical"))
+    # Every tenth command has its arguments twenty times over: 320 of them.
+    argv = F.when(F.col("id") % 10 == 0, F.flatten(F.array_repeat("argv", 20))).otherwise(F.col("argv"))
+    rows = view(spark, d, "argvs").withColumn("argv", argv)
+    tail = F.slice("argv", 2, F.size("argv"))
+    return rows.select("id", F.array_join(FP.canonical_argv(tail), " ").alias("canonical"))
 
 
 @query("fingerprint", twin("argvs part_argvs", canonical_sql(
@@ -358,12 +382,10 @@ def _(spark, d):
 
 
 @query("shannon_entropy", twin("planted_lines", """
-select session_id, line_no, round(coalesce(list_entropy(string_split(left(md5(text) || text, 40), '')), 0), 6) as bits
-from planted_lines where regexp_matches(text, '^(key|digest|tick|error)')"""))
+select session_id, line_no, round(coalesce(list_entropy(regexp_extract_all(hex(encode(text)), '[0-9A-F]{2}')), 0), 6) as bits
+from planted_lines"""))
 def _(spark, d):
-    lines = S.keep_lines(planted_lines(spark, d), "^(key|digest|tick|error)")
-    return lines.select("session_id", "line_no", F.round(R.shannon_entropy(
-        F.left(F.concat(F.md5("text"), F.col("text")), F.lit(40))), 6).alias("bits"))
+    return planted_lines(spark, d).select("session_id", "line_no", F.round(R.shannon_entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("redact_user", twin("planted", """

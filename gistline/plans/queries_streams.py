@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gistline.plans.queries_tables import REDUCED, ROUND, SCORES, ZERO, rule_table
-from gistline.plans.views import REGISTRY, VIEWS, _render, table, twin
+from gistline.plans.views import REGISTRY, twin, view
 from gistline.session import shared_folder
 from gistline.streaming import jobs as J
 from gistline.streaming.snapshot import Snapshot
@@ -16,16 +16,22 @@ from gistline.streaming.snapshot import Snapshot
 query = REGISTRY.add
 
 
-def stream_view(spark, sf_dir, name):
-    """A derived view as a stream over the files of its table."""
-    source, exprs = VIEWS[name]
-    schema = table(spark, sf_dir, source).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
-    return files.selectExpr(*[_render(e, "spark") for e in exprs])
+BATCHES = 3
 
 
-def folder(spark):
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+def run_in_batches(spark, sf_dir: str, name: str, order: str, start) -> str:
+    """A derived view arriving in ``BATCHES`` parts by ``order``; the stream is started again for each.
+
+    ``start(stream, base)`` starts the query with its state, output and checkpoint below ``base``.
+    """
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    rows = view(spark, sf_dir, name)
+    cuts = rows.agg(F.percentile_approx(order, [k / BATCHES for k in range(1, BATCHES)])).first()[0]
+    part = sum((F.coalesce(F.col(order) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for k in range(BATCHES):
+        rows.where(part == k).write.mode("append").parquet(f"{base}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
 
 
 @query("stream_gain_daily", twin("ledger", """
@@ -33,16 +39,15 @@ select strftime(to_timestamp(started_at) at time zone 'UTC', '%Y-%m-%d') as date
  cast(sum(raw_bytes) as bigint) as raw_bytes, cast(sum(compressed_bytes) as bigint) as compressed_bytes,
  cast(sum(greatest(raw_bytes - compressed_bytes, 0) // 4) as bigint) as tokens_saved from ledger group by 1"""))
 def _(spark, d):
-    base = folder(spark)
-    state = Snapshot(f"{base}/state", J.GAIN)
-    J.stream_gain_daily(stream_view(spark, d, "ledger"), state, f"{base}/checkpoint").awaitTermination()
-    return state.read(spark)
+    base = run_in_batches(spark, d, "ledger", "started_at", lambda s, b: J.stream_gain_daily(
+        s, Snapshot(f"{b}/state", J.GAIN), f"{b}/checkpoint"))
+    return Snapshot(f"{base}/state", J.GAIN).read(spark)
 
 
 @query("stream_reduce", twin("tools_clean", REDUCED + "select session_id, line_no, text, is_placeholder from reduced"))
 def _(spark, d):
-    base = folder(spark)
-    J.stream_reduce(stream_view(spark, d, "tools"), rule_table(spark), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rules = rule_table(spark)
+    base = run_in_batches(spark, d, "tools", "doc_id", lambda s, b: J.stream_reduce(s, rules, f"{b}/out", f"{b}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("session_id", "line_no", "text", "is_placeholder")
 
 
@@ -50,9 +55,8 @@ def _(spark, d):
 select run_id, coalesce(started_at - lag(started_at) over (partition by agent, fingerprint
  order by started_at, run_id) <= 600, false) as near_duplicate from runs"""))
 def _(spark, d):
-    base = folder(spark)
-    J.stream_near_duplicate(stream_view(spark, d, "runs"), Snapshot(f"{base}/state", J.LAST_RUNS), f"{base}/out",
-                            f"{base}/checkpoint", seconds=600).awaitTermination()
+    base = run_in_batches(spark, d, "runs", "started_at", lambda s, b: J.stream_near_duplicate(
+        s, Snapshot(f"{b}/state", J.LAST_RUNS), f"{b}/out", f"{b}/checkpoint", seconds=600))
     return spark.read.parquet(f"{base}/out").select("run_id", "near_duplicate")
 
 
@@ -60,27 +64,24 @@ def _(spark, d):
  when n_samples >= 3 and zero_variance then 'zero_variance_fast_path' else 'accumulating' end as reason from z)
 select fingerprint, n_samples, reason <> 'accumulating' as should_lock, reason from v"""))
 def _(spark, d):
-    base = folder(spark)
-    state = Snapshot(f"{base}/state", J.VERDICTS)
-    J.stream_lock_in(stream_view(spark, d, "small_samples"), state, f"{base}/checkpoint").awaitTermination()
-    return state.read(spark)
+    base = run_in_batches(spark, d, "small_samples", "sample_id", lambda s, b: J.stream_lock_in(
+        s, Snapshot(f"{b}/state", J.VERDICTS), f"{b}/checkpoint", keep_first=False))
+    return Snapshot(f"{base}/state", J.VERDICTS).read(spark)
 
 
 @query("stream_bypass_score", twin("bypass", SCORES + """, r as (select *, row_number() over (partition by profile_id
  order by latest desc, session_id) as rn from s)
 select profile_id, round(sum(score) / count(*), 9) as score, count(*) as n_sessions from r where rn <= 100 group by profile_id"""))
 def _(spark, d):
-    base = folder(spark)
-    state = Snapshot(f"{base}/state", J.SCORES)
-    J.stream_bypass_score(stream_view(spark, d, "bypass"), state, f"{base}/checkpoint").awaitTermination()
-    return J.rolling_scores(state.read(spark)).withColumn("score", F.round("score", ROUND))
+    base = run_in_batches(spark, d, "bypass", "at", lambda s, b: J.stream_bypass_score(
+        s, Snapshot(f"{b}/state", J.SCORES), f"{b}/checkpoint"))
+    return J.rolling_scores(Snapshot(f"{base}/state", J.SCORES).read(spark)).withColumn("score", F.round("score", ROUND))
 
 
 @query("stream_dedup_adjacent", twin("event_lines", """
 select session_id, line_no, text from (select *, lag(text) over (partition by session_id order by line_no) as p
 from event_lines) where p is null or p <> text"""))
 def _(spark, d):
-    base = folder(spark)
-    J.stream_dedup_adjacent(stream_view(spark, d, "event_lines"), Snapshot(f"{base}/state", J.LAST_LINES), f"{base}/out",
-                            f"{base}/checkpoint").awaitTermination()
+    base = run_in_batches(spark, d, "event_lines", "line_no", lambda s, b: J.stream_dedup_adjacent(
+        s, Snapshot(f"{b}/state", J.LAST_LINES), f"{b}/out", f"{b}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("session_id", "line_no", "text")

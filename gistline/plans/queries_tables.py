@@ -218,14 +218,16 @@ def _(spark, d):
 # -- judge
 
 MIXED = """with cmp as (select session_id, line_no, case when text = 'inner row' and doc_id % 2 = 0 then 'made up row' else text end as text
- from planted_clean where line_no % 4 <> 1)
+ from planted_clean where doc_id % 5 <> 0 or not starts_with(text, 'e'))
 """
 
 
 def planted_sides(spark, d):
     sessions = view(spark, d, "planted")
     raw = N.explode_lines(sessions, check=True)
-    cmp = N.generic_clean(sessions, ("doc_id",)).where("line_no % 4 <> 1")
+    # The cleaned text is the reduced side. Every fifth session loses its error and exit lines, and made-up lines
+    # are put into every second one, so that checks fail too.
+    cmp = N.generic_clean(sessions, ("doc_id",)).where("doc_id % 5 <> 0 or not startswith(text, 'e')")
     made_up = (F.col("text") == "inner row") & (F.col("doc_id") % 2 == 0)
     return sessions, raw, cmp.withColumn("text", F.when(made_up, "made up row").otherwise(F.col("text"))).drop("doc_id")
 
@@ -301,8 +303,8 @@ def _(spark, d):
 CHECK_ROWS = ", ".join(
     f"({quoted(fp)}, {quoted(v['name'])}, {quoted(v['check'])}, {quoted(v.get('pattern'))}, {v.get('count', 0)})"
     for fp, _, _, _, invariants in RULESETS for v in invariants)
-# Every fourth reduced line is lost on purpose, so that checks fail too.
-JUDGED = REDUCED + f""", shown as (select * from reduced where line_no % 4 <> 2),
+# Every fourth session loses every second reduced line on purpose, so that checks fail too.
+JUDGED = REDUCED + f""", shown as (select * from reduced where cast(substr(session_id, 2) as bigint) % 4 <> 0 or line_no % 2 = 0),
 inv(fingerprint, name, chk, pattern, cnt) as (values {CHECK_ROWS}),
 w as (select t.session_id, t.fingerprint, inv.name, inv.chk, inv.pattern, inv.cnt from tools t join inv using (fingerprint)),
 rl as (select w.session_id, w.name, l.text, count(*) as n from w join tools_lines l using (session_id)
@@ -324,7 +326,8 @@ results as (select w.session_id, w.name, w.chk as "check", case w.chk when 'all_
 def judged(spark, d):
     rules = rule_table(spark)
     sessions = view(spark, d, "tools")
-    reduced = R.reduce_sessions(sessions, rules).where("line_no % 4 <> 2")
+    reduced = R.reduce_sessions(sessions, rules).where(
+        "cast(substr(session_id, 2) as bigint) % 4 <> 0 or line_no % 2 = 0")
     return judge(R.dispatch_profile(sessions, rules), reduced, rules)
 
 

@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from gistline import schema
 from gistline.functions import jsontext as J
 from gistline.functions.formats import with_format
-from gistline.functions.regex import matches, translate, translate_column
+from gistline.functions.regex import PatternError, matches, portable_column, translate, translate_column
 from gistline.functions.text import DEBUG_WORD, line_bytes
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
 from gistline.operators.formats import detect_format_lines
 from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output, explode_lines
-from gistline.operators.scan import BLOCK_LINES, MAX_TASK_LINES, WINDOW, run_ordered
+from gistline.operators.scan import MAX_TASK_LINES, WINDOW, run_ordered
 from gistline.operators.versions import active_profile
 from gistline.session import checkpoint, fits_broadcast, local_frame, lookup
 
@@ -186,6 +186,10 @@ def compile_rules(profiles: DataFrame) -> RuleTable:
         return RuleTable(steps, local_frame(spark, known, RULES), known, True)
 
     profiles = checkpoint(profiles)
+    refused = profiles.select("profile_id", F.explode("rules").alias("r")).where(
+        ~portable_column(F.col("r.pattern")) | ~portable_column(F.col("r.pattern2"))).select("profile_id").first()
+    if refused is not None:
+        raise PatternError(f"a pattern of profile {refused.profile_id} is refused, as of look-around or a back-reference")
     kinds = F.transform("rules", lambda r: r["kind"])
     keyed = profiles.withColumn("kinds", kinds)
     sequences = [tuple(r.kinds) for r in keyed.select("kinds").distinct().limit(MAX_SEQUENCES + 1).collect()]
@@ -328,7 +332,7 @@ def session_sizes(sessions: DataFrame, table: RuleTable, order=WINDOW) -> DataFr
 
 
 def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_LINES,
-                 block_lines: int = BLOCK_LINES) -> DataFrame:
+                 parts: int | None = None) -> DataFrame:
     """Reduce sessions that come as line tables, of any length. Lines carry a fingerprint.
 
     The same passes as for texts; here the repeats need the order of lines, so they run
@@ -346,7 +350,7 @@ def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_L
         kept = S.drop_debug_lines(tagged.withColumn("format", F.coalesce("format", F.lit("")))).drop("format", "tier")
         return apply_rules(kept, table, order)
 
-    return run_ordered(cleaned, chain, max_lines, block_lines)
+    return run_ordered(cleaned, chain, max_lines, parts)
 
 
 def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -44,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current.get()
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="gistline-checkpoint-")
     context.setCheckpointDir(folder)

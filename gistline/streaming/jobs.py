@@ -36,7 +36,7 @@ LAST_LINES = T.StructType([
     T.StructField("is_placeholder", T.BooleanType()), T.StructField("seen_in", T.LongType())])
 SCORES = T.StructType([
     T.StructField("profile_id", T.LongType()), T.StructField("session_id", T.StringType()),
-    T.StructField("day", T.LongType()), T.StructField("latest", T.LongType()), T.StructField("weight", T.DoubleType())])
+    T.StructField("latest", T.LongType()), T.StructField("weight", T.DoubleType())])
 
 
 def _run(stream: DataFrame, mode: str, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -77,7 +77,10 @@ def stream_reduce(sessions: DataFrame, table: RuleTable, path: str, checkpoint:
 
 def stream_near_duplicate(runs: DataFrame, state: Snapshot, path: str, checkpoint: str,
                           seconds: int = B.NEAR_SECONDS, trigger: dict | None = None) -> StreamingQuery:
-    """Look back inside the batch and to the last run of each (agent, fingerprint) before it."""
+    """Look back inside the batch and to the last run of each (agent, fingerprint) before it.
+
+    That run is kept however far other agents have got: agents lag behind each other freely.
+    """
     columns = ["agent", "fingerprint", "run_id", "started_at"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -86,17 +89,18 @@ def stream_near_duplicate(runs: DataFrame, state: Snapshot, path: str, checkpoin
             last.withColumn("fresh", F.lit(False)))
         _append(B.near_duplicate_by_agent(both, seconds).where("fresh").drop("fresh"), path, batch_id)
         newest = F.max_by(F.struct(columns), F.struct("started_at", "run_id"))
-        # A last run older than the look-back behind the newest row can match nothing more.
-        keep = both.groupBy("agent", "fingerprint").agg(newest.alias("r")).select("r.*")
-        top = both.agg(F.max("started_at")).first()[0]
-        state.write(keep.where(F.col("started_at") >= F.lit(top) - seconds), batch_id)
+        state.write(both.groupBy("agent", "fingerprint").agg(newest.alias("r")).select("r.*"), batch_id)
 
     return _run(runs, "append", handle, checkpoint, trigger)
 
 
-def stream_lock_in(samples: DataFrame, state: Snapshot, checkpoint: str, n: int = LOCK_IN,
+def stream_lock_in(samples: DataFrame, state: Snapshot, checkpoint: str, n: int = LOCK_IN, keep_first: bool = True,
                    trigger: dict | None = None) -> StreamingQuery:
-    """Lock-in verdicts from running counts; the first positive one per fingerprint stays."""
+    """Lock-in verdicts from running counts.
+
+    With ``keep_first`` the first positive verdict of a fingerprint stays, which depends on how samples
+    fall into batches; without it the verdict is that of all samples so far, as in the batch job.
+    """
     sums = samples.select("fingerprint", M.content_hash(F.col("text")).alias("sha")).groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n_samples"), F.min("sha").alias("lo"), F.max("sha").alias("hi"))
 
@@ -105,33 +109,29 @@ def stream_lock_in(samples: DataFrame, state: Snapshot, checkpoint: str, n: int
         reason = F.when(F.col("n_samples") >= n, "reached_n").when(fast, "zero_variance_fast_path").otherwise("accumulating")
         now = batch.select("fingerprint", "n_samples", (reason != "accumulating").alias("should_lock"), reason.alias("reason"))
         known = state.read(batch.sparkSession, batch_id)
-        locked = known.where("should_lock").select("fingerprint")
+        locked = known.where("should_lock" if keep_first else "false").select("fingerprint")
         state.write(upsert(known, now.join(locked, "fingerprint", "left_anti"), ["fingerprint"]), batch_id)
 
     return _run(sums, "update", handle, checkpoint, trigger)
 
 
 def stream_bypass_score(events: DataFrame, state: Snapshot, checkpoint: str, window: int = B.WINDOW_RUNS,
-                        delay: str = "2 days", trigger: dict | None = None) -> StreamingQuery:
+                        trigger: dict | None = None) -> StreamingQuery:
     """State: the newest ``window`` sessions of each profile, each with its whole weight.
 
-    The weight of a (profile, session, day) is a streaming sum, closed by the watermark, so
-    a session that comes back after it left the window comes back with all of its weight.
+    The weight of a (profile, session) is a streaming sum over all of its days, held by Spark's keyed state,
+    so a session that comes back after it left the window comes back with all of its weight.
     ``rolling_scores`` turns the state into scores.
     """
     weight = F.sum(F.when(F.col("kind") == "bypass_signal", F.col("weight")))
-    sums = events.where("session_id is not null").withColumn("ts", F.timestamp_seconds("at")).withWatermark(
-        "ts", delay).groupBy(F.window("ts", "1 day"), "profile_id", "session_id").agg(
+    sums = events.where("session_id is not null").groupBy("profile_id", "session_id").agg(
         F.max("at").alias("latest"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
-    sums = sums.withColumn("day", F.unix_seconds("window.start")).drop("window")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = state.read(batch.sparkSession, batch_id)
-        merged = upsert(known, batch, ["profile_id", "session_id", "day"])
-        sessions = merged.groupBy("profile_id", "session_id").agg(F.max("latest").alias("top"))
-        newest = Window.partitionBy("profile_id").orderBy(F.desc("top"), "session_id")
-        kept = sessions.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= window)
-        state.write(merged.join(kept.select("profile_id", "session_id"), ["profile_id", "session_id"], "left_semi"), batch_id)
+        merged = upsert(known, batch, ["profile_id", "session_id"])
+        newest = Window.partitionBy("profile_id").orderBy(F.desc("latest"), "session_id")
+        state.write(merged.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= window).drop("rn"), batch_id)
 
     return _run(sums, "update", handle, checkpoint, trigger)
 
@@ -143,9 +143,9 @@ def rolling_scores(state: DataFrame) -> DataFrame:
 
 
 def stream_dedup_adjacent(lines: DataFrame, state: Snapshot, path: str, checkpoint: str,
-                          idle_batches: int = 1000, trigger: dict | None = None) -> StreamingQuery:
-    """Drop repeats line by line: the last line of each session comes along as state, until
-    the session was silent for ``idle_batches``."""
+                          idle_batches: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Drop repeats line by line: the last line of each session comes along as state, always or,
+    where sessions are known to end, until the session was silent for ``idle_batches``."""
     columns = ["session_id", "line_no", "sub_no", "text", "is_placeholder"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -159,6 +159,6 @@ def stream_dedup_adjacent(lines: DataFrame, state: Snapshot, path: str, checkpoi
         newest = batch.groupBy("session_id").agg(F.max_by(F.struct(columns), F.struct("line_no", "sub_no")).alias("r"))
         updates = newest.select("r.*").withColumn("seen_in", F.lit(batch_id).cast("bigint"))
         merged = upsert(last, updates, ["session_id"])
-        state.write(merged.where(F.col("seen_in") > batch_id - idle_batches), batch_id)
+        state.write(merged if idle_batches is None else merged.where(F.col("seen_in") > batch_id - idle_batches), batch_id)
 
     return _run(lines, "append", handle, checkpoint, trigger)

@@ -7,6 +7,9 @@ folder must be on storage that all executors share.
 
 from __future__ import annotations
 
+from functools import reduce as fold
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,4 +47,7 @@ class Snapshot:
 
 
 def upsert(known: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    return known.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(known.columns))
+    """Rows of ``known`` replaced by those of ``updates`` with the same keys; a null key is a key."""
+    new = updates.select(*(updates[k].alias(f"_new_{k}") for k in keys))
+    same = fold(and_, (known[k].eqNullSafe(new[f"_new_{k}"]) for k in keys))
+    return known.join(new, same, "left_anti").unionByName(updates.select(known.columns))

@@ -77,11 +77,23 @@ def test_rule_matches_loops(name, lines, sessions):
 def test_block_plan_matches_loops(name, lines, sessions):
     rule, loop = RULES[name]
     want = {s: loop(ls) for s, ls in sessions.items()}
-    got = collected(rule(lines, BlockScan(block_lines=4)))
+    got = collected(rule(lines, BlockScan(parts=4)))
     assert got == {s: ls for s, ls in want.items() if ls}
 
 
 def test_mixed_plan_is_exact(lines, sessions):
     rule, loop = RULES["chain"]
-    got = collected(run_ordered(lines, rule, max_lines=12, block_lines=5))
+    got = collected(run_ordered(lines, rule, max_lines=12, parts=5))
     assert got == {s: loop(ls) for s, ls in sessions.items()}
+
+
+def test_block_plan_on_sparse_numbers_and_null_sessions(spark):
+    base = 1_760_000_000_000_000_000
+    rows = [(s, base + i * 1_000_003, 0, i) for s in ("a", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "session_id string, line_no long, sub_no int, x long")
+    from gistline.operators.scan import prev, running
+    from pyspark.sql import functions as F
+
+    out = BlockScan(parts=7).scan(df, prev("before", F.col("x")), running("n", F.lit(1))).collect()
+    assert len(out) == 600
+    assert all(r.n == r.x + 1 and r.before == (r.x - 1 if r.x else None) for r in out)

@@ -122,7 +122,7 @@ def test_line_tables_of_any_length(spark, profiles, sessions):
     lines = N.explode_lines(texts, keep=("fingerprint",)).repartition(3)
     want = expected(texts)
     assert collected(R.reduce_lines(lines, table)) == want
-    assert collected(R.reduce_lines(lines, table, max_lines=9, block_lines=4)) == want
+    assert collected(R.reduce_lines(lines, table, max_lines=9, parts=4)) == want
 
 
 def test_reduce_reads_the_table_once_with_one_exchange(spark, sf_dir):

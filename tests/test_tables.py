@@ -153,3 +153,29 @@ def test_every_twin_belongs_to_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "fingerprint" and df.where("tokens_saved > 0").count() > 10
+
+
+def test_stream_near_duplicate_of_lagging_agents(spark, tmp_path):
+    schema = "run_id long, agent string, fingerprint string, started_at long"
+    parts = [[(1, "A", "f", 1000), (2, "B", "f", 900), (5, None, "f", 10)], [(3, "B", "f", 920)], [(4, "A", "f", 1010), (6, None, "f", 20)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        J.stream_near_duplicate(stream, Snapshot(str(tmp_path / "state"), J.LAST_RUNS), str(tmp_path / "out"), str(tmp_path / "c"), seconds=60).awaitTermination()
+    got = {r.run_id: r.near_duplicate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
+    every = spark.createDataFrame([r for p in parts for r in p], schema)
+    assert got == {r.run_id: r.near_duplicate for r in B.near_duplicate_by_agent(every, 60).collect()}
+
+
+def test_stream_score_of_a_session_that_returns(spark, tmp_path):
+    schema = "profile_id long, session_id string, kind string, weight double, at long"
+    day = 86_400
+    parts = [[(1, "s1", "bypass_signal", 0.5, 10 * day)], [(1, "s2", "bypass_signal", 0.1, 10 * day + 5), (1, "s3", "bypass_signal", 0.1, 10 * day + 6)],
+             [(1, "s1", "bypass_signal", 0.2, 11 * day), (None, "s9", "bypass_signal", 0.4, 11 * day)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        J.stream_bypass_score(stream, Snapshot(str(tmp_path / "state"), J.SCORES), str(tmp_path / "c"), window=2).awaitTermination()
+    got = {r.profile_id: round(r.score, 9) for r in J.rolling_scores(Snapshot(str(tmp_path / "state"), J.SCORES).read(spark)).collect()}
+    assert got == {1: 0.4, None: 0.4}

@@ -176,3 +176,35 @@ def test_numbers(spark):
 def test_placeholder_texts(spark):
     df = texts(spark, "[... 3 ...]", "  [gist: x]", "[REDACTED:y]", "--- [gist: z", "[other", "x [... ")
     assert column(df, T.is_placeholder_text(F.col("text"))) == [True, True, True, True, False, False]
+
+
+def test_named_classes_and_refusals(spark):
+    from gistline.functions import regex as X
+
+    rows = ["5", "d", "a_1", "\u00e9", "x", "tab\there", "-"]
+    patterns = {"^[[:digit:]]$": ["5"], "^[[:alpha:]_]": ["d", "a_1", "x", "tab\there"], "^[[:^alnum:]]\\z": ["\u00e9", "-"],
+                "[[:blank:]]": ["tab\there"], "(?P<w>^x$)": ["x"]}
+    for pattern, want in patterns.items():
+        df = spark.createDataFrame([(t, pattern) for t in rows], "text string, p string")
+        assert [r.text for r in df.where(X.matches(F.col("text"), pattern)).collect()] == want
+        in_column = df.withColumn("q", X.translate_column(F.col("p"))).where(X.matches(F.col("text"), F.col("q")))
+        assert [r.text for r in in_column.collect()] == want
+    refused = ["(?=a)", "a(?<!b)", "(a)\\1", "[[:nope:]]", "[a-z--[aeiou]]"]
+    for pattern in refused:
+        with pytest.raises(X.PatternError):
+            X.translate(pattern)
+    both = spark.createDataFrame([(p,) for p in [*patterns, *refused, None]], "p string")
+    assert [r.ok for r in both.select(X.portable_column(F.col("p")).alias("ok")).collect()] == [True] * 5 + [False] * 5 + [True]
+
+
+def test_entropy_is_per_byte(spark):
+    import math
+
+    from gistline.functions import redaction
+
+    texts_ = ["", "a", "ab", "\u00e9\u00e8", "x" * 5000 + "y"]
+    def plain(t):
+        b = t.encode()
+        return -sum(b.count(c) / len(b) * math.log2(b.count(c) / len(b)) for c in set(b)) if b else 0.0
+    got = [r.bits for r in spark.createDataFrame([(t,) for t in texts_], "t string").select(redaction.shannon_entropy(F.col("t")).alias("bits")).collect()]
+    assert all(math.isclose(a, plain(t), abs_tol=1e-9) for a, t in zip(got, texts_))
