@@ -14,7 +14,7 @@ from gistline.functions.jsontext import json_valid
 from gistline.functions.text import is_blank, line_bytes
 from gistline.operators.lines import assemble_output
 from gistline.operators.scan import WINDOW, running
-from gistline.session import fits_broadcast
+from gistline.session import fits_broadcast, stored
 
 ROW_BYTES = 1 << 30
 
@@ -34,6 +34,7 @@ def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYT
         F.bool_or(text.rlike(formats.STACK_TRACE)).alias("trace"), F.bool_or(text.rlike(formats.LOG)).alias("log"),
         F.min(words).alias("fewest"), F.max(words).alias("most"), F.max(start).alias("start"),
         F.sum(line_bytes(text)).alias("bytes"))
+    facts = stored(facts)
     maybe = facts.where(F.col("start") & (F.col("bytes") < row_bytes)).select("session_id")
     hint = F.broadcast(maybe) if fits_broadcast(maybe) else maybe
     documents = assemble_output(lines.join(hint, "session_id", "left_semi")).where(json_valid(F.col("text")))

@@ -12,7 +12,7 @@ from gistline import schema
 from gistline.functions.metrics import content_hash
 from gistline.functions.regex import BACK_REFERENCE, LOOK_AROUND, escape
 from gistline.functions.text import is_blank, with_check_lines
-from gistline.session import lookup
+from gistline.session import lookup, stored
 
 # Fixed values.
 LOCK_IN = 5
@@ -90,7 +90,7 @@ def classify_lines(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("have"), F.min("line").alias("lo"), F.max("line").alias("hi"),
         F.min(at).alias("earliest"), F.min_by("line", at).alias("line"))
     # An index the first sample does not reach is not reported.
-    joined = lookup(per_index, totals, ["fingerprint"], "inner").where(F.col("earliest") == F.col("first"))
+    joined = lookup(per_index, stored(totals), ["fingerprint"], "inner").where(F.col("earliest") == F.col("first"))
     constant = (F.col("have") == F.col("n")) & (F.col("lo") == F.col("hi"))
     return joined.select(
         "fingerprint", F.col("line_no").cast("bigint").alias("line_no"), "line",
@@ -102,7 +102,7 @@ def constant_lines(samples: DataFrame) -> DataFrame:
     split = with_check_lines(samples, "_l", F.col("text"))
     seen = split.select("fingerprint", F.explode_outer(F.array_distinct("_l")).alias("line")).where("line is not null")
     counts = seen.where(~is_blank(F.col("line"))).groupBy("fingerprint", "line").agg(F.count(F.lit(1)).alias("c"))
-    n = sample_count(samples)
+    n = stored(sample_count(samples))
     return lookup(counts, n, ["fingerprint"], "inner").where("c = n_samples").select("fingerprint", "line")
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistline.session import checkpoint, fits_broadcast
+from gistline.session import checkpoint, fits_broadcast, stored
 
 MAX_TASK_LINES = 2_000_000
 MAX_TASK_BYTES = 1 << 30
@@ -177,6 +177,7 @@ def run_ordered(lines: DataFrame, chain: Callable[[DataFrame, object], DataFrame
     lengths = lines.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("_b"))
     giants = lengths.where((F.col("_n") > max_lines) | (F.col("_b") > max_bytes)).select(F.col("session_id").alias("_giant"))
+    giants = stored(giants)
     if giants.isEmpty():
         return chain(lines, WINDOW)
     blocks = BlockScan(parts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gistline.operators import judge as G
 from gistline.operators import learn as L
 from gistline.operators.lines import explode_lines
-from gistline.session import checkpoint, lookup
+from gistline.session import checkpoint, lookup, stored
 from gistline.plans.reduce import MAX_BYTES, MAX_STEPS, apply_rules, budget_guard, compile_rules, rule_cost
 
 
@@ -28,6 +28,7 @@ def self_test(samples: DataFrame, profiles: DataFrame, max_steps: int = MAX_STEP
     sessions = table.attach(samples.select(
         F.col("sample_id").cast("string").alias("session_id"), "fingerprint", "text"),
         ["rule_key"], "fingerprint", "inner").withColumn("profile_id", F.col("rule_key"))
+    sessions = stored(sessions)  # read by every check below; the samples themselves are read once
     lines = explode_lines(sessions, keep=("rule_key", "profile_id"))
     reduced = checkpoint(apply_rules(lines, table))  # read by several checks
     raw = explode_lines(sessions, True, ("profile_id",))
@@ -45,8 +46,9 @@ def self_test(samples: DataFrame, profiles: DataFrame, max_steps: int = MAX_STEP
 def learn(samples: DataFrame, created_at: int) -> tuple[DataFrame, DataFrame]:
     """New profiles (active, self-tested) and the outcome of the run per fingerprint."""
     verdicts = L.lock_in_verdict(samples)
+    verdicts = stored(verdicts)
     ready = verdicts.where("should_lock").select("fingerprint")
-    locked = lookup(samples, ready, ["fingerprint"], "inner").select(samples.columns)
+    locked = stored(lookup(samples, ready, ["fingerprint"], "inner").select(samples.columns))  # the input is read no more
     candidates = as_profiles(L.learn_profile(locked), created_at)
     tests = checkpoint(self_test(locked, candidates))
     passed = tests.where("passed").select("fingerprint")

@@ -17,6 +17,7 @@ from gistline.operators import versions as V
 from gistline.operators.formats import detect_format_lines
 from gistline.plans import reduce as R
 from gistline.plans.judge import judge
+from gistline.plans.run import run as run_job
 from gistline.plans.learn import as_profiles, learn, self_test
 from gistline.plans.queries_lines import FORMAT_CASE, flags_twin
 from gistline.plans.views import REGISTRY, table, twin, view
@@ -358,6 +359,27 @@ def _(spark, d):
     return events.where("kind like 'invariant%'").select("session_id", "profile_id", "kind", "signal")
 
 
+# -- the whole job
+
+def stored_profiles(spark):
+    bundled = load_profiles(spark)
+    return bundled.where("profile_id % 2 = 0").withColumns({
+        "profile_id": 1000 - F.col("profile_id"), "provenance": F.lit("imported"), "created_at": F.lit(100).cast("bigint")})
+
+
+@query("run_pipeline", twin("tools_clean", REDUCED + f""",
+lens as (select session_id, sum(strlen(text) + 1) as bytes, string_agg(text || chr(10), '' order by line_no) as doc from reduced group by 1)
+select t.session_id, t.fingerprint, cast({PROFILE_ID.replace('fingerprint', 't.fingerprint', 1)} as bigint) as profile_id,
+ case when t.fingerprint in ({STORED}) or t.fingerprint in ({BUNDLED}) then 'Full' else 'Passthrough' end as mode,
+ strlen(t.text) as raw_bytes, cast(coalesce(bytes, 0) as bigint) as compressed_bytes,
+ sha256(coalesce(doc, '')) as compressed_sha from tools t left join lens using (session_id)"""))
+def _(spark, d):
+    # The tools' texts hold nothing to redact, so the twin needs no redaction.
+    sessions = view(spark, d, "tools").withColumns({"started_at": F.lit(NOW).cast("bigint"), "exit_code": F.lit(0)})
+    done = run_job(sessions, load_profiles(spark), stored_profiles(spark), NOW)
+    return done.facts.select("session_id", "fingerprint", "profile_id", "mode", "raw_bytes", "compressed_bytes", "compressed_sha")
+
+
 # -- accounting
 
 LIVE = "coalesce(mode, '') <> 'Shadow'"

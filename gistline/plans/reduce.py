@@ -32,7 +32,7 @@ from gistline.operators.formats import detect_format_lines
 from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output, explode_lines
 from gistline.operators.scan import MAX_TASK_LINES, WINDOW, run_ordered
 from gistline.operators.versions import active_profile
-from gistline.session import checkpoint, fits_broadcast, local_frame, lookup
+from gistline.session import checkpoint, fits_broadcast, local_frame, lookup, stored
 
 # Fixed values.
 MAX_STEPS = 10_000_000
@@ -344,7 +344,7 @@ def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_L
 
     def chain(df: DataFrame, order) -> DataFrame:
         df = checkpoint(O.dedup_adjacent(df, order))  # read for the classes and for the rules
-        formats = detect_format_lines(df.where("tier = 'format'"), order).where("format = 'log'")
+        formats = stored(detect_format_lines(df.where("tier = 'format'"), order).where("format = 'log'"))
         # Sessions too long for one task are few, so theirs is a small table.
         tagged = df.join(F.broadcast(formats) if fits_broadcast(formats) else formats, "session_id", "left")
         kept = S.drop_debug_lines(tagged.withColumn("format", F.coalesce("format", F.lit("")))).drop("format", "tier")
@@ -438,7 +438,7 @@ def budget_guard(cost: DataFrame, max_steps: int = MAX_STEPS, max_bytes: int = M
 def guarded_output(reduced: DataFrame, cleaned: DataFrame, guard: DataFrame) -> DataFrame:
     """Reduced lines, or the cleaned ones for a session that went over the budget. Only the
     ids of aborted sessions, a handful, are joined to the lines."""
-    aborted = guard.where("aborted").select("session_id")
+    aborted = stored(guard.where("aborted").select("session_id"))
     names = ["session_id", "line_no", "sub_no", "text", "is_placeholder"]
     if fits_broadcast(aborted):
         aborted = F.broadcast(aborted)

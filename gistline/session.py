@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +53,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    It cuts lineage as a reliable checkpoint does, but the plan runs once and later reads
+    take only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+checkpoint = stored
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -84,7 +93,8 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
 
     A small lookup is broadcast once its size is measured. A large one is joined by
     shuffle; each of its rows is copied ``salts`` times and the rows of the large side pick
-    a copy by their own content, so one hot key is spread over ``salts`` tasks.
+    a copy by their own content, so one hot key is spread over ``salts`` tasks. A lookup table
+    that is itself computed from a large table should be ``stored`` before, as it is read twice.
     """
     if measure and fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
