@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,12 +166,13 @@ class Links:
         shared = common.stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         #: Members of bands that hold more than one class.
         self.members = common.stored(members.join(shared, "band"))
+        common.discard(shared)
         wanted = self.members.select("code").distinct()
         self.candidates = common.stored(self.classes.join(wanted, "code").select("code", "doc_id", "sketch"))
         named = self.candidates.select(F.col("doc_id").alias("_id"), "code")
         texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "code")
         self.sets = common.stored(texts.mapInArrow(lambda b: _sets(b, width), "code long, codes binary").dropDuplicates(["code"]))
-        self.links = None
+        self.links: list[DataFrame] = []
         self.labels = None
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -185,19 +187,30 @@ class Links:
         refuse, percent = self.refuse, self.percent
         near = common.stored(sides(None, "sketch").mapInArrow(lambda b: _alike(b, refuse), "u long, v long"))
         found = common.stored(sides(near, "codes").mapInArrow(lambda b: _confirmed(b, percent), "u long, v long"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links).withColumnsRenamed({"node": "code", "root": "label"})
+        common.discard(near)
+        self.links.append(found)
+        old, self.labels = self.labels, components(reduce(DataFrame.unionByName, self.links))
+        common.discard(old)
 
     def open_members(self) -> DataFrame:
         """Members, with their component, of the bands that hold several components."""
         labelled = common.stored(
-            self.members.join(self.labels, "code", "left").select("band", "code", F.coalesce("label", "code").alias("label"))
+            self.members.join(self.label_of(), "code", "left").select("band", "code", F.coalesce("label", "code").alias("label"))
         )
         mixed = common.stored(
             labelled.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
             .where("a <> b").select("band", "n")
         )
-        return common.stored(labelled.join(mixed, "band"))
+        members = common.stored(labelled.join(mixed, "band"))
+        common.discard(labelled, mixed)
+        return members
+
+    def label_of(self) -> DataFrame:
+        return self.labels.select(F.col("node").alias("code"), F.col("root").alias("label"))
+
+    def close(self) -> None:
+        """Delete all tables but the rows."""
+        common.discard(self.classes, self.members, self.candidates, self.sets, self.labels, *self.links)
 
     def by_popular_hub(self) -> None:
         shares = self.members.groupBy("code").agg(F.sum("n").alias("shares"))
@@ -205,6 +218,7 @@ class Links:
             self.members.join(shares, "code").groupBy("band").agg(F.max(F.struct("shares", "code"))["code"].alias("hub"))
         )
         self.confirm(self.members.join(hubs, "band").where("code <> hub").select(F.col("code").alias("u"), F.col("hub").alias("v")))
+        common.discard(hubs)
 
     def by_drawn_hub(self, turn: int) -> bool:
         """Join the open members of each band with one of them; False if none is open."""
@@ -214,6 +228,7 @@ class Links:
         drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "code").alias("h"), "code", "label"))
         hubs = common.stored(members.groupBy("band").agg(drawn.alias("hub")).select("band", "hub.code", "hub.label").toDF("band", "v", "hub_label"))
         self.confirm(members.join(hubs, "band").where("label <> hub_label").select(F.col("code").alias("u"), "v"))
+        common.discard(members, hubs)
         return True
 
     def by_blocks(self) -> None:
@@ -233,6 +248,7 @@ class Links:
         as_right = rows.where("block >= other").select("band", "code", "label", "sketch", F.lit(1).alias("side"), F.col("other").alias("a"), F.col("block").alias("b"))
         pairs = as_left.unionByName(as_right).groupBy("band", "a", "b").applyInArrow(lambda g: _block_pairs(g, refuse), "u long, v long")
         self.confirm(pairs)
+        common.discard(members)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80,
@@ -246,9 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         work.by_popular_hub()
         if all(work.by_drawn_hub(turn) for turn in range(draws)):
             work.by_blocks()
-        found = work.classes.join(work.labels, "code", "left").select("code", "doc_id", F.coalesce("label", "code").alias("label"))
+        found = work.classes.join(work.label_of(), "code", "left").select("code", "doc_id", F.coalesce("label", "code").alias("label"))
     smallest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = common.stored(found.join(smallest, "label").select("code", "component_id"))
+    work.close()
     full = work.rows.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "code").join(of_class, "code")
     empty = work.rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "text_key", "n_shingles", "component_id").unionByName(empty).withColumn(

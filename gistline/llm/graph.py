@@ -27,15 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
             both.groupBy("u").agg(F.min(order("v")).alias("best")).select("u", F.least("best", order("u"))["node"].alias("p"))
         )
         if labels is None:
-            labels = parents.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            labels = common.stored(parents.select(F.col("u").alias("node"), F.col("p").alias("root")))
         else:
-            moved = parents.select(F.col("u").alias("root"), "p")
-            labels = common.stored(labels.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        edges = common.stored(
+            moved, old = parents.select(F.col("u").alias("root"), "p"), labels
+            labels = common.stored(old.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            common.discard(old)
+        old, edges = edges, common.stored(
             edges.join(parents, "u").select(F.col("p").alias("a"), F.col("v").alias("u"))
             .join(parents, "u").select(F.col("a").alias("u"), F.col("p").alias("v"))
             .where("u <> v").distinct()
         )
+        common.discard(old, parents)
         if edges.isEmpty():
+            common.discard(edges)
             return labels
         turn += 1

@@ -83,7 +83,7 @@ def candidates(index: DataFrame, leads: DataFrame) -> DataFrame:
     )
     # a term that the corpus lacks rules its window out
     ranked = common.stored(ranked.where(F.col("ranked")[0]["n"] > 0))
-    found = None
+    found = before = None
     for k in range(LISTS):
         lead = F.get("ranked", F.least(F.lit(k), F.size("ranked") - 1))
         lists = ranked.select("wid", lead["term"].alias("term"), lead["at"].alias("at"))
@@ -92,7 +92,10 @@ def candidates(index: DataFrame, leads: DataFrame) -> DataFrame:
         else:
             wanted = lookup(found, lists, ["wid"], "inner").select("wid", "rid", "start", "term", (F.col("start") + F.col("at")).alias("pos"))
             found = wanted.join(_of_terms(index, lists), ["term", "rid", "pos"]).select("wid", "rid", "start")
-        found = common.stored(found.distinct())
+        old, found = before, common.stored(found.distinct())
+        common.discard(old)
+        before = found
+    common.discard(ranked)
     return found
 
 
@@ -104,8 +107,10 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, doc_id: str = "d
     windows = common.stored(windows_of(items, width))
     leads = common.stored(leads_of(windows))
     index = build_index(docs, leads.select("term").distinct())
-    found = lookup(candidates(index, leads), windows.select("wid", "terms").dropDuplicates(["wid"]), ["wid"], "inner")
+    starts = candidates(index, leads)
+    found = lookup(starts, windows.select("wid", "terms").dropDuplicates(["wid"]), ["wid"], "inner")
     per_row = common.stored(found.groupBy("rid").agg(F.collect_list(F.struct("wid", "start", "terms")).alias("found")))
+    common.discard(index, starts, leads)
     rows = with_rid(docs).join(per_row, "rid", "left").withColumn("words", words_of("text"))
     exact = F.filter("found", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
     places = F.array_distinct(F.flatten(F.transform("exact", lambda c: F.sequence(c["start"], c["start"] + F.size(c["terms"]) - 1))))
@@ -115,6 +120,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, doc_id: str = "d
                 F.array_distinct(F.transform(F.coalesce("exact", F.array()), lambda c: c["wid"])).alias("wids"),
                 F.coalesce(places, F.array().cast("array<int>")).alias("hits"))
     )
+    common.discard(per_row)
     of_window = windows.select("wid", "item_id").distinct()
     hit_items = lookup(rows.select("rid", F.explode("wids").alias("wid")).distinct(), of_window, ["wid"], "inner")
     listed = hit_items.groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
