@@ -62,7 +62,7 @@ def test_quality_edge_cases(spark):
 
 
 def test_depleted_documents_go_and_the_first_stays(spark):
-    menu = [f"menu entry number {w} of the shared page head" for w in ("one", "two", "three", "four")]
+    menu = [" ".join(w + c for c in "abcdefgh") for w in ("home", "news", "shop", "help")]
     rows = [(i, "h" + str(i % 2), "\n".join([*menu, f"own words {chr(97 + i % 26)}{chr(97 + i // 26)}"])) for i in range(60)]
     rows += [(100 + i, "h0", " ".join(f"{chr(97 + i)}{k}x" for k in "abcdefghijklmnop")) for i in range(20)]
     rows += [(200 + i, "h0", "\n".join(menu)) for i in range(5)]
