@@ -116,12 +116,12 @@ def _invariant(**fields) -> Column:
         fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.INVARIANT.fields])
 
 
-def learn_profile(samples: DataFrame) -> DataFrame:
-    """A rule set per fingerprint: colours off, keep the first anchors, no blank lines, no
-    repeats, a size limit; and two invariants."""
+def learn_profile(samples: DataFrame, max_anchors: int | None = MAX_ANCHORS, max_bytes: int = TRUNCATE_BYTES) -> DataFrame:
+    """A rule set per fingerprint: colours off, keep the first ``max_anchors`` anchors (None: all), no
+    blank lines, no repeats, a size limit; and two invariants."""
     first = Window.partitionBy("fingerprint").orderBy("line")
     anchors = constant_lines(samples).withColumn("rn", F.row_number().over(first)).where(
-        F.col("rn") <= MAX_ANCHORS).groupBy("fingerprint").agg(
+        F.col("rn") <= F.lit(max_anchors) if max_anchors is not None else F.lit(True)).groupBy("fingerprint").agg(
         F.array_sort(F.collect_list("line")).alias("anchors"))
     df = samples.select("fingerprint").distinct().join(anchors, "fingerprint", "left")
     pattern = F.concat(F.lit("^("), F.array_join(F.transform("anchors", escape), "|"), F.lit(")$"))
@@ -130,7 +130,7 @@ def learn_profile(samples: DataFrame) -> DataFrame:
         F.when(F.col("anchors").isNotNull(), _rule(kind=F.lit("keep_lines"), pattern=pattern)),
         _rule(kind=F.lit("drop_lines"), pattern=F.lit(r"^\s*$")),
         _rule(kind=F.lit("dedup")),
-        _rule(kind=F.lit("truncate_to"), bytes=F.lit(TRUNCATE_BYTES)),
+        _rule(kind=F.lit("truncate_to"), bytes=F.lit(max_bytes)),
     ))
     invariants = F.array(
         _invariant(name=F.lit("ErrorLinesPreserved"), check=F.lit("all_matching_preserved"),

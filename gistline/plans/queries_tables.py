@@ -348,15 +348,27 @@ def _(spark, d):
     return judged(spark, d)[2].select("session_id", F.round("self_fidelity", ROUND).alias("self_fidelity"))
 
 
-@query("fidelity_events", twin("tools_clean", JUDGED + f"""select t.session_id, cast({PROFILE_ID.replace('fingerprint', 't.fingerprint', 1)} as bigint)
- as profile_id, case when passed then 'invariant_pass' else 'invariant_fail' end as kind, r.name as signal
- from results r join tools t using (session_id) where t.fingerprint in ({STORED})"""))
+DETAIL = """case when passed then null
+ when "check" = 'all_matching_preserved' then cast(missing as varchar) || ' matching lines missing from compressed'
+ when "check" = 'count_matches_at_least' then 'expected >= ' || cast(cnt as varchar) || ', got ' || cast(coalesce(got, 0) as varchar) end"""
+
+
+@query("fidelity_events", twin("tools_clean", JUDGED + f""",
+rw as (select distinct session_id, rtrim(text) as line from tools_lines),
+bad as (select s.session_id, count(*) filter (r.line is null and trim(s.text) <> '' and not starts_with(ltrim(s.text), '[... ')) as n
+  from shown s left join rw r on r.session_id = s.session_id and r.line = rtrim(s.text) group by 1),
+ids as (select session_id from rw union select session_id from shown),
+e as (select session_id, case when passed then 'invariant_pass' else 'invariant_fail' end as kind, name as signal, {DETAIL} as detail from results
+  union all select session_id, case when coalesce(n, 0) = 0 then 'structural_pass' else 'structural_fail' end, null,
+  case when n > 0 then cast(n as varchar) || ' invented line(s)' end from ids left join bad using (session_id))
+select t.session_id, cast({PROFILE_ID.replace('fingerprint', 't.fingerprint', 1)} as bigint) as profile_id, kind, signal, detail,
+ cast({NOW} as bigint) as "at" from e join tools t using (session_id) where t.fingerprint in ({STORED})"""))
 def _(spark, d):
     rules = rule_table(spark)
     sessions = R.dispatch_profile(view(spark, d, "tools"), rules)
     results, subset, _ = judged(spark, d)
     events = G.fidelity_events(results, subset, sessions, NOW)
-    return events.where("kind like 'invariant%'").select("session_id", "profile_id", "kind", "signal")
+    return events.select("session_id", "profile_id", "kind", "signal", "detail", "at")
 
 
 # -- the whole job
