@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams of a document's words, each word between two marks,
-present or not. Training reads at most ``max_rows`` labelled documents (those first in the order of
+Features are the hashed character n-grams of a document's words, each word between two marks:
+whether one is there, and whether it is in two different words, as a stem in two inflections is. Training reads at most ``max_rows`` labelled documents (those first in the order of
 a hash of the id). Log-count ratios of the two classes are summed from them in the cluster; the
 ``keep`` features that tell the classes apart best are kept, scaled by their ratio, and a logistic
 regression is fitted to them. Every whole document is then scored in Arrow batches; a worker remembers
@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 from gistline.llm import common
 
 WORD = regex.compile(r"[^\s\p{P}\p{S}]+")
-SIZES = (3, 4, 5)
-BITS = 18
+SIZES = (3, 4, 5, 6)
+#: Buckets of n-grams; that of an n-gram found in two words lies so far behind its own.
+TWICE = 1 << 20
 REMEMBERED = 400_000
 
 
-def grams(word: str) -> list[int]:
-    """Hash buckets of the n-grams of one word; of a long word each n-gram is one too."""
+def grams(word: str) -> set[int]:
+    """Hash buckets of the n-grams of one word, however long."""
     w = f"\x02{word}\x03"
-    return [xxhash.xxh32_intdigest(w[i : i + n]) & ((1 << BITS) - 1) for n in SIZES for i in range(len(w) - n + 1)]
+    return {xxhash.xxh32_intdigest(w[i : i + n]) & (TWICE - 1) for n in SIZES for i in range(len(w) - n + 1)}
 
 
 def words_of(text: str) -> set[str]:
@@ -43,25 +44,27 @@ def words_of(text: str) -> set[str]:
 
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (toxic, features as little-endian uint32)."""
-    known: dict[str, list[int]] = {}
+    known: dict[str, set[int]] = {}
     for batch in common.slices(batches, "text"):
         rows = []
         for text in common.texts(batch, "text"):
-            found: set[int] = set()
+            once: set[int] = set()
+            twice: set[int] = set()
             for w in words_of(text):
                 f = known.get(w)
                 if f is None:
                     if len(known) > REMEMBERED:
                         known.clear()
                     f = known[w] = grams(w)
-                found.update(f)
-            rows.append(np.array(sorted(found), "<u4").tobytes())
+                twice |= once & f
+                once |= f
+            rows.append(np.array([*sorted(once), *(f + TWICE for f in sorted(twice))], "<u4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "features"])
 
 
 def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per feature and class of one task, as arrays: a bounded row."""
-    counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    counts, rows = np.zeros((2, 2 * TWICE), np.int32), np.zeros(2, np.int64)
     for batch in batches:
         for toxic, f in zip(batch.column("toxic").to_pylist(), batch.column("features").to_pylist(), strict=True):
             counts[toxic, np.frombuffer(f, "<u4")] += 1
@@ -81,31 +84,39 @@ class Model:
         self.weights = dict(zip(features.tolist(), weights.tolist(), strict=True))
 
     def word(self, word: str) -> tuple[int, ...]:
-        return tuple(f for f in grams(word) if f in self.weights)
+        """Of the n-grams of a word those that any weight asks for."""
+        return tuple(sorted(f for f in grams(word) if f in self.weights or f + TWICE in self.weights))
 
+    def score(self, words: list[tuple[int, ...]]) -> float:
+        once: set[int] = set()
+        twice: set[int] = set()
+        for f in words:
+            twice.update(once.intersection(f))
+            once.update(f)
+        get = self.weights.get
+        return self.bias + sum(get(f, 0.0) for f in sorted(once)) + sum(get(f + TWICE, 0.0) for f in sorted(twice))
 
-def fit(labelled: DataFrame, *, keep: int = 4096, alpha: float = 1.0, ridge: float = 1e-3, steps: int = 300) -> Model:
-    """Train on (toxic, text)."""
+
+def fit(labelled: DataFrame, *, keep: int = 4096, alpha: float = 1.0, ridge: float = 1e-3, steps: int = 400, rate: float = 0.05) -> Model:
+    """Train on (toxic, text). Toxic rows weigh more, by the root of how rare they are."""
     labelled = common.stored(labelled.mapInArrow(featured, "toxic int, features binary"))
-    tally = labelled.mapInArrow(tallied, "toxic int, n long, feature array<long>, docs array<long>")
+    tally = common.stored(labelled.mapInArrow(tallied, "toxic int, n long, feature array<long>, docs array<long>"))
     sizes = {r["toxic"]: r["n"] for r in tally.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
-    n = np.array([sizes.get(0, 0), sizes.get(1, 0)], np.float64)
+    n = [sizes.get(0, 0), sizes.get(1, 0)]
     bias = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
-    if not n.all():
+    if not all(n):
         return Model(bias, np.zeros(0, np.int64), np.zeros(0))
-    # a row per feature that occurs, at most 2 ** BITS
-    rows = tally.select("toxic", F.explode(F.arrays_zip("feature", "docs")).alias("x")).groupBy("x.feature").agg(
+    counts = common.stored(tally.select("toxic", F.explode(F.arrays_zip("feature", "docs")).alias("x")).groupBy("x.feature").agg(
         *(F.sum(F.when(F.col("toxic") == c, F.col("x.docs")).otherwise(0)).alias(f"c{c}") for c in (0, 1))
-    ).toPandas()
-    counts = rows[["c0", "c1"]].to_numpy(np.float64)
-    share = (counts + alpha) / (counts + alpha).sum(axis=0)
-    ratio = np.log(share[:, 1] / share[:, 0])
-    # how far the share of documents differs, in standard errors
-    p, whole = counts / n, counts.sum(axis=1) / n.sum()
-    apart = np.abs(p[:, 1] - p[:, 0]) / np.sqrt((whole * (1 - whole) + 1e-9) * (1 / n).sum())
-    best = np.lexsort((rows["feature"].to_numpy(), -apart))[:keep]
-    chosen, ratio = rows["feature"].to_numpy()[best], ratio[best]
-    place = np.full(1 << BITS, -1, np.int64)
+    ))
+    whole = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
+    share = [(F.col(f"c{c}") + alpha) / (whole[f"c{c}"] + alpha * whole["v"]) for c in (0, 1)]
+    # how far the shares of documents differ, in standard errors
+    both = (F.col("c0") + F.col("c1")) / sum(n)
+    apart = F.abs(F.col("c1") / n[1] - F.col("c0") / n[0]) / F.sqrt((both * (1 - both) + 1e-9) * (1 / n[0] + 1 / n[1]))
+    best = counts.select("feature", F.log(share[1] / share[0]).alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "feature").limit(keep).collect()
+    chosen, ratio = np.array([r["feature"] for r in best], np.int64), np.array([r["ratio"] for r in best])
+    place = np.full(2 * TWICE, -1, np.int16)
     place[chosen] = np.arange(len(chosen))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,22 +128,22 @@ def fit(labelled: DataFrame, *, keep: int = 4096, alpha: float = 1.0, ridge: flo
 
     data = labelled.mapInArrow(kept, "toxic int, features binary").collect()  # bounded by max_rows * keep
     data.sort(key=lambda r: (r["toxic"], r["features"]))  # sums do not depend on the order of tasks
+    common.discard(labelled, tally, counts)
     y = np.array([r["toxic"] for r in data], np.float64)
     parts = [np.frombuffer(r["features"], "<u2") for r in data]
-    sizes_ = np.array([len(p) for p in parts])
-    flat, owner = np.concatenate(parts).astype(np.int64), np.repeat(np.arange(len(parts)), sizes_)
+    flat, owner = np.concatenate(parts).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    weight = np.where(y > 0, np.sqrt(n[0] / n[1]), 1.0) / len(y)
     w, b, value = np.zeros(len(chosen)), bias, ratio
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):  # Adam on the whole data
         z = b + np.bincount(owner, (w * value)[flat], len(y))
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw = np.bincount(flat, g[owner], len(w)) * value / len(y) + ridge * w
-        gb = g.mean()
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        gw, gb = np.bincount(flat, g[owner], len(w)) * value + ridge * w, g.sum()
         m, s = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        rate = 0.05 * min(1.0, 2 - 2 * step / steps)
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-8)
+        pace = rate * min(1.0, 2 - 2 * step / steps)
+        w -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        b -= pace * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-8)
     return Model(float(b), chosen, w * value)
 
 
@@ -141,7 +152,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     for batch in common.slices(batches, "text"):
         scores = []
         for text in common.texts(batch, "text"):
-            found: set[int] = set()
+            found = []
             for w in words_of(text):
                 f = known.get(w)
                 if f is None:
@@ -149,8 +160,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
                         known.clear()
                     f = known[w] = model.word(w)
                 if f:
-                    found.update(f)
-            scores.append(model.bias + sum(model.weights[f] for f in sorted(found)))
+                    found.append(f)
+            scores.append(model.score(found))
         score = 1 / (1 + np.exp(-np.clip(np.array(scores, np.float64), -500, 500)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -159,7 +170,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", *, max_rows: int = 12_000, **options) -> DataFrame:
+          label_col: str = "toxic", *, max_rows: int = 8_000, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row; learns from rows that are not held out."""
     common.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
