@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir))
     return docs

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistline.session import shared_folder
+from gistline.session import shared_folder, spread
 
 #: Bytes of text that an Arrow function works on at once.
 SLICE_BYTES = 8 << 20
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, a scan of few tasks spread over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut of lineage that any executor can read again."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"

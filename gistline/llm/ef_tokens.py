@@ -259,5 +259,5 @@ def read(files: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    files = write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    files = write(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read(files)

@@ -283,4 +283,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), width=4).drop("text_key")
+    return near_duplicates(common.documents(spark, sf_dir), width=4).drop("text_key")

@@ -163,7 +163,7 @@ def keep(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = matches(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -187,5 +187,5 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    docs, labels = common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels")
     return score(docs, labels, common.crc_mod("doc_id", 5) == 0)

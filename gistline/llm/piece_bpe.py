@@ -177,4 +177,4 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_digests(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

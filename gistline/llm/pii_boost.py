@@ -397,4 +397,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find(common.table(spark, sf_dir, "documents"))
+    return find(common.documents(spark, sf_dir))

@@ -174,7 +174,7 @@ def keep(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "documents")).select(
+    return judge(common.documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words", "removed_lines",
     )
