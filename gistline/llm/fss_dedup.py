@@ -11,8 +11,9 @@ Documents of one set are one class, so copies are never compared. Candidates of
 expanded into pairs. Bands are joined with a hub: first its member that shares most bands with
 others, then members drawn anew by a hash, so that near copies fall into one component in a
 few rounds that are linear in the table. Members of one band that are still in different
-components are compared in blocks, all of them, so that no link is lost. Links are confirmed
-on full shingle sets; the sketch only refuses pairs far below the threshold.
+components are compared in blocks, all of them, so that no link is lost; of sets up to ``SHORT``
+shingles by 16-bit codes, which refuse no link and leave hardly a pair that is none. Links are
+confirmed on full shingle sets; the sketch only refuses pairs far below the threshold.
 
 With the defaults (48 bands of 6) a pair of similarity 0.8 shares no band with probability 5e-7, a
 pair of 0.85 with 7e-11; a sketch of such a pair falls below ``refuse`` with about 2e-9.
@@ -39,6 +40,8 @@ from gistline.llm import common
 from gistline.llm.graph import components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Shingles of a set that is compared by 16-bit codes in blocks; larger ones are by their sketches.
+SHORT = 1024
 #: Members of a band that one task compares with as many others.
 BLOCK = 128
 
@@ -103,11 +106,14 @@ def described(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: i
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, "text"):
-        sets = [s.tobytes() for s in shingles(common.raw_texts(batch, "text"), width)]
-        code = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sets]
+        sets = shingles(common.raw_texts(batch, "text"), width)
+        code = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
         keep = [i for i, (c, want) in enumerate(zip(code, batch.column("code").to_pylist(), strict=True)) if c == want]
+        short = [(sets[i] & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(sets[i]) <= SHORT else None for i in keep]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([code[i] for i in keep], pa.int64()), pa.array([sets[i] for i in keep], pa.binary())], names=["code", "codes"]
+            [pa.array([code[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()),
+             pa.array(short, pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+            names=["code", "n", "short", "codes"],
         )
 
 
@@ -135,18 +141,32 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
 
-def _block_pairs(group: pa.Table, least: float) -> pa.Table:
-    """Of one pair of blocks of a band: pairs of different components that the sketches allow."""
-    side = group.column("side").to_numpy()
+def _block_pairs(group: pa.Table, least: float, percent: int) -> pa.Table:
+    """Of one pair of blocks of a band: pairs of different components that may be linked.
+
+    Of sets with short codes, those whose short codes meet often enough: a short code is shared at least
+    as often as the code, so no link is refused, and hardly anything else passes. Else by the sketches.
+    """
+    side, n = group.column("side").to_numpy(), group.column("n").to_numpy()
     code, label = group.column("code").to_numpy(), group.column("label").to_numpy()
-    data = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
+    sketches = [None if x is None else np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()]
+    short = [np.zeros(0, np.uint16) if x is None else np.frombuffer(x, "<u2") for x in group.column("short").to_pylist()]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     us, vs = [], []
+    marked = np.zeros(1 << 16, bool)
     for i in left:
-        others = right[label[right] != label[i]]
-        near = others[(data[others] == data[i]).mean(axis=1) >= least]
+        sizes = (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (label[right] != label[i])
+        others = right[sizes]
+        by_code = [j for j in others if len(short[i]) and len(short[j])]
+        near = [j for j in others if not (len(short[i]) and len(short[j])) and (sketches[i] == sketches[j]).mean() >= least]
+        if by_code:
+            marked[short[i]] = True
+            ends = np.cumsum([len(short[j]) for j in by_code])
+            met = np.add.reduceat(marked[np.concatenate([short[j] for j in by_code])].astype(np.int64), np.concatenate([[0], ends[:-1]]))
+            marked[short[i]] = False
+            near += [j for j, m in zip(by_code, met.tolist(), strict=True) if 100 * m >= percent * (n[i] + n[j] - m)]
         us.append(np.full(len(near), code[i]))
-        vs.append(code[near])
+        vs.append(code[near] if near else code[:0])
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
@@ -171,7 +191,7 @@ class Links:
         self.candidates = common.stored(self.classes.join(wanted, "code").select("code", "doc_id", "sketch"))
         named = self.candidates.select(F.col("doc_id").alias("_id"), "code")
         texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "code")
-        self.sets = common.stored(texts.mapInArrow(lambda b: _sets(b, width), "code long, codes binary").dropDuplicates(["code"]))
+        self.sets = common.stored(texts.mapInArrow(lambda b: _sets(b, width), "code long, n long, short binary, codes binary").dropDuplicates(["code"]))
         self.links: list[DataFrame] = []
         self.labels = None
 
@@ -236,23 +256,27 @@ class Links:
         members = self.open_members()
         if members.isEmpty():
             return
-        refuse = self.refuse
+        refuse, percent = self.refuse, self.percent
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = members.join(self.candidates.select("code", "sketch"), "code").select(
-            "band", "code", "label", "sketch", F.pmod(F.xxhash64("code"), blocks).cast("int").alias("block"), blocks.alias("blocks")
+        rows = members.select(
+            "band", "code", "label", F.pmod(F.xxhash64("code"), blocks).cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+        )
+        # A member is the left side of its block's pairs with blocks from its own on, and the right side of the others.
+        as_left = rows.where("block <= other").select("band", "code", "label", F.lit(0).alias("side"), F.col("block").alias("a"), F.col("other").alias("b"))
+        as_right = rows.where("block >= other").select("band", "code", "label", F.lit(1).alias("side"), F.col("other").alias("a"), F.col("block").alias("b"))
+        described = self.sets.select("code", "n", "short").join(self.candidates.select("code", "sketch"), "code").select(
+            "code", "n", "short", F.when(F.col("short").isNull() | (F.length("short") > SHORT), F.col("sketch")).alias("sketch")
+        )
+        pairs = as_left.unionByName(as_right).join(described, "code").groupBy("band", "a", "b").applyInArrow(
+            lambda g: _block_pairs(g, refuse, percent), "u long, v long"
         )
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("band", "code", "label", "sketch", "block", other)
-        # A member meets every block as the left side of pairs up to its own number and as the right side beyond.
-        as_left = rows.where("block <= other").select("band", "code", "label", "sketch", F.lit(0).alias("side"), F.col("block").alias("a"), F.col("other").alias("b"))
-        as_right = rows.where("block >= other").select("band", "code", "label", "sketch", F.lit(1).alias("side"), F.col("other").alias("a"), F.col("block").alias("b"))
-        pairs = as_left.unionByName(as_right).groupBy("band", "a", "b").applyInArrow(lambda g: _block_pairs(g, refuse), "u long, v long")
         self.confirm(pairs)
         common.discard(members)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80,
-                    bands: int = 48, rows: int = 6, refuse: float = 0.66, draws: int = 2) -> DataFrame:
+                    bands: int = 48, rows: int = 6, refuse: float = 0.66, draws: int = 3) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept), one row per input row; text_key is the hash of the text."""
     common.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
