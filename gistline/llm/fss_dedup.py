@@ -43,7 +43,7 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles of a set that is compared by 16-bit codes in blocks; larger ones are by their sketches.
 SHORT = 1024
 #: Members of a band that one task compares with as many others.
-BLOCK = 128
+BLOCK = 1024
 
 
 def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
