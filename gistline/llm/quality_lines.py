@@ -4,7 +4,8 @@ A text is split at line feeds, each line is normalised (lower case, digits as 0,
 folded) and hashed. Per host, the documents of different text that hold a line are counted. A
 line in more than ``min_docs`` of them and more than ``min_share`` of the host's documents is
 boilerplate: it is taken out of every document of the host but the first (smallest id) that has
-it. A document left with less than ``min_left`` of its words is depleted and rejected.
+it. A document left with less than ``min_left`` of its words is depleted and rejected. ``judge``
+counts, ``keep`` gives the passing rows as they are, ``clean`` gives them without their boilerplate.
 
 Edge cases: a null text has no words and fails the base rule; a null host is a host of its own;
 rows that repeat a document get the same verdict each; copies of one text count as one document,
@@ -100,16 +101,16 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, line_key, words): one row per document and different line."""
+    """(doc_id, host, text_key, line_key, words, places): one row per document and different line."""
     line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), "[0-9]", "0"), "[\\x20\\x09-\\x0D]+", " "))
-    lines = docs.select("doc_id", "host", "text_key", F.explode(F.split("text", "\n")).alias("line")).select(
-        "doc_id", "host", "text_key", line.alias("line")
+    lines = docs.select("doc_id", "host", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line")).select(
+        "doc_id", "host", "text_key", "place", line.alias("line")
     )
     return (
         lines.where(F.col("line") != "")
-        .select("doc_id", "host", "text_key", F.xxhash64("line").alias("line_key"), F.size(F.split("line", " ")).alias("words"))
+        .select("doc_id", "host", "text_key", "place", F.xxhash64("line").alias("line_key"), F.size(F.split("line", " ")).alias("words"))
         .groupBy("doc_id", "host", "text_key", "line_key")
-        .agg(F.sum("words").alias("words"))
+        .agg(F.sum("words").alias("words"), F.collect_list("place").alias("places"))
     )
 
 
@@ -128,7 +129,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", *,
           min_docs: int = 10, min_share: float = 0.005, min_left: float = 0.3) -> DataFrame:
-    """One row per input row: doc_id, host, the base counts, removed_words, depleted and kept."""
+    """One row per input row: doc_id, host, the base counts, removed_words, removed_places, depleted and kept."""
     common.ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(
@@ -146,8 +147,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     hit = (F.col("line_key") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
     removed = (
         lines.join(frequent, hit).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy(*key).agg(F.sum("words").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"))
-        .select(*(F.col(c).alias("_" + c) for c in key), "removed_words", "removed_lines")
+        .groupBy(*key).agg(F.sum("words").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"),
+                            F.flatten(F.collect_list("places")).alias("removed_places"))
+        .select(*(F.col(c).alias("_" + c) for c in key), "removed_words", "removed_lines", "removed_places")
     )
     on = (F.col("text_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("host").eqNullSafe(F.col("_host"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -155,7 +157,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     return measured.join(removed, on, "left").select(
         *key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         gone.alias("removed_words"), F.coalesce("removed_lines", F.lit(0).cast("bigint")).alias("removed_lines"),
-        failed.alias("base_failed"),
+        F.coalesce("removed_places", F.array().cast("array<int>")).alias("removed_places"), failed.alias("base_failed"),
         ((gone > 0) & (F.col("n_words") - gone < min_left * F.col("n_words"))).alias("depleted"),
     ).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
@@ -173,6 +175,25 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     return docs.join(judged, on, "left_semi")
 
 
+def clean(docs: DataFrame, **options) -> DataFrame:
+    """The rows of documents that pass, with their own columns and without their boilerplate lines."""
+    judged = judge(docs, **options).where("kept").select(
+        F.col("doc_id").alias("_clean_id"), F.col("host").alias("_clean_host"), F.col("text_key").alias("_clean_key"),
+        F.col("removed_places").alias("_clean_places"),
+    ).dropDuplicates(["_clean_id", "_clean_host", "_clean_key"])
+    name = {"id_col": "doc_id", "host_col": "source", "text_col": "text"} | options
+    text = F.col(name["text_col"])
+    on = (
+        F.col(name["id_col"]).eqNullSafe(F.col("_clean_id")) & F.col(name["host_col"]).cast("string").eqNullSafe(F.col("_clean_host"))
+        & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_clean_key"))
+    )
+    # array_except hashes, so a text of many removed lines costs no more than its length.
+    rows = docs.join(judged, on).withColumn("_clean_lines", F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_clean_lines") - 1), "_clean_places")
+    rest = F.array_join(F.transform(left, lambda i: F.get("_clean_lines", i)), "\n")
+    return rows.withColumn(name["text_col"], F.when(F.size("_clean_places") > 0, rest).otherwise(text)).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(common.documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

@@ -72,6 +72,36 @@ def test_depleted_documents_go_and_the_first_stays(spark):
     assert kept == {0, 1, *range(100, 120)}
 
 
+def _cleaned(rows, frequent, kept):
+    """Texts of kept rows, frequent lines out of all but the first document that has them."""
+    out = []
+    for d, s, t in rows:
+        if (d, s) in kept:
+            lines = (t or "").split("\n")
+            out.append((d, s, "\n".join(x for x in lines if (s, _line(x)) not in frequent or frequent[s, _line(x)] == d)))
+    return out
+
+
+def test_clean_takes_boilerplate_out_of_texts(spark):
+    own = lambda i: "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + k)}{c}" for c in "abcdefgh") for k in range(2))
+    rows = [(i, "h", f"Page {i}:  ALL rights\treserved\n{own(i)}\n\npage {i}0: all rights reserved\nlog in  \n") for i in range(12)]
+    rows += [(20, "other", rows[0][2]), (21, "h", own(21)), (22, "h", "log in\nlog in\nlog in"), (23, "h", None), (None, None, own(23))]
+    rows += [(i, "h", f"Log in\n{own(i)}") for i in (24, 25)]
+    frequent = {("h", "page 0: all rights reserved"): 0, ("h", "log in"): 0}
+    frequent |= {("h", "page 00: all rights reserved"): 0}  # digits of 10 and 11, and of the second mention
+    n = {x: len({t for _, s, t in rows if s == "h" and x in map(_line, (t or "").split("\n"))}) for _, x in frequent}
+    frequent = {k: v for k, v in frequent.items() if n[k[1]] > 10}
+    assert len(frequent) >= 2
+    docs = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, source string, text string, n_chars long")
+    kept = {(r[0], s) for r, (_, s, _) in zip(_judged(rows), rows, strict=True) if r[-1]}
+    got = quality_lines.clean(docs)
+    want = _cleaned(rows, frequent, kept)
+    assert got.columns == docs.columns and sum(t != dict((r[0], r[2]) for r in rows)[d] for d, _, t in want) >= 10
+    brute.same(got.select("doc_id", "source", "text").collect(), want)
+    staged = corpus_pipeline.quality(spark, docs, None).collect()
+    brute.same([(r.doc_id, r.text, r.n_chars) for r in staged], [(d, t, len(t)) for d, _, t in want])
+
+
 def test_repeat_words_with_equal_codes(monkeypatch):
     docs = [brute.WORD.findall(t) for t in ("a b c d e f a b c d e", "x " * 30, "a b", "")]
     want = [_base(" ".join(d))[4] for d in docs]
