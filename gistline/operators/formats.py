@@ -1,7 +1,8 @@
 """Format class of sessions that come as line tables, in the same priority as for texts.
 
 Everything but a single JSON document follows from flags of lines, which partial sums can
-hold. Only a session that starts like a document is put together, and only if it fits a row.
+hold. Only a session that starts like a document is put together, and only if it fits a row. A
+larger one gets its class from its lines unless all of them may be parts of one document.
 """
 
 from __future__ import annotations
@@ -17,6 +18,27 @@ from gistline.operators.scan import WINDOW, running
 from gistline.session import fits_broadcast, stored
 
 ROW_BYTES = 1 << 30
+#: A JSON number or name, what else a line may hold, and values side by side, after strings became 0.
+SCALAR = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null"
+ODD = r"[^0{}\[\],: \t\r]|[0}\]][ \t\r]*[{\[]|[0}\]][ \t\r]*0"
+
+
+def may_be_documents(lines: DataFrame, order=WINDOW) -> DataFrame:
+    """session_id of the sessions in which nothing shows that they are not one JSON document.
+
+    A string ends on its line, so only the depth of brackets is carried. Every line holds nothing but
+    JSON tokens, and the outermost bracket closes once, on the last line that is not blank.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+", "")
+    strings = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', " 0 ")
+    tokens = lines.select("session_id", "line_no", "sub_no", (text != "").alias("__full"), strings.alias("__rest")).withColumn(
+        "__rest", F.regexp_replace("__rest", SCALAR, "0"))
+    step = F.length(F.regexp_replace("__rest", r"[^{\[]", "")) - F.length(F.regexp_replace("__rest", r"[^}\]]", ""))
+    tokens = tokens.select("session_id", "line_no", "sub_no", "__full", step.cast("bigint").alias("__step"), F.col("__rest").rlike(ODD).alias("__odd"))
+    facts = order.scan(tokens, running("__depth", F.col("__step"))).groupBy("session_id").agg(
+        F.bool_or("__odd").alias("odd"), F.sum("__step").alias("depth"),
+        F.count_if(F.col("__full") & (F.col("__depth") <= 0)).alias("closed"))
+    return facts.where(~F.col("odd") & (F.col("depth") == 0) & (F.col("closed") == 1)).select("session_id")
 
 
 def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYTES) -> DataFrame:
@@ -38,11 +60,16 @@ def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYT
     maybe = facts.where(F.col("start") & (F.col("bytes") < row_bytes)).select("session_id")
     hint = F.broadcast(maybe) if fits_broadcast(maybe) else maybe
     documents = assemble_output(lines.join(hint, "session_id", "left_semi")).where(json_valid(F.col("text")))
-    joined = facts.join(documents.select("session_id", F.lit(True).alias("json")), "session_id", "left")
+    documents = documents.select("session_id", F.lit("json").alias("document"))
+    large = facts.where(F.col("start") & (F.col("bytes") >= row_bytes)).select("session_id")
+    if not large.isEmpty():
+        hint = F.broadcast(large) if fits_broadcast(large) else large
+        # May be a document, but is too large to be put together and parsed.
+        open_ = may_be_documents(lines.join(hint, "session_id", "left_semi"), order)
+        documents = documents.unionByName(open_.select("session_id", F.lit("too_large").alias("document")))
+    joined = facts.join(documents, "session_id", "left")
     out = (
-        F.when(F.col("json"), "json")
-        # Starts like a document, but is too large to be put together and parsed.
-        .when(F.col("start") & (F.col("bytes") >= row_bytes), "too_large")
+        F.when(F.col("document").isNotNull(), F.col("document"))
         .when(F.col("early") & (F.col("full") >= 2), "ndjson")
         .when(F.col("hunk") & F.col("header"), "diff")
         .when(F.col("trace"), "stack_trace")

@@ -97,3 +97,37 @@ def test_block_plan_on_sparse_numbers_and_null_sessions(spark):
     out = BlockScan(parts=7).scan(df, prev("before", F.col("x")), running("n", F.lit(1))).collect()
     assert len(out) == 600
     assert all(r.n == r.x + 1 and r.before == (r.x - 1 if r.x else None) for r in out)
+
+
+LARGE = {
+    "ndjson": ["", '{"a": 1}', '{"a": "[x"}', '[2, "\\\\"]'], "log": ["[INFO] up", "2026-01-02 03:04:05 DEBUG x", "debug: y", "[12:30:01] z"],
+    "log2": ["[2024-01-02 10:00] a b", "info: c", "debug: d"], "diff": ["[x]", "--- a", "+++ b", "@@ -1 +1 @@"],
+    "stack_trace": ["{ oops", "Traceback (most recent call last):", " in it"], "tabular": ["[1] a", "[2] b", "[3] c"],
+    "plain": ["[ERROR] down", "up again now"], "open": ["{", '"a": [1, 2],', '"b": {}'], "two": ["[1", "]", "[2", "]"], "wide": ["[1 2", "]"],
+}
+DOCUMENT = ["  {", '"a \\" [b": [1, -2.5e3, true,', "", ' "thread \'main\' panicked at {"],', '"c": {"d": null}', "}", " "]
+
+
+@pytest.mark.parametrize("order", [WINDOW, BlockScan(parts=5)])
+def test_large_sessions_keep_the_class_of_their_lines(spark, order):
+    from gistline.operators.formats import detect_format_lines
+
+    rows = [(s, i, 0, x) for s, ls in {**LARGE, "json": DOCUMENT}.items() for i, x in enumerate(ls)]
+    df = spark.createDataFrame(rows, "session_id string, line_no long, sub_no int, text string")
+    small = {r.session_id: r.format for r in detect_format_lines(df, order).collect()}
+    large = {r.session_id: r.format for r in detect_format_lines(df, order, row_bytes=1).collect()}
+    assert small["json"] == "json" and large.pop("json") == "too_large"
+    assert large == {s: f for s, f in small.items() if s != "json"}
+    assert all(large[f] == f for f in ("ndjson", "log", "diff", "stack_trace", "tabular", "plain")) and large["log2"] == "log"
+
+
+def test_debug_lines_of_a_large_log_are_dropped(spark, monkeypatch):
+    from functools import partial
+
+    from gistline.plans import queries_tables, reduce
+
+    monkeypatch.setattr(reduce, "detect_format_lines", partial(reduce.detect_format_lines, row_bytes=1))
+    rows = [("s", i, 0, x, False, "none") for i, x in enumerate(LARGE["log2"])]
+    df = spark.createDataFrame(rows, "session_id string, line_no long, sub_no int, text string, is_placeholder boolean, fingerprint string")
+    out = reduce.reduce_lines(df, queries_tables.one_rule_set(spark, [{"kind": "dedup"}]))
+    assert [x for x, _ in collected(out)["s"]] == ["[2024-01-02 10:00] a b", "info: c"]
