@@ -13,7 +13,7 @@ from gistline.llm import common, fss_dedup, leak_index, pii_boost, piece_bpe, qu
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without boilerplate lines; ``n_chars`` follows the text."""
-    clean = quality_lines.clean(docs)
+    clean = quality_lines.clean(docs, many_docs=quality_lines.MANY_DOCS)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -3,7 +3,8 @@
 A text is split at line feeds, each line is normalised (lower case, digits as 0, white space
 folded) and hashed. Per host, the documents of different text that hold a line are counted. A
 line in more than ``min_docs`` of them and more than ``min_share`` of the host's documents is
-boilerplate: it is taken out of every document of the host but the first (smallest id) that has
+boilerplate, and so is one in more than ``many_docs`` (if given) whatever its share, so that the
+limit does not rise on with the host. It is taken out of every document of the host but the first (smallest id) that has
 it. A document left with less than ``min_left`` of its words is depleted and rejected. ``judge``
 counts, ``keep`` gives the passing rows as they are, ``clean`` gives them without their boilerplate.
 
@@ -26,6 +27,8 @@ from gistline.llm import common
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Documents of different text that make a line boilerplate in a host of any size.
+MANY_DOCS = 1000
 BASE = "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -114,7 +117,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share: float, many_docs: int | None = None) -> DataFrame:
     """(host, line_key, first_doc) of the lines above the limits."""
     counted = (
         lines.groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("first_doc"))
@@ -122,13 +125,14 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share:
         .where(F.col("n") > min_docs)
     )
     limit = hosts.withColumnRenamed("host", "_host")
-    return counted.join(limit, F.col("host").eqNullSafe(F.col("_host"))).where(
-        F.col("n") > min_share * F.col("n_host")
-    ).select("host", "line_key", "first_doc")
+    often = F.col("n") > min_share * F.col("n_host")
+    if many_docs is not None:
+        often = often | (F.col("n") > many_docs)
+    return counted.join(limit, F.col("host").eqNullSafe(F.col("_host"))).where(often).select("host", "line_key", "first_doc")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", *,
-          min_docs: int = 10, min_share: float = 0.005, min_left: float = 0.3) -> DataFrame:
+          min_docs: int = 10, min_share: float = 0.005, min_left: float = 0.3, many_docs: int | None = None) -> DataFrame:
     """One row per input row: doc_id, host, the base counts, removed_words, removed_places, depleted and kept."""
     common.ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -141,7 +145,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     measured = docs.mapInArrow(_sliced, schema)
     lines = line_rows(docs)
     hosts = docs.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    frequent = frequent_lines(lines, hosts, min_docs, min_share).select(
+    frequent = frequent_lines(lines, hosts, min_docs, min_share, many_docs).select(
         F.col("host").alias("_host"), F.col("line_key").alias("_line"), "first_doc"
     )
     hit = (F.col("line_key") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))

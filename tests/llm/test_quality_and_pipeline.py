@@ -3,6 +3,8 @@ import re
 import llm_plain as brute
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gistline.llm import fss_dedup, leak_index, pii_boost, quality_lines
 
@@ -102,6 +104,20 @@ def test_clean_takes_boilerplate_out_of_texts(spark):
     brute.same([(r.doc_id, r.text, r.n_chars) for r in staged], [(d, t, len(t)) for d, _, t in want])
 
 
+def test_boilerplate_of_a_hot_host_goes_whatever_its_share(spark):
+    letters = F.translate(F.md5(F.col("doc_id").cast("string")), "0123456789", "ghijklmnop")
+    own = F.regexp_replace(letters, "(...)", "$1 ")
+    lead = F.when(F.col("doc_id") % 200 == 7, "All rights reserved\n").otherwise("")
+    n, held = 210_000, 1_050
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).select(
+        "doc_id", F.lit("hot").alias("source"), F.concat(lead, own).alias("text"), F.lit(0).cast("bigint").alias("n_chars"))
+    assert docs.where("text like 'All%'").count() == held and held <= 0.005 * n
+    left = corpus_pipeline.quality(spark, docs, None).where("text like 'All%'").select("doc_id").collect()
+    assert [r.doc_id for r in left] == [7]
+    # The registered query has both limits, as its SQL twin.
+    assert quality_lines.judge(docs).where("removed_lines > 0").isEmpty()
+
+
 def test_repeat_words_with_equal_codes(monkeypatch):
     docs = [brute.WORD.findall(t) for t in ("a b c d e f a b c d e", "x " * 30, "a b", "")]
     want = [_base(" ".join(d))[4] for d in docs]
