@@ -3,8 +3,8 @@
 Generators propose spans with high recall; they may overlap. Four base kinds (email, ip, card,
 phone) are decided by their format and stay. Candidates of the other kinds are described by format
 and context features and scored by boosted trees; a span is selected if its calibrated
-probability reaches the threshold of its kind, the more probable first where spans overlap, and
-never across a base span. The trees are trained here, on a bounded table of labelled
+probability reaches the threshold of its kind, the more probable first where spans overlap. Base
+spans rule out a candidate only if they cover all of it; else both stay. The trees are trained here, on a bounded table of labelled
 examples made from a seed (``examples``); thresholds are set on a part of it that the trees
 have not seen.
 
@@ -317,7 +317,7 @@ class Detector:
 
     def more_spans(self, texts: list[str], base: list[list[tuple]]) -> list[list[tuple]]:
         """Selected spans of the learned kinds, for many texts at once."""
-        found = [[c for c in candidates(t) if not any(c[1] < e and s < c[2] for _, s, e in b)] for t, b in zip(texts, base, strict=True)]
+        found = [[c for c in candidates(t) if not any(s <= c[1] and c[2] <= e for _, s, e in b)] for t, b in zip(texts, base, strict=True)]
         rows = [features(t, *c) for t, cs in zip(texts, found, strict=True) for c in cs]
         if not rows:
             return [[] for _ in texts]

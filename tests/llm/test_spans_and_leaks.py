@@ -48,6 +48,18 @@ def test_learned_spans(text, kind):
     assert [k for k, _, _ in found] == [kind]
 
 
+@pytest.mark.parametrize(("text", "clean"), [
+    ("api_key=sk_live_4532015112830366AbCdEfGh12KlMn end", "api_key=[SECRET] end"),
+    ('token = "4532015112830366a9cda83477b57ac2654884f4" end', 'token = "[CARD]" end'),
+    ("pay 4111 1111 1111 1111 now", "pay [CARD] now"),
+])
+def test_a_secret_around_a_card_number_goes_whole(text, clean):
+    base = pii_boost.base_spans(text)
+    assert [k for k, _, _ in base] == ["card"]
+    more = pii_boost.detector().more_spans([text], [base])[0]
+    assert pii_boost.redact_text(text, sorted(base + more, key=pii_boost._order)) == clean
+
+
 def test_learned_spans_leave_clean_text_alone():
     clean = ["a-long-slug-with-many-parts in it", "commit the build v20 of entionouiermenttionreau", "part 666-12-3456", "order 123-456-7890 came"]
     assert pii_boost.detector().more_spans(clean, [[] for _ in clean]) == [[], [], [], []]
