@@ -15,7 +15,7 @@ components are compared in blocks, all of them, so that no link is lost; of sets
 shingles by 16-bit codes, which refuse no link and leave hardly a pair that is none. Links are
 confirmed on full shingle sets; the sketch only refuses pairs far below the threshold.
 
-With the defaults (48 bands of 6) a pair of similarity 0.8 shares no band with probability 5e-7, a
+``near_duplicates`` derives bands and ``refuse`` from the threshold (``plan``). At 80 (48 bands of 6) a pair of similarity 0.8 shares no band with probability 5e-7, a
 pair of 0.85 with 7e-11; a sketch of such a pair falls below ``refuse`` with about 2e-9.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a text shorter than a
@@ -266,7 +266,7 @@ class Links:
         as_left = rows.where("block <= other").select("band", "code", "label", F.lit(0).alias("side"), F.col("block").alias("a"), F.col("other").alias("b"))
         as_right = rows.where("block >= other").select("band", "code", "label", F.lit(1).alias("side"), F.col("other").alias("a"), F.col("block").alias("b"))
         described = self.sets.select("code", "n", "short").join(self.candidates.select("code", "sketch"), "code").select(
-            "code", "n", "short", F.when(F.col("short").isNull() | (F.length("short") > SHORT), F.col("sketch")).alias("sketch")
+            "code", "n", "short", F.when(F.col("short").isNull() | (F.length("short") > SHORT) | F.lit(percent < 50), F.col("sketch")).alias("sketch")
         )
         pairs = as_left.unionByName(as_right).join(described, "code").groupBy("band", "a", "b").applyInArrow(
             lambda g: _block_pairs(g, refuse, percent), "u long, v long"
@@ -275,11 +275,22 @@ class Links:
         common.discard(members)
 
 
+def plan(percent: int) -> tuple[int, int, float]:
+    """Bands, rows and ``refuse`` for a threshold: a pair at it is missed with 5e-7 at most, as at 80."""
+    if percent >= 80:
+        return 48, 6, 0.66
+    s = percent / 100
+    rows = next((r for r in (6, 4, 3, 2) if (1 - s**r) ** (288 // r) <= 5e-7), 1)
+    return 288 // rows, rows, max(0.0, s - 6 * (s * (1 - s) / 288) ** 0.5)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80,
-                    bands: int = 48, rows: int = 6, refuse: float = 0.66, draws: int = 3) -> DataFrame:
+                    bands: int | None = None, rows: int | None = None, refuse: float | None = None, draws: int = 3) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept), one row per input row; text_key is the hash of the text."""
     common.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    own = plan(percent)
+    bands, rows, refuse = (b if a is None else a for a, b in zip((bands, rows, refuse), own, strict=True))
     work = Links(docs, width, percent, bands, rows, refuse)
     found = work.classes.select("code", "doc_id", F.col("code").alias("label"))
     if not work.members.isEmpty():

@@ -63,6 +63,18 @@ def test_groups_of_edited_copies(spark):
     brute.same(_rows(fss_dedup.near_duplicates(docs, width=4, draws=0)), want)
 
 
+def test_a_lower_threshold_finds_its_own_links(spark):
+    texts = [" ".join(f"{c}w{k}" if k < 60 else f"{c}{side}{k}" for k in range(end))
+             for c in "abcdefghijklmnopqrst" for side, end in (("x", 70), ("y", 78))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (60, 45):
+        want = brute.components(rows, 4, percent)
+        assert len({r[2] for r in want}) == 20
+        brute.same(_rows(fss_dedup.near_duplicates(docs, width=4, percent=percent)), want)
+    assert fss_dedup.plan(80) == (48, 6, 0.66)
+
+
 def test_blocks_of_a_large_band(spark, monkeypatch):
     monkeypatch.setattr(fss_dedup, "BLOCK", 8)
     rows = list(enumerate(variants(90, 8, 5)))
