@@ -1,13 +1,14 @@
 """The registered queries of this folder and their SQL twins.
 
-Twins stand where SQL can say the whole result: near duplicates, line frequencies, benchmark leaks and Merkle
-trees. The other operators hold learned models, agendas or token files; tests compare them with plain versions.
+Twins stand where SQL can say the whole result: near duplicates, line frequencies, benchmark leaks, Merkle trees
+and hard negatives. The other operators hold learned models, agendas or token files; tests compare them with plain versions.
 """
 
 from __future__ import annotations
 
 from gistline.llm import (
-    chat_repair, ef_tokens, fss_dedup, leak_index, maxent_lm, merkle_manifest, nb_toxicity, pii_boost, piece_bpe, quality_lines, url_model,
+    chat_repair, ef_tokens, fss_dedup, leak_index, maxent_lm, merkle_manifest, nb_toxicity, pii_boost, piece_bpe, quality_lines,
+    rtree_negatives, url_model, weighted_sampling,
 )
 
 QUERIES = {
@@ -21,7 +22,9 @@ QUERIES = {
     "op8_url_model": url_model.query,
     "op9_elias_fano_tokens": ef_tokens.query,
     "op10_leak_index": leak_index.query,
+    "op11_weighted_sampling": weighted_sampling.query,
     "op12_merkle_manifest": merkle_manifest.query,
+    "op13_rtree_negatives": rtree_negatives.query,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,4 +83,4 @@ select d.doc_id, len(d.ws) as n_words, coalesce(places.n, 0) as n_hit, coalesce(
 from d left join places using (doc_id) left join items using (doc_id)"""
 
 SQL: dict[str, str] = {"op3_fss_dedup": NEAR_DUPLICATES, "op6_quality_lines": QUALITY, "op10_leak_index": LEAKS,
-                      "op12_merkle_manifest": merkle_manifest.ORACLE}
+                      "op12_merkle_manifest": merkle_manifest.ORACLE, "op13_rtree_negatives": rtree_negatives.ORACLE}
