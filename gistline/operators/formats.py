@@ -1,47 +1,37 @@
 """Format class of sessions that come as line tables, in the same priority as for texts.
 
-Everything but a single JSON document follows from flags of lines, which partial sums can
-hold. Only a session that starts like a document is put together, and only if it fits a row. A
-larger one gets its class from its lines unless all of them may be parts of one document.
+Every class follows from flags of lines, which partial sums can hold, and JSON from tokens, which are
+folded in order piece by piece. No session is put together, so one of any length has the class of a short one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistline.functions import formats
-from gistline.functions.jsontext import json_valid
-from gistline.functions.text import is_blank, line_bytes
-from gistline.operators.lines import assemble_output
-from gistline.operators.scan import WINDOW, running
+from gistline.functions.jsontext import MAX_DEPTH, depths, folded, json_valid, tokens
+from gistline.functions.text import is_blank
+from gistline.operators.scan import WINDOW, fold_ordered, running
 from gistline.session import fits_broadcast, stored
 
-ROW_BYTES = 1 << 30
-#: A JSON number or name, what else a line may hold, and values side by side, after strings became 0.
-SCALAR = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null"
-ODD = r"[^0{}\[\],: \t\r]|[0}\]][ \t\r]*[{\[]|[0}\]][ \t\r]*0"
 
+def json_documents(lines: DataFrame, scalars: bool = False) -> DataFrame:
+    """session_id of the sessions (session_id, line_no, sub_no, text) whose lines are one JSON document: an object or
+    array or, with ``scalars``, any value."""
+    form = lines.select("session_id", "line_no", "sub_no", tokens(F.coalesce("text", F.lit(""))).alias("form"))
+    pieces = form.select("session_id", "line_no", "sub_no", folded(F.col("form")).alias("piece"), depths(F.col("form")).alias("deep"))
 
-def may_be_documents(lines: DataFrame, order=WINDOW) -> DataFrame:
-    """session_id of the sessions in which nothing shows that they are not one JSON document.
+    def merge(pieces: Column) -> dict[str, Column]:
+        deep = F.aggregate(pieces["deep"], F.struct(F.lit(0).alias("net"), F.lit(0).alias("top")), lambda a, b: F.struct(
+            (a["net"] + b["net"]).alias("net"), F.greatest(a["top"], a["net"] + b["top"]).alias("top")))
+        return {"piece": folded(F.array_join(pieces["piece"], "")), "deep": deep}
 
-    A string ends on its line, so only the depth of brackets is carried. Every line holds nothing but
-    JSON tokens, and the outermost bracket closes once, on the last line that is not blank.
-    """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+", "")
-    strings = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', " 0 ")
-    tokens = lines.select("session_id", "line_no", "sub_no", (text != "").alias("__full"), strings.alias("__rest")).withColumn(
-        "__rest", F.regexp_replace("__rest", SCALAR, "0"))
-    step = F.length(F.regexp_replace("__rest", r"[^{\[]", "")) - F.length(F.regexp_replace("__rest", r"[^}\]]", ""))
-    tokens = tokens.select("session_id", "line_no", "sub_no", "__full", step.cast("bigint").alias("__step"), F.col("__rest").rlike(ODD).alias("__odd"))
-    facts = order.scan(tokens, running("__depth", F.col("__step"))).groupBy("session_id").agg(
-        F.bool_or("__odd").alias("odd"), F.sum("__step").alias("depth"),
-        F.count_if(F.col("__full") & (F.col("__depth") <= 0)).alias("closed"))
-    return facts.where(~F.col("odd") & (F.col("depth") == 0) & (F.col("closed") == 1)).select("session_id")
+    whole = fold_ordered(pieces, ["piece", "deep"], merge)
+    return whole.where(F.col("piece").isin(*("xsv" if scalars else "x")) & (F.col("deep.top") <= MAX_DEPTH)).select("session_id")
 
 
-def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYTES) -> DataFrame:
+def detect_format_lines(lines: DataFrame, order=WINDOW) -> DataFrame:
     """One row per session: session_id, format."""
     text = F.col("text")
     lines = lines.select("session_id", "line_no", "sub_no", "text", (~is_blank(text)).alias("__full"))
@@ -54,22 +44,17 @@ def detect_format_lines(lines: DataFrame, order=WINDOW, row_bytes: int = ROW_BYT
         F.bool_and(early).alias("early"), F.count_if(full).alias("full"),
         F.bool_or(text.startswith("@@ ")).alias("hunk"), F.bool_or(text.rlike(formats.DIFF_HEADER)).alias("header"),
         F.bool_or(text.rlike(formats.STACK_TRACE)).alias("trace"), F.bool_or(text.rlike(formats.LOG)).alias("log"),
-        F.min(words).alias("fewest"), F.max(words).alias("most"), F.max(start).alias("start"),
-        F.sum(line_bytes(text)).alias("bytes"))
+        F.min(words).alias("fewest"), F.max(words).alias("most"), F.max(start).alias("start"))
     facts = stored(facts)
-    maybe = facts.where(F.col("start") & (F.col("bytes") < row_bytes)).select("session_id")
+    maybe = facts.where("start").select(F.col("session_id").alias("__id"))
     hint = F.broadcast(maybe) if fits_broadcast(maybe) else maybe
-    documents = assemble_output(lines.join(hint, "session_id", "left_semi")).where(json_valid(F.col("text")))
-    documents = documents.select("session_id", F.lit("json").alias("document"))
-    large = facts.where(F.col("start") & (F.col("bytes") >= row_bytes)).select("session_id")
-    if not large.isEmpty():
-        hint = F.broadcast(large) if fits_broadcast(large) else large
-        # May be a document, but is too large to be put together and parsed.
-        open_ = may_be_documents(lines.join(hint, "session_id", "left_semi"), order)
-        documents = documents.unionByName(open_.select("session_id", F.lit("too_large").alias("document")))
-    joined = facts.join(documents, "session_id", "left")
+    # White space of any kind goes before a document, of its own kinds inside it.
+    lead = F.when(F.col("__nth") <= 1, F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(text)
+    inside = df.join(hint, F.col("session_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("text", lead)
+    documents = json_documents(inside).select(F.col("session_id").alias("__id"), F.lit(True).alias("document"))
+    joined = facts.join(documents, F.col("session_id").eqNullSafe(F.col("__id")), "left")
     out = (
-        F.when(F.col("document").isNotNull(), F.col("document"))
+        F.when(F.col("document"), "json")
         .when(F.col("early") & (F.col("full") >= 2), "ndjson")
         .when(F.col("hunk") & F.col("header"), "diff")
         .when(F.col("trace"), "stack_trace")

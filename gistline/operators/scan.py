@@ -11,6 +11,8 @@ from the ranges before it. A task holds one range, or the summaries of one sessi
 lines of one session. A null key is a key like any other.
 
 ``run_ordered`` measures the sessions and picks the plan; both give the same rows.
+
+``fold_ordered`` reduces each session to one row by a merge of neighbouring pieces, whatever its length.
 """
 
 from __future__ import annotations
@@ -164,6 +166,28 @@ def _stitch(fact: Fact) -> Column:
     return carried
 
 
+#: Bits of a row number that one round of ``fold_ordered`` takes, and rounds for the 60 bits of a row number.
+FOLD_BITS, FOLD_ROUNDS = 12, 5
+
+
+def fold_ordered(rows: DataFrame, values: list[str], merge: Callable[[Column], dict[str, Column]],
+                 keys: tuple[str, ...] = ("session_id",), order: tuple[str, ...] = ORDER) -> DataFrame:
+    """One row per key: ``values`` of its rows put together in order.
+
+    ``merge`` takes an array of structs, some neighbours in order, and gives the values of all of them; it must be
+    associative. Rows are numbered along (keys, order), 4096 neighbours are merged, then as many of the results, and so
+    on, so a task holds short lists of short values however long a key is. A null key is a key.
+    """
+    cut = rows.select(*keys, *order, *values).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # Stored, because the numbers depend on a sample of the rows.
+    level = stored(cut.select(*keys, F.monotonically_increasing_id().alias("_at"), *values))
+    for _ in range(FOLD_ROUNDS):
+        level = level.withColumn("_up", F.shiftright("_at", FOLD_BITS)).groupBy(*keys, "_up").agg(
+            F.sort_array(F.collect_list(F.struct("_at", *values))).alias("_m"))
+        level = level.select(*keys, F.col("_up").alias("_at"), *[c.alias(v) for v, c in merge(F.col("_m")).items()])
+    return level.drop("_at")
+
+
 WINDOW = WindowScan()
 
 

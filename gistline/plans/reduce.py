@@ -28,8 +28,8 @@ from gistline.functions.regex import PatternError, matches, portable_column, tra
 from gistline.functions.text import DEBUG_WORD, line_bytes
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
-from gistline.operators.formats import detect_format_lines
-from gistline.operators.lines import assemble_output, clean_arrays, clean_lines, clean_output, explode_lines
+from gistline.operators.formats import detect_format_lines, json_documents
+from gistline.operators.lines import clean_arrays, clean_lines, clean_output
 from gistline.operators.scan import MAX_TASK_LINES, WINDOW, run_ordered
 from gistline.operators.versions import active_profile
 from gistline.session import checkpoint, fits_broadcast, local_frame, lookup, stored
@@ -99,18 +99,6 @@ class RuleTable:
         return lookup(df, users, ["rule_key"], "left", measure=False)
 
 
-    def paths_at(self, i: int) -> list[list[str]]:
-        """The distinct path lists of a JSON step, read from the rules and not from the lines."""
-        if not self.steps[i].startswith("json"):
-            return []
-        if self.known is not None:
-            lists = [p["steps"][i]["paths"] for p in self.known if p["steps"][i]]
-        else:
-            paths = F.get("steps", F.lit(i))["paths"].alias("p")
-            lists = [r.p for r in self.rules.select(paths).distinct().where("p is not null").collect()]
-        return [list(p) for p in sorted(set(map(tuple, lists)))]
-
-
 def _translated(rule: dict) -> dict:
     out = dict(rule)
     for f in ("pattern", "pattern2"):
@@ -229,7 +217,7 @@ def dispatch_profile(sessions: DataFrame, table: RuleTable) -> DataFrame:
     return df.withColumn("tier", F.coalesce("tier", F.lit("format")))
 
 
-def apply_step(df: DataFrame, kind: str, order=WINDOW, path_lists: list | None = None) -> DataFrame:
+def apply_step(df: DataFrame, kind: str, order=WINDOW) -> DataFrame:
     """One step on lines that carry their rule as ``__r``."""
     r, when = (lambda f: F.col(f"__r.{f}")), F.col("__r").isNotNull()
     if kind == "strip_ansi":
@@ -254,33 +242,45 @@ def apply_step(df: DataFrame, kind: str, order=WINDOW, path_lists: list | None =
         return O.state_machine(df, r("states"), order, when)
     if kind == "truncate_to":
         return O.truncate_to(df, r("bytes"), order, when)
-    return _json_step(df, kind, path_lists or [])
+    return _json_step(df, kind, order)
 
 
-def _json_step(df: DataFrame, kind: str, path_lists: list[list[str]]) -> DataFrame:
+def _json_step(df: DataFrame, kind: str, order) -> DataFrame:
     """JSON steps work on the whole text of the sessions that use them; a text that is no
-    JSON keeps its lines. Each distinct path list is a literal plan, because the JSON
-    functions need literal paths."""
+    JSON keeps its lines.
+
+    One aggregation: lines of other sessions are groups of their own, and the paths come with the lines
+    as values, so neither the number of rule sets nor that of their path lists changes the plan. A document fits a
+    row, as its reduced form is one line. Under a plan for long sessions, those that are no documents are told
+    apart first, piece by piece, and never put together.
+    """
     names = [c for c in df.columns if not c.startswith("__")]
-    df = checkpoint(df)  # read for the texts and for the lines that stay
-    users = df.where("__r is not null")
     extra = [c for c in names if c not in ("session_id", "line_no", "sub_no", "text", "is_placeholder")]
-    key = users.groupBy("session_id").agg(
-        *[F.first(c).alias(c) for c in extra], F.first(F.to_json("__r.paths")).alias("__paths"))
-    texts = assemble_output(users).withColumn("text", F.regexp_replace("text", r"\n\z", ""))
-    documents = texts.where(J.json_valid(F.col("text"))).join(key, "session_id")
-    out = df.join(documents.select("session_id"), "session_id", "left_anti").select(names)
+    df = df.withColumn("__paths", F.col("__r.paths"))
+    if order is not WINDOW:
+        df = checkpoint(df)
+        found = stored(json_documents(df.where("__paths is not null"), scalars=True).select(F.col("session_id").alias("__id")))
+        found = F.broadcast(found) if fits_broadcast(found) else found
+        df = df.join(found.withColumn("__is", F.lit(True)), F.col("session_id").eqNullSafe(F.col("__id")), "left")
+        df = df.withColumn("__paths", F.when(F.col("__is"), F.col("__paths")))
+    own = F.when(F.col("__paths").isNull(), F.struct("line_no", "sub_no"))
+    line = F.struct("line_no", "sub_no", "text", "is_placeholder")
+    groups = df.withColumn("__own", own).groupBy("session_id", "__own").agg(
+        *[F.first(c).alias(c) for c in extra], F.first("__paths").alias("__paths"), F.array_sort(F.collect_list(line)).alias("__lines"))
+    text = F.when(F.col("__paths").isNotNull(), F.array_join("__lines.text", "\n"))
     change = J.json_path_keep if kind == "json_path_keep" else J.json_path_drop
-    for paths in path_lists:
-        mine = documents.where(F.col("__paths") == F.to_json(F.array(*[F.lit(p) for p in paths])))
-        out = out.unionByName(explode_lines(change(mine, "text", paths), keep=tuple(extra)).select(names))
-    return out
+    done = change(groups.withColumns({"__text": text, "__new": text}), "__new", F.col("__paths"))
+    zero = {c: F.lit(0).cast(df.schema[c].dataType).alias(c) for c in ("line_no", "sub_no")}
+    single = F.array(F.struct(*zero.values(), F.col("__new").alias("text"), F.lit(False).alias("is_placeholder")))
+    lines = F.when(F.col("__paths").isNotNull() & J.json_valid(F.col("__text")), single).otherwise(F.col("__lines"))
+    return done.select("session_id", *extra, F.explode_outer(lines).alias("__x")).where("__x is not null").select(
+        *[F.col(c) if c == "session_id" or c in extra else F.col(f"__x.{c}").alias(c) for c in names])
 
 
 def apply_rules(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
     """All steps over lines that carry ``rule_key``; lines without one are unchanged."""
     for i, kind in enumerate(table.steps):
-        lines = apply_step(table.at_step(lines, i), kind, order, table.paths_at(i)).drop("__r")
+        lines = apply_step(table.at_step(lines, i), kind, order).drop("__r")
     return lines
 
 
@@ -336,8 +336,7 @@ def reduce_lines(lines: DataFrame, table: RuleTable, max_lines: int = MAX_TASK_L
     """Reduce sessions that come as line tables, of any length. Lines carry a fingerprint.
 
     The same passes as for texts; here the repeats need the order of lines, so they run
-    under the plan the length of a session allows. JSON steps put a session together and are
-    for sessions that fit a row.
+    under the plan the length of a session allows.
     """
     keyed = dispatch_profile(lines, table).drop("fingerprint", "version", "profile_id")
     cleaned = S.strip_ansi(S.strip_cr(keyed))
@@ -389,7 +388,7 @@ def rule_cost(lines: DataFrame, table: RuleTable, order=WINDOW) -> DataFrame:
         df = table.at_step(alive, k)
         # What a session holds before this step is what it held after its last one.
         parts.append(_step_cost(df, kind, order))
-        alive = apply_step(df, kind, order, table.paths_at(k)).drop("__r")
+        alive = apply_step(df, kind, order).drop("__r")
     if i < len(table.steps):
         parts.append(alive.groupBy("session_id").agg(zero.alias("steps"), F.sum(size).alias("peak")))
     every = fold(DataFrame.unionByName, parts)

@@ -109,24 +109,23 @@ DOCUMENT = ["  {", '"a \\" [b": [1, -2.5e3, true,', "", ' "thread \'main\' panic
 
 
 @pytest.mark.parametrize("order", [WINDOW, BlockScan(parts=5)])
-def test_large_sessions_keep_the_class_of_their_lines(spark, order):
+def test_line_tables_have_the_class_of_their_texts(spark, order):
+    from gistline.functions.formats import with_format
     from gistline.operators.formats import detect_format_lines
 
-    rows = [(s, i, 0, x) for s, ls in {**LARGE, "json": DOCUMENT}.items() for i, x in enumerate(ls)]
+    every = {**LARGE, "json": DOCUMENT, "empty": [""], None: ["[", "]"], "twice": ['{"a":1,', '"a":2}'], "nbsp": ["\u00a0[1]"], "late": ["[1]\u00a0"]}
+    rows = [(s, i, 0, x) for s, ls in every.items() for i, x in enumerate(ls)]
     df = spark.createDataFrame(rows, "session_id string, line_no long, sub_no int, text string")
-    small = {r.session_id: r.format for r in detect_format_lines(df, order).collect()}
-    large = {r.session_id: r.format for r in detect_format_lines(df, order, row_bytes=1).collect()}
-    assert small["json"] == "json" and large.pop("json") == "too_large"
-    assert large == {s: f for s, f in small.items() if s != "json"}
-    assert all(large[f] == f for f in ("ndjson", "log", "diff", "stack_trace", "tabular", "plain")) and large["log2"] == "log"
+    texts = spark.createDataFrame([(s, "\n".join(ls)) for s, ls in every.items()], "session_id string, text string")
+    got = {r.session_id: r.format for r in detect_format_lines(df, order).collect()}
+    assert got == {r.session_id: r.format for r in with_format(texts).collect()}
+    assert all(got[f] == f for f in ("ndjson", "log", "diff", "stack_trace", "tabular", "plain", "json")) and got["log2"] == "log"
+    assert all(got[f] == "plain" for f in ("open", "two", "wide", "late")) and all(got[f] == "json" for f in (None, "twice", "nbsp"))
 
 
-def test_debug_lines_of_a_large_log_are_dropped(spark, monkeypatch):
-    from functools import partial
-
+def test_debug_lines_of_a_log_that_starts_with_a_bracket_are_dropped(spark):
     from gistline.plans import queries_tables, reduce
 
-    monkeypatch.setattr(reduce, "detect_format_lines", partial(reduce.detect_format_lines, row_bytes=1))
     rows = [("s", i, 0, x, False, "none") for i, x in enumerate(LARGE["log2"])]
     df = spark.createDataFrame(rows, "session_id string, line_no long, sub_no int, text string, is_placeholder boolean, fingerprint string")
     out = reduce.reduce_lines(df, queries_tables.one_rule_set(spark, [{"kind": "dedup"}]))
