@@ -131,12 +131,11 @@ def bypass_score_over_time(runs: DataFrame, window: int = WINDOW_RUNS, warmup: i
     last ``window`` capped scores.
 
     ``runs``: profile_id, run_no (1, 2, ... per profile), score. The run number gives the
-    blocks: each holds ``block_runs`` runs, and a run near a block's start also goes to the
-    block's look-back, so a profile with most of the runs is spread over many tasks.
+    blocks: each holds ``block_runs`` runs, and a run also goes to the look-back of every later block
+    that its window reaches, so a profile with most of the runs is spread over many tasks.
     """
     counted = runs.where(F.col("run_no") > warmup).withColumn("blk", F.floor(F.col("run_no") / block_runs))
-    last = (F.col("run_no") % block_runs) >= block_runs - (window - 1)
-    homes = F.when(last, F.array(F.col("blk"), F.col("blk") + 1)).otherwise(F.array(F.col("blk")))
+    homes = F.sequence(F.col("blk"), F.floor((F.col("run_no") + (window - 1)) / block_runs))
     spread = counted.withColumn("home", F.explode(homes))
     frame = Window.partitionBy("profile_id", "home").orderBy("run_no").rowsBetween(-(window - 1), 0)
     scored = spread.withColumn("bypass_score", F.avg("score").over(frame))

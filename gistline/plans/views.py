@@ -132,6 +132,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "concat('u', cast(user_id as string)) as session_id", "event_id as line_no",
         "cast(0 as bigint) as sub_no", f"{LEVEL} || ' ' || event_type as text",
         "event_id % 37 = 0 as is_placeholder"]),
+    "timed_lines": ("events", [
+        "concat('u', cast(user_id as string)) as session_id", "event_id as line_no",
+        "cast(0 as bigint) as sub_no", f"{LEVEL} || ' ' || event_type as text",
+        "event_id % 37 = 0 as is_placeholder", f"{EVENT_AT} as at"]),
     "event_json": ("events", [
         "event_id", "concat('e', cast(event_id as string)) as session_id",
         "concat('u', cast(user_id as string)) as user_session", "event_id as line_no",

@@ -1,42 +1,29 @@
 """The streams. Each takes a streaming DataFrame and starts a query.
 
-Aggregations run as streaming aggregations, which sum up inside each task before the
-shuffle. What needs the order of rows runs in ``foreachBatch`` with the batch operators over
-the batch plus the few rows of state that matter to it, so a key with most of the rows is
-spread over tasks exactly as in batch. Rows of a key must not arrive in an earlier batch
-than rows they follow; inside a batch their order is free.
+Sums are streaming aggregations, which combine inside each task before the shuffle. What needs the order of
+rows keeps Spark's own keyed state (``transformWithState`` over RocksDB): a few values per key, which event-time timers
+end, so the state follows the keys that are alive and not all there ever were. A restart goes on from
+the checkpoint. Results are Parquet, one folder per micro-batch; a batch that runs again replaces its own.
+
+Rows of a key must not arrive in an earlier batch than rows they follow, where a job does not say otherwise; inside a
+batch their order is free. Rows later than the watermark are dropped. A key's rows of one micro-batch are read by one
+task, so the trigger's limits (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound what it sorts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from gistline.functions import metrics as M
 from gistline.operators import bypass as B
-from gistline.operators.learn import FAST_LOCK_IN, LOCK_IN
-from gistline.operators.ordered import dedup_adjacent
-from gistline.operators.scan import run_ordered
+from gistline.operators.learn import FAST_LOCK_IN, LOCK_IN, SAMPLE_CAP
 from gistline.plans.reduce import RuleTable, reduce_sessions
-from gistline.streaming.snapshot import Snapshot, upsert
-
-GAIN = T.StructType([T.StructField("date", T.StringType())] + [
-    T.StructField(c, T.LongType()) for c in ("runs", "raw_bytes", "compressed_bytes", "tokens_saved")])
-VERDICTS = T.StructType([
-    T.StructField("fingerprint", T.StringType()), T.StructField("n_samples", T.LongType()),
-    T.StructField("should_lock", T.BooleanType()), T.StructField("reason", T.StringType())])
-LAST_RUNS = T.StructType([
-    T.StructField("agent", T.StringType()), T.StructField("fingerprint", T.StringType()),
-    T.StructField("run_id", T.LongType()), T.StructField("started_at", T.LongType())])
-LAST_LINES = T.StructType([
-    T.StructField("session_id", T.StringType()), T.StructField("line_no", T.LongType()),
-    T.StructField("sub_no", T.LongType()), T.StructField("text", T.StringType()),
-    T.StructField("is_placeholder", T.BooleanType()), T.StructField("seen_in", T.LongType())])
-SCORES = T.StructType([
-    T.StructField("profile_id", T.LongType()), T.StructField("session_id", T.StringType()),
-    T.StructField("latest", T.LongType()), T.StructField("weight", T.DoubleType())])
+from gistline.session import ship
+from gistline.streaming.state import BypassScores, DedupAdjacent, LockIn, NearDuplicates
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _run(stream: DataFrame, mode: str, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -49,20 +36,36 @@ def _append(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def stream_gain_daily(sessions: DataFrame, state: Snapshot, checkpoint: str, delay: str = "1 day",
+def _write(stream: DataFrame, mode: str, path: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return _run(stream, mode, lambda batch, batch_id: _append(batch, path, batch_id), checkpoint, trigger)
+
+
+def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append",
+           time: str = "EventTime") -> DataFrame:
+    spark = ship(stream.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy(*keys).transformWithState(
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row of each key of a stream that writes updates."""
+    rows = spark.read.parquet(path)
+    values = F.struct(*[c for c in rows.columns if c not in (*keys, "batch_id")])
+    return rows.groupBy(*keys).agg(F.max_by(values, "batch_id").alias("r")).select(*keys, "r.*")
+
+
+def stream_gain_daily(sessions: DataFrame, path: str, checkpoint: str, delay: str = "1 day",
                       trigger: dict | None = None) -> StreamingQuery:
-    """Daily savings; rows later than the watermark are dropped and its days closed."""
+    """Daily savings, an update of each day that changed; rows later than the watermark are dropped and its days
+    closed. ``newest(spark, path, ["date"])`` reads them."""
     saved = M.tokens_saved(F.col("raw_bytes"), F.col("compressed_bytes"))
     days = sessions.withColumn("ts", F.timestamp_seconds("started_at")).withWatermark("ts", delay).groupBy(
         F.window("ts", "1 day")).agg(
         F.count(F.lit(1)).alias("runs"), F.sum("raw_bytes").alias("raw_bytes"),
         F.sum("compressed_bytes").alias("compressed_bytes"), F.sum(saved).alias("tokens_saved"))
     days = days.withColumn("date", M.utc_date(F.unix_seconds("window.start")).cast("string")).drop("window")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        state.write(upsert(state.read(batch.sparkSession, batch_id), batch, ["date"]), batch_id)
-
-    return _run(days, "update", handle, checkpoint, trigger)
+    return _write(days, "update", path, checkpoint, trigger)
 
 
 def stream_reduce(sessions: DataFrame, table: RuleTable, path: str, checkpoint: str,
@@ -75,90 +78,55 @@ def stream_reduce(sessions: DataFrame, table: RuleTable, path: str, checkpoint:
     return _run(sessions, "append", handle, checkpoint, trigger)
 
 
-def stream_near_duplicate(runs: DataFrame, state: Snapshot, path: str, checkpoint: str,
-                          seconds: int = B.NEAR_SECONDS, trigger: dict | None = None) -> StreamingQuery:
-    """Look back inside the batch and to the last run of each (agent, fingerprint) before it.
+def stream_near_duplicate(runs: DataFrame, path: str, checkpoint: str, seconds: int = B.NEAR_SECONDS, delay: str = "1 hour",
+                          trigger: dict | None = None) -> StreamingQuery:
+    """(run_id, near_duplicate) of each run when it arrives, and once more when a late run turns it into one.
 
-    That run is kept however far other agents have got: agents lag behind each other freely.
+    Runs of an agent may come in any order inside the watermark ``delay``; what can no longer be within ``seconds`` of a
+    run to come leaves the state. ``near_duplicates`` reads the verdicts.
     """
-    columns = ["agent", "fingerprint", "run_id", "started_at"]
+    timed = runs.select("agent", "fingerprint", "run_id", "started_at", F.timestamp_seconds("started_at").alias("ts")).withWatermark("ts", delay)
+    found = _keyed(timed, ["agent", "fingerprint"], NearDuplicates(seconds), "run_id long, near_duplicate boolean")
+    return _write(found, "append", path, checkpoint, trigger)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        last = state.read(batch.sparkSession, batch_id)
-        both = batch.select(columns).withColumn("fresh", F.lit(True)).unionByName(
-            last.withColumn("fresh", F.lit(False)))
-        _append(B.near_duplicate_by_agent(both, seconds).where("fresh").drop("fresh"), path, batch_id)
-        newest = F.max_by(F.struct(columns), F.struct("started_at", "run_id"))
-        state.write(both.groupBy("agent", "fingerprint").agg(newest.alias("r")).select("r.*"), batch_id)
 
-    return _run(runs, "append", handle, checkpoint, trigger)
+def near_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("run_id").agg(F.bool_or("near_duplicate").alias("near_duplicate"))
 
 
-def stream_lock_in(samples: DataFrame, state: Snapshot, checkpoint: str, n: int = LOCK_IN, keep_first: bool = True,
+def stream_lock_in(samples: DataFrame, path: str, checkpoint: str, n: int = LOCK_IN, fast: int = FAST_LOCK_IN, cap: int = SAMPLE_CAP,
                    trigger: dict | None = None) -> StreamingQuery:
-    """Lock-in verdicts from running counts.
+    """(fingerprint, n_samples, reason) once for each fingerprint, at the sample that locks it.
 
-    With ``keep_first`` the first positive verdict of a fingerprint stays, which depends on how samples
-    fall into batches; without it the verdict is that of all samples so far, as in the batch job.
+    Samples count in the order (captured_at, sample_id): the first ``fast`` ones lock if they are equal, else the
+    ``n``-th does. State is a list of at most ``cap`` hashes, and after the verdict a flag; samples beyond are ignored.
     """
-    sums = samples.select("fingerprint", M.content_hash(F.col("text")).alias("sha")).groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.min("sha").alias("lo"), F.max("sha").alias("hi"))
+    rows = samples.select("fingerprint", "captured_at", "sample_id", M.content_hash(F.col("text")).alias("sha"))
+    found = _keyed(rows, ["fingerprint"], LockIn(n, fast, cap), "fingerprint string, n_samples long, reason string", time="None")
+    return _write(found, "append", path, checkpoint, trigger)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fast = (F.col("n_samples") >= FAST_LOCK_IN) & (F.col("lo") == F.col("hi"))
-        reason = F.when(F.col("n_samples") >= n, "reached_n").when(fast, "zero_variance_fast_path").otherwise("accumulating")
-        now = batch.select("fingerprint", "n_samples", (reason != "accumulating").alias("should_lock"), reason.alias("reason"))
-        known = state.read(batch.sparkSession, batch_id)
-        locked = known.where("should_lock" if keep_first else "false").select("fingerprint")
-        state.write(upsert(known, now.join(locked, "fingerprint", "left_anti"), ["fingerprint"]), batch_id)
 
-    return _run(sums, "update", handle, checkpoint, trigger)
+def stream_bypass_score(events: DataFrame, path: str, checkpoint: str, window: int = B.WINDOW_RUNS, warmup: int = B.WARMUP_RUNS,
+                        keep: int = 7 * 86_400, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """(profile_id, score, n_sessions, observed): the mean capped weight of the newest ``window`` sessions of each profile,
+    an update whenever it has events, from the session after ``warmup`` on.
 
-
-def stream_bypass_score(events: DataFrame, state: Snapshot, checkpoint: str, window: int = B.WINDOW_RUNS,
-                        trigger: dict | None = None) -> StreamingQuery:
-    """State: the newest ``window`` sessions of each profile, each with its whole weight.
-
-    The weight of a (profile, session) is a streaming sum over all of its days, held by Spark's keyed state,
-    so a session that comes back after it left the window comes back with all of its weight.
-    ``rolling_scores`` turns the state into scores.
+    A session counts with its whole weight for as long as it is in the window or had events within ``keep`` seconds of
+    the watermark; then it leaves the state. ``newest(spark, path, ["profile_id"])`` reads the scores.
     """
-    weight = F.sum(F.when(F.col("kind") == "bypass_signal", F.col("weight")))
-    sums = events.where("session_id is not null").groupBy("profile_id", "session_id").agg(
-        F.max("at").alias("latest"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = state.read(batch.sparkSession, batch_id)
-        merged = upsert(known, batch, ["profile_id", "session_id"])
-        newest = Window.partitionBy("profile_id").orderBy(F.desc("latest"), "session_id")
-        state.write(merged.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= window).drop("rn"), batch_id)
-
-    return _run(sums, "update", handle, checkpoint, trigger)
-
-
-def rolling_scores(state: DataFrame) -> DataFrame:
-    per_session = state.groupBy("profile_id", "session_id").agg(F.least(F.sum("weight"), F.lit(1.0)).alias("score"))
-    return per_session.groupBy("profile_id").agg(
-        (F.sum("score") / F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("n_sessions"))
-
-
-def stream_dedup_adjacent(lines: DataFrame, state: Snapshot, path: str, checkpoint: str,
-                          idle_batches: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Drop repeats line by line: the last line of each session comes along as state, always or,
-    where sessions are known to end, until the session was silent for ``idle_batches``."""
+    rows = events.where("session_id is not null").select(
+        "profile_id", "session_id", "at", F.when(F.col("kind") == "bypass_signal", F.col("weight")).alias("weight"),
+        F.timestamp_seconds("at").alias("ts")).withWatermark("ts", delay)
+    schema = "profile_id long, score double, n_sessions long, observed long"
+    scores = _keyed(rows, ["profile_id"], BypassScores(window, warmup, keep), schema, "Update")
+    return _write(scores, "update", path, checkpoint, trigger)
+
+
+def stream_dedup_adjacent(lines: DataFrame, path: str, checkpoint: str, at: str = "at", idle: int = 86_400, delay: str = "1 hour",
+                          trigger: dict | None = None) -> StreamingQuery:
+    """Drop repeats line by line. The last line of a session is its state, until the watermark passes its last
+    timestamp ``at`` by ``idle`` seconds; a line after that starts anew."""
     columns = ["session_id", "line_no", "sub_no", "text", "is_placeholder"]
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = state.read(spark, batch_id)
-        fresh = batch.select(columns).withColumn("fresh", F.lit(True))
-        known = last.join(fresh.select("session_id").distinct(), "session_id", "left_semi").select(
-            columns).withColumn("fresh", F.lit(False))
-        out = run_ordered(fresh.unionByName(known), dedup_adjacent)
-        _append(out.where("fresh").drop("fresh"), path, batch_id)
-        newest = batch.groupBy("session_id").agg(F.max_by(F.struct(columns), F.struct("line_no", "sub_no")).alias("r"))
-        updates = newest.select("r.*").withColumn("seen_in", F.lit(batch_id).cast("bigint"))
-        merged = upsert(last, updates, ["session_id"])
-        state.write(merged if idle_batches is None else merged.where(F.col("seen_in") > batch_id - idle_batches), batch_id)
-
-    return _run(lines, "append", handle, checkpoint, trigger)
+    rows = lines.select(*columns, F.col(at).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select(columns).schema)
+    return _write(_keyed(rows, ["session_id"], DedupAdjacent(idle), schema), "append", path, checkpoint, trigger)

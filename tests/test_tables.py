@@ -1,5 +1,8 @@
 """Sinks, sealing, streams, and the registered queries."""
 
+import datetime
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,10 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gistline import schema
 from gistline.operators import account as A, bypass as B
-from gistline.operators.learn import lock_in_verdict
 from gistline.sources import sessions as S
 from gistline.streaming import jobs as J
-from gistline.streaming.snapshot import Snapshot
 
 def key(byte="00"):
     return F.unhex(F.lit(byte * 32))
@@ -91,60 +92,107 @@ def test_stream_gain_equals_batch(spark, tmp_path, sf_dir):
     from gistline.plans.views import view
 
     ledger = view(spark, sf_dir, "ledger")
-    state = Snapshot(str(tmp_path / "state"), J.GAIN)
     stream = streamed(spark, ledger, tmp_path / "in", "started_at")
-    J.stream_gain_daily(stream, state, str(tmp_path / "c")).awaitTermination()
-    assert rows(state.read(spark), *J.GAIN.names) == rows(A.gain_daily(ledger), *J.GAIN.names)
-    assert len(state.versions(spark)) <= 2
+    J.stream_gain_daily(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    want = A.gain_daily(ledger)
+    assert rows(J.newest(spark, str(tmp_path / "out"), ["date"]), *want.columns) == rows(want, *want.columns)
 
 
 def test_stream_near_duplicate_equals_batch(spark, tmp_path, sf_dir):
     from gistline.plans.views import view
 
     runs = view(spark, sf_dir, "runs")
-    state = Snapshot(str(tmp_path / "state"), J.LAST_RUNS)
-    J.stream_near_duplicate(streamed(spark, runs, tmp_path / "in", "started_at"), state, str(tmp_path / "out"),
+    J.stream_near_duplicate(streamed(spark, runs, tmp_path / "in", "started_at"), str(tmp_path / "out"),
                             str(tmp_path / "c"), seconds=3600).awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "out")), "run_id", "near_duplicate")
+    got = rows(J.near_duplicates(spark, str(tmp_path / "out")), "run_id", "near_duplicate")
     assert got == rows(B.near_duplicate_by_agent(runs, 3600), "run_id", "near_duplicate")
     assert any(hit for _, hit in got)
 
 
-def test_stream_lock_in_equals_batch(spark, tmp_path, sf_dir):
+def locked(df, n=5, fast=3):
+    """Verdicts sample by sample."""
+    hashes, out = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.captured_at, r.sample_id, hashlib.sha256(r.text.encode()).hexdigest())):
+        own = hashes.setdefault(r.fingerprint, [])
+        own.append(r.text)
+        if r.fingerprint not in out and (len(own) >= n or len(own) >= fast and len(set(own)) == 1):
+            out[r.fingerprint] = (len(own), "reached_n" if len(own) >= n else "zero_variance_fast_path")
+    return sorted((f, *v) for f, v in out.items())
+
+
+def test_stream_lock_in_is_sample_by_sample(spark, tmp_path, sf_dir):
     from gistline.plans.views import view
 
     samples = view(spark, sf_dir, "small_samples")
-    state = Snapshot(str(tmp_path / "state"), J.VERDICTS)
-    J.stream_lock_in(streamed(spark, samples, tmp_path / "in", "sample_id"), state, str(tmp_path / "c")).awaitTermination()
-    got, want = state.read(spark), lock_in_verdict(samples)
-    locked = {r.fingerprint for r in got.where("should_lock").collect()}
-    # A stream may lock in early, on three equal samples before a fourth differs.
-    assert {r.fingerprint for r in want.where("should_lock").collect()} <= locked
-    assert got.count() == want.count()
+    J.stream_lock_in(streamed(spark, samples, tmp_path / "in", "sample_id"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "fingerprint", "n_samples", "reason")
+    assert got == locked(samples) and len({r[2] for r in got}) == 2
+
+
+def batches(spark, tmp_path, parts, schema, start):
+    """Each part arrives alone and the query is started again; (total rows, of them evicted) of the state after each."""
+    sizes = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query.awaitTermination()
+        done = [p for p in query.recentProgress if p["stateOperators"]]
+        sizes.append(done[-1]["stateOperators"][0]["numRowsTotal"] if done else None)
+    return sizes
+
+
+def test_stream_lock_in_cap_and_restart(spark, tmp_path):
+    """A verdict comes once over several starts, and samples beyond the cap are never kept."""
+    schema = "fingerprint string, text string, captured_at long, sample_id long"
+    one = [("f", f"t{i}", i, i) for i in range(12)] + [("g", "same", i, i) for i in range(12)] + [(None, "n", i, i) for i in range(12)]
+    parts = [[r for r in one if k * 2 <= r[2] < k * 2 + 2] for k in range(6)]
+    out = tmp_path / "out"
+    batches(spark, tmp_path, parts, schema, lambda s: J.stream_lock_in(s, str(out), str(tmp_path / "c")))
+    assert rows(spark.read.parquet(str(out)), "fingerprint", "n_samples", "reason") == [
+        ("f", 5, "reached_n"), ("g", 3, "zero_variance_fast_path"), (None, 3, "zero_variance_fast_path")]
+    capped = tmp_path / "capped"
+    capped.mkdir()
+    sizes = batches(spark, capped, [[("f", f"t{i}", i, i) for i in range(k * 100, k * 100 + 100)] for k in range(3)], schema,
+                    lambda s: J.stream_lock_in(s, str(capped / "out"), str(capped / "c"), n=1000, cap=64))
+    assert spark.read.parquet(str(capped / "out")).count() == 0 and max(sizes) <= 64 + 1
 
 
 def test_stream_scores_equal_batch(spark, tmp_path, sf_dir):
     from gistline.plans.views import view
 
     events = view(spark, sf_dir, "bypass")
-    state = Snapshot(str(tmp_path / "state"), J.SCORES)
-    J.stream_bypass_score(streamed(spark, events, tmp_path / "in", "at"), state, str(tmp_path / "c"), window=20).awaitTermination()
+    J.stream_bypass_score(streamed(spark, events, tmp_path / "in", "at"), str(tmp_path / "out"), str(tmp_path / "c"), window=20).awaitTermination()
     r = lambda d: rows(d.withColumn("score", F.round("score", 9)), "profile_id", "score", "n_sessions")
-    assert r(J.rolling_scores(state.read(spark))) == r(B.rolling_bypass_score(events, 20))
+    assert r(J.newest(spark, str(tmp_path / "out"), ["profile_id"])) == r(B.rolling_bypass_score(events, 20))
 
 
 def test_stream_dedup_equals_batch(spark, tmp_path, sf_dir):
     from gistline.operators.ordered import dedup_adjacent
     from gistline.plans.views import view
 
-    lines = view(spark, sf_dir, "event_lines")
-    state = Snapshot(str(tmp_path / "state"), J.LAST_LINES)
-    J.stream_dedup_adjacent(streamed(spark, lines, tmp_path / "in", "line_no"), state, str(tmp_path / "out"),
-                            str(tmp_path / "c")).awaitTermination()
+    lines = view(spark, sf_dir, "timed_lines").withColumn("at", F.timestamp_seconds("at"))
+    J.stream_dedup_adjacent(streamed(spark, lines, tmp_path / "in", "line_no"), str(tmp_path / "out"), str(tmp_path / "c"),
+                            idle=10**8, delay="1000 days").awaitTermination()
     got = rows(spark.read.parquet(str(tmp_path / "out")), "session_id", "line_no", "text")
     assert got == rows(dedup_adjacent(lines), "session_id", "line_no", "text")
 
 
+def test_stream_dedup_forgets_silent_sessions(spark, tmp_path):
+    """State holds sessions that are alive: a hundred end in each batch, and the next batch forgets them."""
+    schema = "session_id string, line_no long, sub_no long, text string, is_placeholder boolean, at timestamp"
+
+    def lines(batch):
+        at = datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=batch)
+        return [(f"b{batch}-{s}", i, 0, "x", False, at) for s in range(100) for i in range(2)] + [("live", batch, 0, "same", False, at)]
+
+    sizes = batches(spark, tmp_path, [lines(k) for k in range(6)], schema, lambda s: J.stream_dedup_adjacent(
+        s, str(tmp_path / "out"), str(tmp_path / "c"), idle=5400, delay="1 minute"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 601 and got.where("session_id = 'live'").count() == 1
+    # A value and a timer (with its index) for the sessions of the last batches only.
+    assert sizes[-1] < 6 * 300 and sizes[-1] <= max(sizes[:3]) + 5
+
+
 def test_every_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
@@ -158,24 +206,55 @@ def test_entry(spark):
 def test_stream_near_duplicate_of_lagging_agents(spark, tmp_path):
     schema = "run_id long, agent string, fingerprint string, started_at long"
     parts = [[(1, "A", "f", 1000), (2, "B", "f", 900), (5, None, "f", 10)], [(3, "B", "f", 920)], [(4, "A", "f", 1010), (6, None, "f", 20)]]
-    for i, part in enumerate(parts):
-        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        J.stream_near_duplicate(stream, Snapshot(str(tmp_path / "state"), J.LAST_RUNS), str(tmp_path / "out"), str(tmp_path / "c"), seconds=60).awaitTermination()
-    got = {r.run_id: r.near_duplicate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batches(spark, tmp_path, parts, schema, lambda s: J.stream_near_duplicate(s, str(tmp_path / "out"), str(tmp_path / "c"), seconds=60))
+    got = {r.run_id: r.near_duplicate for r in J.near_duplicates(spark, str(tmp_path / "out")).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
     every = spark.createDataFrame([r for p in parts for r in p], schema)
     assert got == {r.run_id: r.near_duplicate for r in B.near_duplicate_by_agent(every, 60).collect()}
 
 
+def test_stream_near_duplicate_of_late_runs(spark, tmp_path):
+    """A run that comes late makes the one after it a duplicate; what nothing can reach any more is dropped."""
+    schema = "run_id long, agent string, fingerprint string, started_at long"
+    hour = 3600
+    parts = [[(1, "A", "f", 10 * hour), (2, "B", "f", 10 * hour)], [(3, "A", "f", 10 * hour - 30), (4, "A", "f", 10 * hour + 50)],
+             [(9, "C", "g", 30 * hour)], [(5, "A", "f", 30 * hour), (6, "A", "f", 10 * hour + 60)], [(7, "A", "f", 30 * hour + 60)]]
+    sizes = batches(spark, tmp_path, parts, schema, lambda s: J.stream_near_duplicate(
+        s, str(tmp_path / "out"), str(tmp_path / "c"), seconds=60, delay="2 hours"))
+    got = {r.run_id: r.near_duplicate for r in J.near_duplicates(spark, str(tmp_path / "out")).collect()}
+    # Run 6 is later than the watermark allows.
+    assert got == {1: True, 2: False, 3: False, 4: True, 9: False, 5: False, 7: True}
+    assert sizes[2] < sizes[1]
+
+
 def test_stream_score_of_a_session_that_returns(spark, tmp_path):
     schema = "profile_id long, session_id string, kind string, weight double, at long"
     day = 86_400
     parts = [[(1, "s1", "bypass_signal", 0.5, 10 * day)], [(1, "s2", "bypass_signal", 0.1, 10 * day + 5), (1, "s3", "bypass_signal", 0.1, 10 * day + 6)],
-             [(1, "s1", "bypass_signal", 0.2, 11 * day), (None, "s9", "bypass_signal", 0.4, 11 * day)]]
-    for part in parts:
-        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        J.stream_bypass_score(stream, Snapshot(str(tmp_path / "state"), J.SCORES), str(tmp_path / "c"), window=2).awaitTermination()
-    got = {r.profile_id: round(r.score, 9) for r in J.rolling_scores(Snapshot(str(tmp_path / "state"), J.SCORES).read(spark)).collect()}
-    assert got == {1: 0.4, None: 0.4}
+             [(1, "s1", "bypass_signal", 0.2, 11 * day), (None, "s9", "bypass_signal", 0.4, 11 * day)], [(2, "s8", "x", None, 40 * day)],
+             [(1, "s3", "bypass_signal", 0.3, 40 * day), (1, "s4", "x", None, 40 * day)]]
+    start = lambda s: J.stream_bypass_score(s, str(tmp_path / "out"), str(tmp_path / "c"), window=2, warmup=0)
+    batches(spark, tmp_path, parts[:3], schema, start)
+
+    def scores():
+        return {r.profile_id: (round(r.score, 9), r.observed) for r in J.newest(spark, str(tmp_path / "out"), ["profile_id"]).collect()}
+
+    assert scores() == {1: (0.4, 3), None: (0.4, 1)}
+    # s2 left the window, and weeks later the state; s3 stayed in the window and has all of its weight.
+    sizes = batches(spark, tmp_path, parts[3:], schema, start)
+    assert scores() == {1: (0.2, 4), None: (0.4, 1), 2: (0.0, 1)} and max(sizes) < 16
+
+
+def test_stream_score_warm_up(spark, tmp_path):
+    schema = "profile_id long, session_id string, kind string, weight double, at long"
+    parts = [[(1, f"s{k}", "bypass_signal", 0.5, 100 + k)] for k in range(5)]
+    batches(spark, tmp_path, parts, schema, lambda s: J.stream_bypass_score(s, str(tmp_path / "out"), str(tmp_path / "c")))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "score", "n_sessions", "observed") == [(0.5, 4, 4), (0.5, 5, 5)]
+
+
+def test_score_over_time_with_a_window_longer_than_blocks(spark):
+    runs = spark.createDataFrame([(1, i, float(i % 3 == 0)) for i in range(1, 60)], "profile_id long, run_no long, score double")
+    got = {r.run_no: r.bypass_score for r in B.bypass_score_over_time(runs, window=20, warmup=3, block_runs=5).collect()}
+    for i in range(4, 60):
+        last = [float(k % 3 == 0) for k in range(max(4, i - 19), i + 1)]
+        assert abs(got[i] - sum(last) / len(last)) < 1e-12
