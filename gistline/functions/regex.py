@@ -2,16 +2,22 @@
 
 Patterns are written in a linear-time dialect (no look-around, no back-references; ``\\n`` is
 the only line end; classes, boundaries and case folding are Unicode-aware). The JVM needs the
-flags ``d`` and ``U`` for that, and would accept the refused constructs, so they are refused here.
+flags ``d`` and ``U`` for that, and would accept the refused constructs, so they are refused here. It also tries one way
+through a pattern after another; patterns whose ways grow too fast with a line are refused before they meet one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistline.functions.ambiguity import EXPONENTIAL, Unreadable, growth
+
 FLAGS = "(?dU)"
 
 # What a pattern may not contain, as patterns of the JVM dialect.
@@ -40,14 +46,32 @@ def portable(pattern: str) -> bool:
         n in NAMED_CLASSES for n in names)
 
 
-def portable_column(pattern: Column) -> Column:
-    """``portable`` for patterns held in a table; a null is portable."""
-    names = "|".join(NAMED_CLASSES)
-    bad = [BACK_REFERENCE, LOOK_AROUND, SET_DIFFERENCE, rf"\[:\^?(?!(?:{names}):\])[a-z]+:\]"]
-    out = F.lit(False)
-    for p in bad:
-        out = out | pattern.rlike(p)
-    return ~F.coalesce(out, F.lit(False))
+#: Highest power of a line's length that the ways through a pattern may grow with.
+MAX_GROWTH = 3
+
+
+@lru_cache(maxsize=4096)
+def problem(pattern: str) -> str | None:
+    """Why a pattern is refused, or None."""
+    if not portable(pattern):
+        return "look-around, back-references, set differences and unknown classes are refused"
+    try:
+        ways = growth(re.sub(NAMED_CLASS, lambda m: _named(m[1], m[2]), pattern))
+    except Unreadable as error:
+        return f"not a pattern: {error}"
+    if ways == EXPONENTIAL:
+        return "its ways double with each repeat of a word"
+    return f"its ways grow with the power {ways} of a line" if ways > MAX_GROWTH else None
+
+
+def refused(patterns: DataFrame) -> DataFrame:
+    """(pattern, problem) of the refused ones in a table (pattern), whatever their number; nulls are none."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, why) for p in batch.column(0).to_pylist() if (why := problem(p)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["pattern", "problem"])
+
+    return patterns.where("pattern is not null").distinct().mapInArrow(check, "pattern string, problem string")
 
 
 def _named(negated: str, name: str) -> str:
@@ -55,8 +79,9 @@ def _named(negated: str, name: str) -> str:
 
 
 def translate(pattern: str) -> str:
-    if not portable(pattern):
-        raise PatternError(f"look-around, back-references, set differences and unknown classes are refused: {pattern}")
+    why = problem(pattern)
+    if why:
+        raise PatternError(f"{why}: {pattern}")
     return FLAGS + re.sub(NAMED_CLASS, lambda m: _named(m[1], m[2]), pattern.replace("(?P<", "(?<"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gistline import schema
 from gistline.functions import jsontext as J
 from gistline.functions.formats import with_format
-from gistline.functions.regex import PatternError, matches, portable_column, translate, translate_column
+from gistline.functions.regex import PatternError, matches, refused, translate, translate_column
 from gistline.functions.text import DEBUG_WORD, line_bytes
 from gistline.operators import ordered as O
 from gistline.operators import stateless as S
@@ -32,7 +32,7 @@ from gistline.operators.formats import detect_format_lines, json_documents
 from gistline.operators.lines import clean_arrays, clean_lines, clean_output
 from gistline.operators.scan import MAX_TASK_LINES, WINDOW, run_ordered
 from gistline.operators.versions import active_profile
-from gistline.session import checkpoint, fits_broadcast, local_frame, lookup, stored
+from gistline.session import checkpoint, fits_broadcast, local_frame, lookup, ship, stored
 
 # Fixed values.
 MAX_STEPS = 10_000_000
@@ -151,19 +151,36 @@ def _places(sequence: tuple[str, ...], steps: list[str]) -> list[int]:
     return out
 
 
+def all_patterns(profiles: DataFrame) -> DataFrame:
+    """(pattern) of all rules, of the states of all state machines and of all invariants."""
+    none = F.array().cast("array<string>")
+
+    def of_rule(r: Column) -> Column:
+        states = F.flatten(F.transform(F.coalesce(r["states"], F.array().cast(schema.RULE["states"].dataType)), lambda s: F.concat(
+            F.array(s["enter"]), F.coalesce(s["keep"], none), F.coalesce(s["drop"], none))))
+        return F.concat(F.array(r["pattern"], r["pattern2"]), states)
+
+    rules = F.flatten(F.transform("rules", of_rule))
+    checks = F.coalesce(F.transform("invariants", lambda i: i["pattern"]), none)
+    return profiles.select(F.explode(F.array_compact(F.concat(rules, checks))).alias("pattern"))
+
+
 def compile_rules(profiles: DataFrame) -> RuleTable:
     """Lay rule sets over common steps.
 
+    All patterns are checked first, those of states and invariants too, by one rule for any number of rule sets.
     A few rule sets are read to the driver and become literals. Of many, only distinct kind
     sequences reach the driver: the bundled rule sets have nine, and learned ones add two,
     however many there are.
     """
-    spark = profiles.sparkSession
+    spark = ship(profiles.sparkSession)
     first = [r.asDict(recursive=True) for r in profiles.limit(PLAN_RULE_SETS + 1).collect()]
     if len(first) <= PLAN_RULE_SETS:
         steps = common_sequence([tuple(r["kind"] for r in p["rules"]) for p in first])
         known = []
         for key, p in enumerate(first):
+            for pattern in filter(None, (i["pattern"] for i in p["invariants"] or ())):
+                translate(pattern)  # refuses what is no pattern
             stored = p["provenance"] != "bundled"
             places = _places(tuple(r["kind"] for r in p["rules"]), steps)
             known.append({
@@ -174,10 +191,9 @@ def compile_rules(profiles: DataFrame) -> RuleTable:
         return RuleTable(steps, local_frame(spark, known, RULES), known, True)
 
     profiles = checkpoint(profiles)
-    refused = profiles.select("profile_id", F.explode("rules").alias("r")).where(
-        ~portable_column(F.col("r.pattern")) | ~portable_column(F.col("r.pattern2"))).select("profile_id").first()
-    if refused is not None:
-        raise PatternError(f"a pattern of profile {refused.profile_id} is refused, as of look-around or a back-reference")
+    bad = refused(all_patterns(profiles)).first()
+    if bad is not None:
+        raise PatternError(f"{bad.problem}: {bad.pattern}")
     kinds = F.transform("rules", lambda r: r["kind"])
     keyed = profiles.withColumn("kinds", kinds)
     sequences = [tuple(r.kinds) for r in keyed.select("kinds").distinct().limit(MAX_SEQUENCES + 1).collect()]
