@@ -92,8 +92,11 @@ def retention_estimate(sessions: DataFrame, now: int, days: int = RETENTION_DAYS
 
 
 def purge_expired(sessions: DataFrame, now: int, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
-    """Split by age: the rows to keep, and one row per content reference set free."""
-    expired = F.col("started_at") < now - days * DAY
+    """Split by age: the rows to keep, and one row per content reference set free. Rows without a time are kept.
+
+    For any table of rows; one that lies in folders of days is purged in place by ``sources.sessions.purge_sessions``.
+    """
+    expired = F.coalesce(F.col("started_at") < now - days * DAY, F.lit(False))
     refs = F.array_compact(F.array("raw_sha", "compressed_sha"))
     released = sessions.where(expired).select(F.explode(refs).alias("sha256"))
     released = released.where(F.col("sha256") != "").groupBy("sha256").agg(F.count(F.lit(1)).alias("released"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gistline import schema
@@ -21,9 +23,9 @@ from gistline.plans.run import run as run_job
 from gistline.plans.learn import as_profiles, learn, self_test
 from gistline.plans.queries_lines import FORMAT_CASE, flags_twin
 from gistline.plans.views import REGISTRY, table, twin, view
-from gistline.session import local_frame
+from gistline.session import local_frame, shared_folder
 from gistline.sources.rulesets import RULESETS, load_profiles
-from gistline.sources.sessions import preserve_raw_policy, session_facts, session_mode
+from gistline.sources.sessions import preserve_raw_policy, purge_sessions, session_facts, session_mode, write_sessions
 
 query = REGISTRY.add
 NOW = 928_195_200  # a day inside the order dates
@@ -486,6 +488,22 @@ def _(spark, d):
         released.select(F.lit("released").alias("part"), F.col("sha256").alias("key"), F.col("released").alias("n")))
 
 
+@query("purge_sessions", twin("ledger", f"""
+with y as (select *, {NOW} - 17 * 86400 + started_at % 518400 as t from ledger),
+x as (select * from y where t < {NOW} + 18000 - 14 * 86400)
+select 'kept' as part, session_id as key, cast(1 as bigint) as n from y where t >= {NOW} + 18000 - 14 * 86400
+union all select 'released', s, count(*) from (select raw_sha as s from x union all select compressed_sha from x)
+where s is not null group by s"""))
+def _(spark, d):
+    # All times folded into six days; the limit is five hours into the fourth.
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4()}"
+    at = F.lit(NOW - 17 * 86400) + F.col("started_at") % 518400
+    write_sessions(view(spark, d, "ledger").withColumn("started_at", at), path)
+    released = purge_sessions(spark, path, NOW + 18000)
+    return spark.read.parquet(path).select(F.lit("kept").alias("part"), F.col("session_id").alias("key"), F.lit(1).cast("bigint").alias("n")).unionByName(
+        released.select(F.lit("released").alias("part"), F.col("sha256").alias("key"), F.col("released").alias("n")))
+
+
 @query("release_content", twin("ledger customers", f"""
 with x as (select raw_sha as sha256, count(*) as released from ledger where started_at < {NOW} - 14 * 86400 group by 1)
 select sha256, kind, size, created_at, ref_count - coalesce(released, 0) as ref_count from customers left join x using (sha256)

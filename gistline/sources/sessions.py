@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from gistline import schema
 from gistline.functions import metrics as M
 from gistline.functions.redaction import redact_text
 from gistline.functions.text import TAG
+from gistline.operators.account import DAY, RETENTION_DAYS, purge_expired
+from gistline.session import stored
 
 
 def read_sessions(spark: SparkSession, path: str, source: str = "parquet", streaming: bool = False) -> DataFrame:
@@ -45,6 +49,28 @@ def write_sessions(facts: DataFrame, path: str) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("start_date").parquet(path)
 
 
+def purge_sessions(spark: SparkSession, path: str, now: int, days: int = RETENTION_DAYS) -> DataFrame:
+    """Take the rows older than ``days`` out of a table of ``write_sessions``; one row per content reference set free.
+
+    Whole days go with their folders and one day, in which the limit falls, is written again; later days are
+    neither read nor written, nor are rows without a time. Of the rows that go only the references are read, and written
+    down before anything is removed.
+    """
+    limit = now - days * DAY
+    edge = datetime.fromtimestamp(limit, UTC).date()
+    kept, released = purge_expired(spark.read.parquet(path).where(F.col("start_date") <= F.lit(edge)), now, days)
+    released, last = stored(released), stored(kept)
+    write_sessions(last.drop("start_date"), path)
+    left = {str(r.start_date) for r in last.select("start_date").distinct().collect()}  # the day of the limit or none
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name, _, day = status.getPath().getName().partition("=")
+        if name == "start_date" and day <= str(edge) and day not in left:
+            fs.delete(status.getPath(), True)
+    return released
+
+
 def attestation_line(profile: Column, version: Column, fidelity: Column, mode: Column,
                      session_id: Column, failed: Column | None = None, tag: str = TAG) -> Column:
     """Footer of an emitted text, and a second line when invariants failed."""

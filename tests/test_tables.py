@@ -88,6 +88,34 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
 
 
+def test_purge_takes_whole_days(spark, tmp_path):
+    """Later days are neither read nor written; the references set free are those of the purge over all rows."""
+    path, day = tmp_path / "facts", 86_400
+    names = ("session_id", "started_at", "raw_sha", "compressed_sha")
+    table = [(f"s{i}", i * 5 * 3600, f"r{i % 4}", None if i % 3 else "") for i in range(60)] + [("none", None, "r1", "c")]
+    df = facts(spark, [dict(zip(names, r, strict=True)) for r in table])
+    S.write_sessions(df, str(path))
+    now = 14 * day + 3 * day + 7 * 3600
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    broken = [f for f in before if "start_date=1970-01-05" in str(f)]
+    assert broken and not any(f.write_bytes(b"not parquet") is None for f in broken)  # never opened
+    kept, released = A.purge_expired(df, now)
+    got = S.purge_sessions(spark, str(path), now)
+    assert rows(got, "sha256", "released") == rows(released, "sha256", "released")
+    for f in broken:
+        f.unlink()
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    days = {str(f.parent.name) for f in after}
+    assert not days & {f"start_date=1970-01-0{d}" for d in (1, 2, 3)} and "start_date=1970-01-04" in days
+    later = {f: t for f, t in before.items() if f.parent.name > "start_date=1970-01-04" and f not in broken}
+    assert later and all(after[f] == t for f, t in later.items())
+    left = spark.read.parquet(str(path)).where("start_date is null or start_date <> date'1970-01-05'")
+    want = kept.where(F.col("started_at").isNull() | (F.floor(F.col("started_at") / day) != 4))
+    assert rows(left, *names) == rows(want, *names)
+    # A second run finds nothing.
+    assert S.purge_sessions(spark, str(path), now).count() == 0
+
+
 def test_stream_gain_equals_batch(spark, tmp_path, sf_dir):
     from gistline.plans.views import view
 

@@ -106,6 +106,25 @@ def test_each_secret_is_redacted(spark):
         "nothing here", "a" * 40 + " " + "0123456789abcdef" * 3]
 
 
+def test_texts_without_a_required_literal_are_searched_once(spark):
+    """The literals are those of the shapes, every shape needs its own, and the nine shapes stand behind the search."""
+    import re
+
+    assert [R.required_literal(p) for _, p in R.SECRETS] == [
+        ("AKIA", False), ("ghp_", False), ("github_pat_", False), ("glpat-", False), ("sk_live_", False), ("sk_test_", False), (".eyJ", False),
+        ("bearer", True), ("PRIVATE KEY-----", False)]
+    secrets = planted_secrets()
+    assert all(re.search(dict(R.SECRETS)[n], s) for n, s in secrets.items())
+    df = texts(spark, *secrets.values(), "authorization: BeArEr " + "x" * 20, "sk_live", "eyJ", "bear er", "", None)
+    assert column(df, R.may_hold_secret(F.col("text"))) == [True] * 10 + [False] * 4 + [None]
+    plain = F.col("text")
+    for name, pattern in R.SECRETS:
+        plain = F.regexp_replace(plain, translate(pattern), f"[REDACTED:{name}]")
+    assert column(df, R.redact_named(F.col("text"))) == column(df, plain)
+    plan = df.select(R.redact_named(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("Contains") < plan.index("regexp_replace")
+
+
 def test_high_entropy_by_position(spark):
     hot = "abcdefghijklmnopqrstuvwxyz0123456789"
     cold = "ab" * 20
