@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -134,37 +135,60 @@ class WordIds:
 
 
 class IdStore:
-    """Ids of text parts, remembered until there are ``limit`` parts."""
+    """Ids of text parts, remembered. When there are more than ``limit`` parts, those that came again stay."""
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
         self.parts: dict[str, int] = {}
         self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-
-    def add(self, parts: list[str], ids: list[list[int]]) -> None:
-        n, lengths = len(self.parts), np.array([len(x) for x in ids], np.int64)
+        self.used = np.zeros(1 << 14, np.int64)
+
+    def sweep(self) -> None:
+        """Keep at most half of ``limit`` parts, the most used ones."""
+        n = len(self.parts)
+        order = np.argsort(-self.used[:n], kind="stable")[: self.limit // 2]
+        keep = np.sort(order[self.used[order] > 1])
+        names = list(self.parts)
+        lengths = self.starts[keep + 1] - self.starts[keep]
+        flat = ragged(self.flat, self.starts[keep], lengths)
+        self.parts = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat[: len(flat)] = flat
+        used = self.used[keep] // 2
+        self.starts[1 : len(keep) + 1] = np.cumsum(lengths)
+        self.used[:] = 0
+        self.used[: len(keep)] = used
+
+    def add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.parts)
         ends = self.starts[n] + np.cumsum(lengths)
         self.starts, self.flat = _room(self.starts, n + len(parts) + 1), _room(self.flat, int(ends[-1]))
-        self.flat[self.starts[n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        self.used = _room(self.used, n + len(parts))
+        self.flat[self.starts[n] : ends[-1]] = ids
         self.starts[n + 1 : n + len(parts) + 1] = ends
         self.parts.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def encode(self, texts: list[list[str]], learn) -> list[np.ndarray]:
-        """Ids of texts given as lists of parts; ``learn(parts)`` gives the ids of parts not seen before."""
+        """Ids of texts given as lists of parts; ``learn(parts)`` gives parts not seen before in an order of its own, their ids
+        in one array, and the number of ids of each."""
         if len(self.parts) > self.limit:
-            self.forget()
-        known = self.parts
-        if new := {p for parts in texts for p in parts if p not in known}:
-            new = sorted(new)
-            self.add(new, learn(new))
-        out = []
-        for parts in texts:
-            at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-            out.append(ragged(self.flat, self.starts[at], self.starts[at + 1] - self.starts[at]))
-        return out
+            self.sweep()
+        every = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.parts.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self.add(*learn(list(dict.fromkeys(every[i] for i in missing))))
+            at[missing] = [self.parts[every[i]] for i in missing]
+        self.used[: len(self.parts)] += np.bincount(at, minlength=len(self.parts))
+        lengths = self.starts[at + 1] - self.starts[at]
+        ids = ragged(self.flat, self.starts[at], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(parts) for parts in texts])] if texts else []
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+
+
+def flat_ids(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their lengths."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

@@ -21,6 +21,7 @@ makes an empty file.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,8 +43,12 @@ SEGMENTS = (
 )
 #: White space other than the space itself.
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Pre-tokens that a worker remembers, and new ones that are encoded as one text.
+REMEMBERED, JOINED = 400_000, 1000
+#: A part of one space and letters.
+PLAIN = re.compile(r" \S+").fullmatch
+#: A text that shows whether a model cuts before single spaces.
+PROBE = "ab cd, x1 y\n z\t w"
 
 
 class EliasFano:
@@ -109,10 +114,36 @@ class PartTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        probe = "ab cd, x1 y\n z\t w"
-        parts = [probe.split(" ")[0], *(" " + p for p in probe.split(" ")[1:])]
-        self.splits = self._whole([probe])[0] == [i for x in self._whole(parts) for i in x]
+        parts = [PROBE.split(" ")[0], *(" " + p for p in PROBE.split(" ")[1:])]
+        self.splits = self._whole([PROBE])[0] == [i for x in self._whole(parts) for i in x]
         self.store = common.IdStore(remembered)
+        self.sizes = self._sizes()
+
+    def _sizes(self) -> np.ndarray | None:
+        """Bytes of each token, if a token is spelled with one letter a byte."""
+        sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            sizes[i] = len(token)
+        text = PROBE + "é中😀"
+        return sizes if self.splits and sizes[self._whole([text])[0]].sum() == len(text.encode()) else None
+
+    def _learn(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Parts with their ids. A part without further white space ends where the next one starts, in any company; such parts
+        are encoded as one text, and told apart by the bytes of their tokens."""
+        easy = [p for p in parts if PLAIN(p)] if self.sizes is not None else []
+        ids, _ = common.flat_ids(self._whole(["".join(easy[i : i + JOINED]) for i in range(0, len(easy), JOINED)]))
+        if easy:
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in easy), np.int64, len(easy)))
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+            if not np.array_equal(reached[cuts], ends):  # the model changes some letters
+                return parts, *common.flat_ids(self._whole(parts))
+            lengths = np.diff(cuts + 1, prepend=0)
+            parts = easy + [p for p in parts if not PLAIN(p)]
+        else:
+            lengths = np.zeros(0, np.int64)
+        more, their_lengths = common.flat_ids(self._whole(parts[len(easy) :]))
+        return parts, np.concatenate([ids, more]), np.concatenate([lengths, their_lengths])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,7 +167,7 @@ class PartTokenizer:
             elif text:
                 rest.append(i)
             split.append(parts)
-        out = self.store.encode(split, self._whole)
+        out = self.store.encode(split, self._learn)
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = np.array(ids, np.uint32)
         return out

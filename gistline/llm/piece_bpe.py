@@ -32,8 +32,8 @@ MARK = "▁"
 PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A text that shows whether a model's normaliser does more than to mark spaces.
 PROBE = "aB \t\n Z\u00e9 e\u0301\u3000\ufb01\uff21 \u200b\x00\x7f"
-#: Parts that a worker remembers.
-REMEMBERED = 300_000
+#: Parts that a worker remembers, and symbols of a part up to which its agenda is a list.
+REMEMBERED, SHORT = 400_000, 32
 
 
 class PieceBpe:
@@ -62,6 +62,35 @@ class PieceBpe:
 
     def agenda(self, part: str) -> list[int]:
         """Ids of one part."""
+        out: list[int] = []
+        for s in self.merged(part) if len(part) <= SHORT else self.merged_long(part):
+            i = self.ids.get(s)
+            if i is None:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(i)
+        return out
+
+    def merged(self, part: str) -> list[str]:
+        """Symbols of a part, its agenda a list by position: over a few pairs a search for the least is cheaper than a heap."""
+        get, none = self.place.get, len(self.place)
+        symbols = list(part)
+        agenda = [get(part[i : i + 2], none) for i in range(len(part) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], none)
+        return symbols
+
+    def merged_long(self, part: str) -> list[str]:
+        """The same with a heap, for parts of any length."""
         place, size = self.place, len(part)
         symbols: list[str] = list(part)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -85,15 +114,7 @@ class PieceBpe:
                 p = symbols[prior] + symbols[left]
                 if p in place:
                     heappush(agenda, (place[p], prior, len(p)))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(i)
-        return out
+        return [s for s in symbols if s]
 
     def check(self, texts: list[str], found: list[np.ndarray]) -> None:
         """Compare whole texts with the library."""
@@ -114,7 +135,7 @@ class PieceBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32, without begin and end."""
-        return self.store.encode([self.split(t) for t in texts], lambda parts: [self.agenda(p) for p in parts])
+        return self.store.encode([self.split(t) for t in texts], lambda parts: (parts, *common.flat_ids([self.agenda(p) for p in parts])))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)

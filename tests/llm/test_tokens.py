@@ -115,3 +115,31 @@ def test_select_reads_one_document(spark):
     doc_ids, ef, ids = ef_tokens.open_segment(row)
     at = doc_ids.index(137)
     assert ids[ef[at] : ef[at + 1]].tolist() == [*TOKENIZER.encode("text number 137").ids, 2]
+
+
+def test_short_and_long_agendas_agree():
+    import random
+
+    import public_tokenizers
+    from gistline.llm import piece_bpe
+
+    model, rng = piece_bpe.encoder(public_tokenizers.path("piece_bpe_32k.model")), random.Random(2)
+    for _ in range(2000):
+        part = "▁" + "".join(rng.choice("aeioustrnlé中x▁7") for _ in range(rng.randint(0, 40)))
+        assert model.merged(part) == model.merged_long(part)
+
+
+def test_few_remembered_parts_change_nothing(documents):
+    """Parts leave the memory and come back, some with white space of other kinds."""
+    import public_tokenizers
+    from gistline.llm import ef_tokens, piece_bpe
+
+    texts = [t or "" for _, t in documents[:120]] + ["a\n b", " lead", "x \ty z", "tail ", "é 中 😀 ﬁ ", "a  b", "   n m o", "", " "]
+    bytewise = ef_tokens.PartTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 300)
+    pieces = piece_bpe.PieceBpe(public_tokenizers.path("piece_bpe_32k.model"), 300)
+    assert bytewise.sizes is not None
+    for _ in range(2):
+        for i in range(0, len(texts), 10):
+            some = texts[i : i + 10]
+            assert [x.tolist() for x in bytewise.encode(some)] == [e.ids for e in bytewise.library.encode_batch(some, add_special_tokens=False)]
+            assert [x.tolist() for x in pieces.encode(some)] == pieces.library.encode(some)
