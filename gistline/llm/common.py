@@ -7,11 +7,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,55 +135,99 @@ class WordIds:
         return len(self.words) >= self.limit
 
 
-class IdStore:
-    """Ids of text parts, remembered. When there are more than ``limit`` parts, those that came again stay."""
+#: Base of the hash of a word, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes up to which a word is hashed with all others; there are long words that this hash confuses.
+LONG_WORD = 256
 
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.parts: dict[str, int] = {}
-        self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.used = np.zeros(1 << 14, np.int64)
+
+class WordStore:
+    """Ids of the words of texts that are cut at each space, remembered under 64-bit hashes of the words.
+
+    All words of a slice are hashed and looked up at once, so only words that are new become Python strings. With n words
+    remembered, a new word is taken for another with a probability of n / 2^64. When there are more than
+    ``limit`` words, those that came again stay.
+    """
+
+    def __init__(self, limit: int, first_differs: bool):
+        self.limit, self.first_differs = limit, first_differs
+        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes, places in ``starts``
+        self.flat, self.starts, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.power = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power[0]) < n:
+            self.power = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (BASE, INVERSE))
+        return self.power
 
     def sweep(self) -> None:
-        """Keep at most half of ``limit`` parts, the most used ones."""
-        n = len(self.parts)
+        """Keep at most half of ``limit`` words, the most used ones."""
+        n = len(self.keys)
         order = np.argsort(-self.used[:n], kind="stable")[: self.limit // 2]
         keep = np.sort(order[self.used[order] > 1])
-        names = list(self.parts)
         lengths = self.starts[keep + 1] - self.starts[keep]
         flat = ragged(self.flat, self.starts[keep], lengths)
-        self.parts = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.flat[: len(flat)] = flat
+        place = np.full(n, -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        left = place[self.at] >= 0
+        self.keys, self.at = self.keys[left], place[self.at[left]]
         used = self.used[keep] // 2
+        self.flat[: len(flat)] = flat
         self.starts[1 : len(keep) + 1] = np.cumsum(lengths)
         self.used[:] = 0
         self.used[: len(keep)] = used
 
-    def add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.parts)
+    def _add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        n, m = len(self.keys), len(keys)
         ends = self.starts[n] + np.cumsum(lengths)
-        self.starts, self.flat = _room(self.starts, n + len(parts) + 1), _room(self.flat, int(ends[-1]))
-        self.used = _room(self.used, n + len(parts))
+        self.starts, self.flat, self.used = _room(self.starts, n + m + 1), _room(self.flat, int(ends[-1])), _room(self.used, n + m)
         self.flat[self.starts[n] : ends[-1]] = ids
-        self.starts[n + 1 : n + len(parts) + 1] = ends
-        self.parts.update(zip(parts, range(n, n + len(parts)), strict=True))
-
-    def encode(self, texts: list[list[str]], learn) -> list[np.ndarray]:
-        """Ids of texts given as lists of parts; ``learn(parts)`` gives parts not seen before in an order of its own, their ids
-        in one array, and the number of ids of each."""
-        if len(self.parts) > self.limit:
+        self.starts[n + 1 : n + m + 1] = ends
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at = np.insert(self.keys, where, keys), np.insert(self.at, where, np.arange(n, n + m))
+        return np.arange(n, n + m)
+
+    def encode(self, texts: list[bytes], learn) -> list[np.ndarray]:
+        """Ids of each text. ``learn(words, first)`` gives the ids of new words, in one array, and how many each has;
+        ``first`` marks words at the head of a text, where the store tells them apart."""
+        if not texts:
+            return []
+        if len(self.keys) > self.limit:
             self.sweep()
-        every = list(chain.from_iterable(texts))
-        at = np.fromiter(map(self.parts.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self.add(*learn(list(dict.fromkeys(every[i] for i in missing))))
-            at[missing] = [self.parts[every[i]] for i in missing]
-        self.used[: len(self.parts)] += np.bincount(at, minlength=len(self.parts))
+        whole = b" ".join(texts)
+        data = np.frombuffer(whole + b" ", np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        power, inverse = self._powers(len(data))
+        heads = np.cumsum([0] + [len(t) + 1 for t in texts])
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
+            key = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), 7)
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            key[i] = xxhash.xxh3_64_intdigest(whole[starts[i] : ends[i]])
+        head = np.searchsorted(starts, heads[:-1])
+        first = np.zeros(len(starts), bool)
+        if self.first_differs:
+            first[head] = True
+            key[head] = mix(key[head], 8)
+        unique, inverse_of = np.unique(key, return_inverse=True)
+        where = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        known = self.keys[where] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        at = np.empty(len(unique), np.int64)
+        at[known] = self.at[where[known]]
+        if not known.all():
+            some = np.empty(len(unique), np.int64)
+            some[inverse_of] = np.arange(len(key))
+            new = some[~known]
+            words = [whole[i:j].decode() for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            at[~known] = self._add(unique[~known], *learn(words, first[new]))
+        at = at[inverse_of]
+        self.used[: len(self.keys)] += np.bincount(at, minlength=len(self.keys))
         lengths = self.starts[at + 1] - self.starts[at]
         ids = ragged(self.flat, self.starts[at], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(parts) for parts in texts])] if texts else []
-        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[np.append(head, len(starts))]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def flat_ids(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

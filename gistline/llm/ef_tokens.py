@@ -43,10 +43,10 @@ SEGMENTS = (
 )
 #: White space other than the space itself.
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-#: Pre-tokens that a worker remembers, and new ones that are encoded as one text.
-REMEMBERED, JOINED = 400_000, 1000
-#: A part of one space and letters.
-PLAIN = re.compile(r" \S+").fullmatch
+#: Words that a worker remembers, and new ones that are encoded as one text.
+REMEMBERED, JOINED = 1_000_000, 1000
+#: A word without white space.
+PLAIN = re.compile(r"\S+").fullmatch
 #: A text that shows whether a model cuts before single spaces.
 PROBE = "ab cd, x1 y\n z\t w"
 
@@ -116,7 +116,7 @@ class PartTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         parts = [PROBE.split(" ")[0], *(" " + p for p in PROBE.split(" ")[1:])]
         self.splits = self._whole([PROBE])[0] == [i for x in self._whole(parts) for i in x]
-        self.store = common.IdStore(remembered)
+        self.store = common.WordStore(remembered, first_differs=True)
         self.sizes = self._sizes()
 
     def _sizes(self) -> np.ndarray | None:
@@ -127,23 +127,28 @@ class PartTokenizer:
         text = PROBE + "é中😀"
         return sizes if self.splits and sizes[self._whole([text])[0]].sum() == len(text.encode()) else None
 
-    def _learn(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Parts with their ids. A part without further white space ends where the next one starts, in any company; such parts
-        are encoded as one text, and told apart by the bytes of their tokens."""
-        easy = [p for p in parts if PLAIN(p)] if self.sizes is not None else []
-        ids, _ = common.flat_ids(self._whole(["".join(easy[i : i + JOINED]) for i in range(0, len(easy), JOINED)]))
-        if easy:
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in easy), np.int64, len(easy)))
+    def _learn(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the space before them. A word without white space of other kinds ends where the next one starts, in
+        any company; such words are encoded as one text, and told apart by the bytes of their tokens."""
+        if self.sizes is None:
+            return common.flat_ids(self._whole([w if f else " " + w for w, f in zip(words, first.tolist(), strict=True)]))
+        plain = np.fromiter((PLAIN(w) is not None for w in words), bool, len(words)) & ~first
+        easy, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        texts = [words[i] for i in easy.tolist()]
+        ids, _ = common.flat_ids(self._whole([" " + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]))
+        lengths = np.zeros(len(words), np.int64)
+        if len(easy):
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in texts), np.int64, len(texts)))
             reached = np.cumsum(self.sizes[ids])
             cuts = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
             if not np.array_equal(reached[cuts], ends):  # the model changes some letters
-                return parts, *common.flat_ids(self._whole(parts))
-            lengths = np.diff(cuts + 1, prepend=0)
-            parts = easy + [p for p in parts if not PLAIN(p)]
-        else:
-            lengths = np.zeros(0, np.int64)
-        more, their_lengths = common.flat_ids(self._whole(parts[len(easy) :]))
-        return parts, np.concatenate([ids, more]), np.concatenate([lengths, their_lengths])
+                return common.flat_ids(self._whole([w if f else " " + w for w, f in zip(words, first.tolist(), strict=True)]))
+            lengths[easy] = np.diff(cuts + 1, prepend=0)
+        more, lengths[other] = common.flat_ids(self._whole([words[i] if first[i] else " " + words[i] for i in other.tolist()]))
+        order = np.concatenate([easy, other])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return common.ragged(np.concatenate([ids, more]), starts, lengths), lengths
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,17 +162,12 @@ class PartTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
-        split: list[list[str]] = []
-        rest: list[int] = []
-        for i, text in enumerate(texts):
-            parts: list[str] = []
-            if self.divisible(text):
-                first, *others = text.split(" ")
-                parts = ([first] if first else []) + [" " + p for p in others]
-            elif text:
-                rest.append(i)
-            split.append(parts)
-        out = self.store.encode(split, self._learn)
+        raw = [t.encode() for t in texts]
+        split = [i for i, t in enumerate(texts) if self.divisible(t)]
+        out: list = [None] * len(texts)
+        for i, ids in zip(split, self.store.encode([raw[i] for i in split], self._learn), strict=True):
+            out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = np.array(ids, np.uint32)
         return out

@@ -18,6 +18,8 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ MARK = "▁"
 PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A text that shows whether a model's normaliser does more than to mark spaces.
 PROBE = "aB \t\n Z\u00e9 e\u0301\u3000\ufb01\uff21 \u200b\x00\x7f"
-#: Parts that a worker remembers, and symbols of a part up to which its agenda is a list.
-REMEMBERED, SHORT = 400_000, 32
+#: Words that a worker remembers, and symbols of a part up to which its agenda is a list.
+REMEMBERED, SHORT = 1_000_000, 32
 
 
 class PieceBpe:
@@ -58,35 +60,30 @@ class PieceBpe:
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         self.marks_only = lib.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
-        self.store = common.IdStore(remembered)
+        self.store = common.WordStore(remembered, first_differs=False)
 
     def agenda(self, part: str) -> list[int]:
         """Ids of one part."""
-        out: list[int] = []
-        for s in self.merged(part) if len(part) <= SHORT else self.merged_long(part):
-            i = self.ids.get(s)
-            if i is None:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(i)
-        return out
+        symbols = self.merged(part) if len(part) <= SHORT else self.merged_long(part)
+        out = list(map(self.ids.get, symbols))
+        if None not in out:
+            return out
+        return [x for s, i in zip(symbols, out, strict=True) for x in ((i,) if i is not None else map(self.bytes.get, s.encode()))]
 
     def merged(self, part: str) -> list[str]:
         """Symbols of a part, its agenda a list by position: over a few pairs a search for the least is cheaper than a heap."""
         get, none = self.place.get, len(self.place)
         symbols = list(part)
-        agenda = [get(part[i : i + 2], none) for i in range(len(part) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
+        agenda = list(map(get, map(add, part, part[1:]), repeat(none)))
+        agenda.append(none)  # the last symbol has no pair
+        while (best := min(agenda)) != none:
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
+            new = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
-            if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], none)
+                agenda[i - 1] = get(symbols[i - 1] + new, none)
+            if i + 1 < len(symbols):
+                agenda[i] = get(new + symbols[i + 1], none)
         return symbols
 
     def merged_long(self, part: str) -> list[str]:
@@ -116,26 +113,40 @@ class PieceBpe:
                     heappush(agenda, (place[p], prior, len(p)))
         return [s for s in symbols if s]
 
-    def check(self, texts: list[str], found: list[np.ndarray]) -> None:
-        """Compare whole texts with the library."""
-        for text, mine, other in zip(texts, found, self.library.encode(texts, num_threads=1), strict=True):
+    def check(self, texts: list[str], found: list[np.ndarray]) -> list[list[int]]:
+        """Compare whole texts with the library; the ids of both as lists."""
+        others = self.library.encode(texts, num_threads=1)
+        for text, mine, other in zip(texts, found, others, strict=True):
             if len(mine) != len(other) or mine.tolist() != other:
                 raise AssertionError(f"the agenda and the library differ on {text[:200]!r}")
+        return others
 
-    def split(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[str]:
         """Parts of a text that no piece reaches across."""
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or MARK in text or self.crossing or not self.marks_only:
-            normal = self.library.normalize(text)
-            return [normal] if self.crossing else PARTS.findall(normal)
-        if text[-1] == " ":
-            return [MARK + w for w in text[:-1].split(" ")] + [MARK]
-        return [MARK + w for w in text.split(" ")]
+        normal = self.library.normalize(text)
+        return [normal] if self.crossing and normal else PARTS.findall(normal)
+
+    def regular(self, text: str) -> bool:
+        """Whether the parts are the words between single spaces, each with a mark."""
+        return bool(text) and self.marks_only and not self.crossing and not (
+            "  " in text or text[0] == " " or MARK in text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32, without begin and end."""
-        return self.store.encode([self.split(t) for t in texts], lambda parts: (parts, *common.flat_ids([self.agenda(p) for p in parts])))
+        regular = [i for i, t in enumerate(texts) if self.regular(t)]
+        out: list = [None] * len(texts)
+        learn = lambda words, _: common.flat_ids([self.agenda(MARK + w) for w in words])
+        for i, ids in zip(regular, self.store.encode([texts[i].encode() for i in regular], learn), strict=True):
+            out[i] = ids
+        own: dict[str, list[int]] = {}
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                parts = self.parts(text)
+                for p in parts:
+                    if p not in own:
+                        own[p] = self.agenda(p)
+                out[i] = np.array([x for p in parts for x in own[p]], np.uint32)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -154,11 +165,11 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         names = [c for c in batch.schema.names if c != "text"]
         texts = common.texts(batch, "text")
         found = model.encode(texts)
-        model.check(texts, found)
+        listed = model.check(texts, found)
         ids = [np.concatenate([edge[0], x, edge[1]]).astype("<u4") for x in found]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in names), pa.array([x.tobytes() for x in ids], pa.binary()),
-             pa.array([model.decode(x.tolist()) for x in ids], pa.string())],
+             pa.array([model.decode([model.begin, *x, model.end]) for x in listed], pa.string())],
             names=[*names, "ids", "decoded"],
         )
 
