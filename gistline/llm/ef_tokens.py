@@ -21,6 +21,7 @@ makes an empty file.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -110,6 +111,8 @@ class PartTokenizer:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        # Spark runs a task on each core; threads of the library would only wait for one another.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
