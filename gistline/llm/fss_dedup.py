@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,11 +191,10 @@ class Links:
         named = self.candidates.select(F.col("doc_id").alias("_id"), "code")
         texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "code")
         self.sets = common.stored(texts.mapInArrow(lambda b: _sets(b, width), "code long, n long, short binary, codes binary").dropDuplicates(["code"]))
-        self.links: list[DataFrame] = []
         self.labels = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Verify pairs (u, v) and add the true ones to the links."""
+        """Verify pairs (u, v) and join the components of the true ones."""
         def sides(table: DataFrame, column: str) -> DataFrame:
             out = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct() if table is None else table
             for end in "uv":
@@ -208,9 +206,23 @@ class Links:
         near = common.stored(sides(None, "sketch").mapInArrow(lambda b: _alike(b, refuse), "u long, v long"))
         found = common.stored(sides(near, "codes").mapInArrow(lambda b: _confirmed(b, percent), "u long, v long"))
         common.discard(near)
-        self.links.append(found)
-        old, self.labels = self.labels, components(reduce(DataFrame.unionByName, self.links))
-        common.discard(old)
+        self.contract(found)
+        common.discard(found)
+
+    def contract(self, links: DataFrame) -> None:
+        """Bring new links into the labels: they join components, so only what they join is looked at again."""
+        if self.labels is None:
+            self.labels = components(links)
+            return
+        if links.isEmpty():
+            return
+        roots = self.labels.select(F.col("node").alias("n"), "root")
+        edges = links.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
+        moved = components(edges.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+        after = self.labels.join(moved.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        fresh = moved.join(self.labels.select("node"), "node", "left_anti")
+        old, self.labels = self.labels, common.stored(after.unionByName(fresh.select("node", "root")))
+        common.discard(old, moved)
 
     def open_members(self) -> DataFrame:
         """Members, with their component, of the bands that hold several components."""
@@ -230,7 +242,7 @@ class Links:
 
     def close(self) -> None:
         """Delete all tables but the rows."""
-        common.discard(self.classes, self.members, self.candidates, self.sets, self.labels, *self.links)
+        common.discard(self.classes, self.members, self.candidates, self.sets, self.labels)
 
     def by_popular_hub(self) -> None:
         shares = self.members.groupBy("code").agg(F.sum("n").alias("shares"))
