@@ -155,31 +155,48 @@ def _variant_path(parts: Column) -> Column:
     return F.concat(F.lit("$"), F.array_join(F.transform(parts, quoted), ""))
 
 
-def json_get(document: Column, parts: Column) -> Column:
-    """Value at the segments of a path as a variant; SQL NULL where it is missing, a null variant where it
+def _addressed(parts: Column) -> Column:
+    """Segments with the path Spark reads; a key with quotes of both kinds has none, and its members are read as a map."""
+    odd = F.exists(parts, lambda p: p.contains('"') & p.contains("'"))
+    return F.struct(parts.alias("parts"), F.when(~odd, _variant_path(parts)).alias("path"))
+
+
+def _at(document: Column, place: Column) -> Column:
+    """Value at an addressed path as a variant; SQL NULL where it is missing, a null variant where it
     is an explicit null."""
     def inside(text: Column, p: Column) -> Column:
         element = F.get(F.from_json(text, "array<variant>"), _key(p).try_cast("int"))
         return F.to_json(F.when(p.startswith("#"), element).otherwise(F.element_at(F.from_json(text, "map<string,variant>"), _key(p))))
 
-    # A key with quotes of both kinds has no path; its members are read as a map.
-    odd = F.exists(parts, lambda p: p.contains('"') & p.contains("'"))
-    walked = F.try_parse_json(F.aggregate(parts, F.to_json(document), inside))
-    return F.when(odd, walked).otherwise(F.try_variant_get(document, _variant_path(F.when(odd, F.array()).otherwise(parts)), "variant"))
+    direct = F.try_variant_get(document, F.coalesce(place["path"], F.lit("$")), "variant")
+    walked = F.try_parse_json(F.aggregate(place["parts"], F.to_json(document), inside))
+    return F.when(place["path"].isNotNull(), direct).when(place["parts"].isNotNull(), walked)
+
+
+def json_get(document: Column, parts: Column) -> Column:
+    """Value at the segments of a path."""
+    return _at(document, _addressed(parts))
+
 
+def _parsed(df: DataFrame, paths: list[str] | Column, segments: Callable[[Column], Column]) -> Column:
+    """Paths with their places. A list is parsed once and becomes a literal, a column is parsed where it is."""
+    def parsed(column: Column) -> Column:
+        return F.transform(column, lambda p: F.struct(p.alias("k"), _addressed(segments(p)).alias("place")))
 
-def _paths(paths: list[str] | Column) -> Column:
-    return paths if isinstance(paths, Column) else F.array(*[F.lit(p) for p in paths]).cast("array<string>")
+    if isinstance(paths, Column):
+        return parsed(paths)
+    once = df.sparkSession.createDataFrame([(list(paths),)], "p array<string>").select(F.to_json(parsed(F.col("p")))).first()[0]
+    return F.from_json(F.lit(once), "array<struct<k string, place struct<parts array<string>, path string>>>")
 
 
 def json_path_keep(df: DataFrame, column: str, paths: list[str] | Column) -> DataFrame:
     """Object that maps each path found, as written, to its value; other text is unchanged.
     The document is parsed once, in a step of its own. ``paths`` may be a column; where it is null, the text stays."""
-    df = df.withColumns({"_paths": _paths(paths), "_valid": json_valid(F.col(column)), "_doc": F.try_parse_json(F.col(column))})
+    df = df.withColumns({"_paths": _parsed(df, paths, path_segments), "_valid": json_valid(F.col(column)), "_doc": F.try_parse_json(F.col(column))})
 
     def member(path: Column) -> Column:
-        name = F.to_json(F.struct(path.alias("k")))  # {"k":"..."}
-        value = F.to_json(json_get(F.col("_doc"), path_segments(path)))
+        name = F.to_json(F.struct(path["k"].alias("k")))  # {"k":"..."}
+        value = F.to_json(_at(F.col("_doc"), path["place"]))
         return F.concat(F.substring(name, F.lit(6), F.length(name) - 6), F.lit(":"), value)
 
     members = F.filter(F.transform(F.array_sort(F.array_distinct("_paths")), member), lambda m: m.isNotNull())
@@ -191,11 +208,11 @@ def json_path_keep(df: DataFrame, column: str, paths: list[str] | Column) -> Dat
 def json_path_drop(df: DataFrame, column: str, paths: list[str] | Column) -> DataFrame:
     """Remove the object member each path names; array elements and absent members stay. The paths are folded over
     the document one after another. ``paths`` may be a column; where it is null, the text stays."""
-    df = df.withColumns({"_paths": _paths(paths), "_valid": json_valid(F.col(column)), "_json": sorted_json(F.col(column))})
+    df = df.withColumns({"_paths": _parsed(df, paths, drop_segments), "_valid": json_valid(F.col(column)), "_json": sorted_json(F.col(column))})
 
     def one(text: Column, path: Column) -> Column:
-        return _let(drop_segments(path), lambda parts: F.when(
-            json_get(F.try_parse_json(text), parts).isNotNull(), _removed(text, parts)).otherwise(text))
+        place = path["place"]
+        return F.when(_at(F.try_parse_json(text), place).isNotNull(), _removed(text, place["parts"])).otherwise(text)
 
     able = F.col("_valid") & F.col("_json").isNotNull() & F.col("_paths").isNotNull()
     return df.withColumn(column, F.when(able, F.aggregate("_paths", F.col("_json"), one)).otherwise(F.col(column))).drop(
