@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 SHAPE_FLAGS = ("--format", "--output", "-o", "--json", "--pretty", "--oneline")
 NUMBER = r"(?dU)^-?\d+(\.\d+)?\z"
 HEX = r"(?dU)^[0-9a-fA-F]{6,}\z"
-URL = r"(?dU)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+).*$"
+URL = r"(?dU)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+).*\z"
 PATH = (
     r"(?dU)^(\.{1,2}[/\\]|[/\\~]|[A-Za-z]:[/\\]|[\w.-]+[/\\][\w./\\-]+|"
-    r"\w[\w.-]*\.(rs|py|js|ts|go|java|c|cpp|h|toml|json|yaml|yml|md|txt|log|lock|gradle|xml|sh))$"
+    r"\w[\w.-]*\.(rs|py|js|ts|go|java|c|cpp|h|toml|json|yaml|yml|md|txt|log|lock|gradle|xml|sh))\z"
 )
 
 

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from gistline import schema
 from gistline.functions import metrics as M
+from gistline.functions.fingerprint import fingerprint
 from gistline.functions.redaction import redact_text
 from gistline.functions.text import TAG
 from gistline.operators.account import DAY, RETENTION_DAYS, purge_expired
-from gistline.session import stored
+from gistline.session import lookup, stored
 
 
 def read_sessions(spark: SparkSession, path: str, source: str = "parquet", streaming: bool = False) -> DataFrame:
-    """Captured outputs as parquet, JSON lines, or text files (one file is one output)."""
+    """Captured outputs as parquet, JSON lines, or text files (one file is one output; an empty one gives no row)."""
     if source == "text":
         reader = spark.readStream if streaming else spark.read
         files = reader.format("text").option("wholetext", "true").load(path)
@@ -25,6 +26,17 @@ def read_sessions(spark: SparkSession, path: str, source: str = "parquet", strea
     return reader.format(source).load(path).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def with_commands(outputs: DataFrame, commands: DataFrame) -> DataFrame:
+    """Captured text files (session_id, text) with what ran: ``commands`` has one row per file, (file, argv, agent, started_at,
+    ended_at, exit_code), ``file`` being the last part of its path. All columns of a session; outputs without a
+    command keep nulls, and so have no fingerprint and no rule set."""
+    named = outputs.withColumn("file", F.element_at(F.split("session_id", "/"), -1))
+    known = commands.select("file", "argv", "agent", "started_at", "ended_at", "exit_code")
+    return lookup(named, known, ["file"]).select(
+        "session_id", F.when(F.col("argv").isNotNull(), fingerprint(F.col("argv"))).alias("fingerprint"), "argv", "agent", "started_at",
+        "ended_at", "exit_code", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def session_mode(has_profile: Column, shadow: Column, degraded: Column | None = None) -> Column:
     mode = F.when(shadow, "Shadow").when(has_profile, "Full").otherwise("Passthrough")
     return mode if degraded is None else F.when(degraded & ~shadow, "Degraded").otherwise(mode)

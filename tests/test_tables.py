@@ -21,6 +21,25 @@ def facts(spark, rows):
     return spark.createDataFrame(rows, schema.SESSIONS)
 
 
+def test_text_files_end_to_end(spark, tmp_path):
+    """Captured files get their command from a side table and are reduced by its rule set."""
+    from gistline.plans import reduce
+    from gistline.sources.rulesets import load_profiles
+
+    for name, text in {"a.log": "=== RUN A\nprogress\n--- PASS: A\nok  pkg\n", "b.log": "some words\n", "c.log": "c\n"}.items():
+        (tmp_path / name).write_text(text)
+    commands = spark.createDataFrame(
+        [("a.log", ["/usr/bin/go", "test"], "agent", 5, 6, 0), ("c.log", ["x"], None, 7, 8, 1), ("z.log", ["y"], None, 1, 1, 1)],
+        "file string, argv array<string>, agent string, started_at long, ended_at long, exit_code int")
+    got = S.with_commands(S.read_sessions(spark, str(tmp_path), "text"), commands)
+    assert got.columns == schema.SESSIONS_RAW.names
+    by_name = {r.session_id.rsplit("/", 1)[-1]: r for r in got.collect()}
+    assert {n: (r.fingerprint, r.started_at) for n, r in by_name.items()} == {"a.log": ("go test", 5), "b.log": (None, None), "c.log": ("x", 7)}
+    lines = reduce.reduce_sessions(got, reduce.compile_rules(load_profiles(spark))).collect()
+    assert {(r.session_id.rsplit("/", 1)[-1], r.text) for r in lines} >= {("a.log", "--- PASS: A"), ("b.log", "some words")}
+    assert "progress" not in {r.text for r in lines}
+
+
 def test_write_sessions_replaces_only_its_days(spark, tmp_path):
     path = str(tmp_path / "sessions")
     day = 86_400

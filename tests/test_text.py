@@ -43,6 +43,12 @@ def test_only_line_feeds_end_lines_in_patterns(spark):
     assert column(df, matches(F.col("text"), r"^\w$")) == [False, False, True, False]
 
 
+def test_tokens_end_at_their_last_character(spark):
+    df = texts(spark, "a.py", "a.py\n", "http://a/b", "http://a\n")
+    assert column(df, FP.canonical_token(F.col("text")))[0] == "<path>"
+    assert column(df, FP.canonical_token(F.col("text")))[1] == "a.py\n"
+
+
 @pytest.mark.parametrize("bad", [r"(a)\1", "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"\\\2"])
 def test_refused_patterns(bad):
     with pytest.raises(PatternError):
