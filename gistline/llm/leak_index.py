@@ -51,8 +51,9 @@ def leads_of(windows: DataFrame) -> DataFrame:
     """(wid, terms, term, at): the terms that may lead each window, by their number of windows among the items."""
     terms = windows.select("wid", "terms").dropDuplicates(["wid"])
     each = terms.select("wid", "terms", F.posexplode("terms").alias("at", "term"))
-    often = each.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
-    first = each.groupBy("wid", "term").agg(F.min("at").alias("at"), F.first("terms").alias("terms")).join(often, "term")
+    often = common.stored(each.groupBy("term").agg(F.count(F.lit(1)).alias("often")))
+    # a term of many windows must not meet its count in one task
+    first = lookup(each.groupBy("wid", "term").agg(F.min("at").alias("at"), F.first("terms").alias("terms")), often, ["term"], "inner")
     rank = F.row_number().over(Window.partitionBy("wid").orderBy("often", "term"))
     return first.withColumn("rank", rank).where(F.col("rank") <= LEADS).select("wid", "terms", "term", "at")
 
@@ -78,7 +79,7 @@ def _of_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, leads: DataFrame) -> DataFrame:
     """(wid, rid, start): starts at which the rarest terms of a window stand at their places."""
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ranked = leads.join(counts, "term", "left").groupBy("wid").agg(
+    ranked = lookup(leads, common.stored(counts), ["term"]).groupBy("wid").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("ranked")
     )
     # a term that the corpus lacks rules its window out
@@ -158,8 +159,9 @@ def proximity(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
 
 def keep(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of documents without a hit, with their own columns."""
-    hit = matches(docs, items, doc_id=doc_id, text=text, **options).where("n_hit > 0").select(F.col("rid").alias("_rid")).distinct()
-    return docs.join(hit, F.xxhash64(F.col(doc_id), F.col(text)) == F.col("_rid"), "left_anti")
+    own = common.fresh(docs, "hit_rid")[0]
+    hit = matches(docs, items, doc_id=doc_id, text=text, **options).where("n_hit > 0").select(F.col("rid").alias(own)).distinct()
+    return docs.join(hit, F.xxhash64(F.col(doc_id), F.col(text)) == F.col(own), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
