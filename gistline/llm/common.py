@@ -71,6 +71,16 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(n).cast("bigint"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``size`` bytes of one column, one row at least."""
     for batch in batches:

@@ -322,10 +322,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with its own columns; a row that repeats it is kept with it."""
+    own_id, own_key = common.fresh(docs, "kept_id", "kept_key")
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(
-        F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key")
+        F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)
     ).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.xxhash64(text_col) == F.col("_key"))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key))
     return docs.join(kept, same, "left_semi")
 
 

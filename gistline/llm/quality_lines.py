@@ -168,38 +168,39 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents that pass, with their own columns."""
+    own_id, own_host, own_key = common.fresh(docs, "kept_id", "kept_host", "kept_key")
     judged = judge(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key")
+        F.col("doc_id").alias(own_id), F.col("host").alias(own_host), F.col("text_key").alias(own_key)
     ).distinct()
     name = {"id_col": "doc_id", "host_col": "source", "text_col": "text"} | options
     on = (
-        F.col(name["id_col"]).eqNullSafe(F.col("_id")) & F.col(name["host_col"]).cast("string").eqNullSafe(F.col("_host"))
-        & (F.xxhash64(F.coalesce(F.col(name["text_col"]), F.lit(""))) == F.col("_key"))
+        F.col(name["id_col"]).eqNullSafe(F.col(own_id)) & F.col(name["host_col"]).cast("string").eqNullSafe(F.col(own_host))
+        & (F.xxhash64(F.coalesce(F.col(name["text_col"]), F.lit(""))) == F.col(own_key))
     )
     return docs.join(judged, on, "left_semi")
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents that pass, with their own columns and without their boilerplate lines."""
+    own_id, own_host, own_key, places, split = common.fresh(docs, "clean_id", "clean_host", "clean_key", "clean_places", "clean_lines")
     judged = judge(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_clean_id"), F.col("host").alias("_clean_host"), F.col("text_key").alias("_clean_key"),
-        F.col("removed_places").alias("_clean_places"),
-    ).dropDuplicates(["_clean_id", "_clean_host", "_clean_key"])
+        F.col("doc_id").alias(own_id), F.col("host").alias(own_host), F.col("text_key").alias(own_key), F.col("removed_places").alias(places),
+    ).dropDuplicates([own_id, own_host, own_key])
     name = {"id_col": "doc_id", "host_col": "source", "text_col": "text"} | options
     text = F.col(name["text_col"])
     on = (
-        F.col(name["id_col"]).eqNullSafe(F.col("_clean_id")) & F.col(name["host_col"]).cast("string").eqNullSafe(F.col("_clean_host"))
-        & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_clean_key"))
+        F.col(name["id_col"]).eqNullSafe(F.col(own_id)) & F.col(name["host_col"]).cast("string").eqNullSafe(F.col(own_host))
+        & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_key))
     )
     # array_except hashes, so a text of many removed lines costs no more than its length.
-    rows = docs.join(judged, on).withColumn("_clean_lines", F.split(text, "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_clean_lines") - 1), "_clean_places")
-    rest = F.array_join(F.transform(left, lambda i: F.get("_clean_lines", i)), "\n")
-    return rows.withColumn(name["text_col"], F.when(F.size("_clean_places") > 0, rest).otherwise(text)).select(*docs.columns)
+    rows = docs.join(judged, on).withColumn(split, F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)
+    rest = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    return rows.withColumn(name["text_col"], F.when(F.size(places) > 0, rest).otherwise(text)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(common.documents(spark, sf_dir)).select(
+    return judge(common.documents(spark, sf_dir), many_docs=MANY_DOCS).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words", "removed_lines",
     )

@@ -53,7 +53,8 @@ dup as (select doc_id, sum(k - 1) as n from (select doc_id, line, count(*) as k
 l as (select doc_id, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as line
   from raw),
 f as (select source, line, min(doc_id) as first_doc from l where line <> '' group by source, line
-  having count(distinct text) > 10 and count(distinct text) > 0.005 * (select count(distinct text) from d h where h.source = l.source)),
+  having count(distinct text) > 10 and (count(distinct text) > 1000
+    or count(distinct text) > 0.005 * (select count(distinct text) from d h where h.source = l.source))),
 gone as (select l.doc_id, sum(len(string_split(l.line, ' '))) as words, count(distinct l.line) as lines
   from l join f on f.source = l.source and f.line = l.line and f.first_doc <> l.doc_id group by 1),
 m as (select d.doc_id, len(ws) as n_words, len(text) - len(regexp_replace(text, '[^\\x20\\x09-\\x0D]', '', 'g')) as word_chars,

@@ -114,7 +114,8 @@ def test_boilerplate_of_a_hot_host_goes_whatever_its_share(spark):
     assert docs.where("text like 'All%'").count() == held and held <= 0.005 * n
     left = corpus_pipeline.quality(spark, docs, None).where("text like 'All%'").select("doc_id").collect()
     assert [r.doc_id for r in left] == [7]
-    # The registered query has both limits, as its SQL twin.
+    assert quality_lines.judge(docs, many_docs=quality_lines.MANY_DOCS).where("removed_lines > 0").count() == held - 1
+    # Without ``many_docs`` the share decides alone.
     assert quality_lines.judge(docs).where("removed_lines > 0").isEmpty()
 
 
