@@ -179,9 +179,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
         .distinct().withColumn("_order", F.xxhash64("_id"))
     )
     ids = docs.where("not held_out").select(F.col("doc_id").alias("_id")).distinct()
-    sample = marks.join(ids, "_id", "left_semi").orderBy("_order", "_id", "toxic").limit(max_rows).select("_id", "toxic")
-    labelled = docs.join(common.stored(sample), F.col("doc_id") == F.col("_id")).where("not held_out").select("toxic", "text")
-    model = fit(labelled, **options)
+    sample = marks.join(ids, "_id", "left_semi").orderBy("_order", "_id", "toxic").limit(max_rows).select("_id", "toxic", "_order")
+    # an id may stand before many texts: each counts once, and ``max_rows`` bounds them as well
+    text_key = F.xxhash64("text").alias("_text_key")
+    keys = docs.where("not held_out").select("doc_id", text_key).join(common.stored(sample), F.col("doc_id") == F.col("_id")).select(
+        "_id", "_text_key", "toxic", "_order"
+    ).distinct().orderBy("_order", "_id", "toxic", "_text_key").limit(max_rows).select("_id", F.col("_text_key").alias("_key"), "toxic")
+    rows = docs.where("not held_out").withColumn("_text_key", F.xxhash64("text")).join(
+        common.stored(keys), (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    ).dropDuplicates(["_id", "_key", "toxic"])
+    model = fit(rows.select("toxic", "text"), **options)
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(lambda b: _scored(b, model), f"doc_id {key}, held_out boolean, score double, predicted int")
 
