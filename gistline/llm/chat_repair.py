@@ -214,22 +214,23 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     spark = common.ship(turns.sparkSession)
     model = Automaton(change, merge, insert)
     turns = turns.select(
-        F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
     )
     order = ["conv_id", "turn", "role", "text"]
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "conv_id bigint, turn bigint, role string, text string, block bigint, place bigint"
+    conv, turn = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    schema = f"conv_id {conv}, turn {turn}, role string, text string, block bigint, place bigint"
     blocks = common.stored(turns.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions(*order).mapInArrow(_numbered, schema))
     matrices = blocks.select("conv_id", "block", "place", "role", F.when(F.length("text") > 0, "x").otherwise("").alias("text")).groupBy("block").applyInArrow(
-        lambda g: _matrix(g, model), "conv_id bigint, block bigint, costs array<bigint>"
+        lambda g: _matrix(g, model), f"conv_id {conv}, block bigint, costs array<bigint>"
     )
     states = common.stored(matrices.groupBy("conv_id").applyInArrow(
         lambda g: _chain(g, model), "block bigint, begin int, end int, last boolean, cost bigint"
     ))
     return blocks.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(
         lambda t, s: _render(t, s, model),
-        "conv_id bigint, turn bigint, block bigint, place bigint, role string, action string, n_inserted int, piece string, cost bigint",
+        f"conv_id {conv}, turn {turn}, block bigint, place bigint, role string, action string, n_inserted int, piece string, cost bigint",
     )
 
 

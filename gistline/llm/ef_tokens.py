@@ -4,7 +4,7 @@ The table is dealt into ranges of document ids, each range is sorted, and a rang
 segments of bounded size, rows of a Parquet table in the shared folder:
 
     part, segment   place of the segment in the order of ids
-    doc_ids         the ids of its documents, as 64-bit integers
+    doc_ids         the ids of its documents, as 64-bit integers; an array if ids are no integers
     ids             all token ids, ``<u2`` if the vocabulary allows, else ``<u4``
     n_docs, n_ids, low_bits, low, high, samples
                     Elias-Fano code of the n_docs + 1 boundaries: ``low`` packs the ``low_bits``
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistline.llm import common
 
@@ -39,7 +40,7 @@ SEGMENT_IDS = 1 << 20
 #: Boundaries between two samples of the select structure.
 SAMPLE = 64
 SEGMENTS = (
-    "part int, segment long, n_docs long, n_ids long, doc_ids binary, null_ids binary, width int, ids binary, "
+    "part int, segment long, n_docs long, n_ids long, doc_ids {ids}, null_ids binary, width int, ids binary, "
     "low_bits int, low binary, high binary, samples binary"
 )
 #: White space other than the space itself.
@@ -191,15 +192,15 @@ def tokenizer(path: str) -> PartTokenizer:
     return PartTokenizer(path)
 
 
-def _segment(part: int, number: int, doc_ids: list, docs: list[np.ndarray], width: int) -> dict:
+def _segment(part: int, number: int, doc_ids: list, docs: list[np.ndarray], width: int, integers: bool) -> dict:
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     ef = EliasFano.encode(bounds)
     ids = np.concatenate(docs).astype(f"<u{width}")
     missing = np.array([d is None for d in doc_ids])
     return {
         "part": part, "segment": number, "n_docs": len(docs), "n_ids": int(bounds[-1]),
-        "doc_ids": np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
-        "null_ids": np.packbits(missing, bitorder="little").tobytes() if missing.any() else b"",
+        "doc_ids": np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() if integers else doc_ids,
+        "null_ids": np.packbits(missing, bitorder="little").tobytes() if integers and missing.any() else b"",
         "width": width, "ids": ids.tobytes(), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high,
         "samples": ef.samples.astype("<u4").tobytes(),
     }
@@ -214,11 +215,15 @@ def segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: in
     names: list = []
     docs: list[np.ndarray] = []
     number = held = 0
+    kind = None
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([_segment(part, number, names, docs, width)], schema=SEGMENT_ARROW)
+        at, integers = SEGMENT_ARROW.get_field_index("doc_ids"), pa.types.is_int64(kind)
+        schema = SEGMENT_ARROW if integers else SEGMENT_ARROW.set(at, pa.field("doc_ids", pa.list_(kind)))
+        return pa.RecordBatch.from_pylist([_segment(part, number, names, docs, width, integers)], schema=schema)
 
     for batch in common.slices(batches, "text", 2 << 20):
+        kind = batch.schema.field("doc_id").type
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), model.encode(common.texts(batch, "text")), strict=True):
             if docs and held + len(ids) + 1 > size:
                 yield out()
@@ -241,15 +246,21 @@ def write(docs: DataFrame, path: str, end_id: int, *, id_col: str = "doc_id", te
           parts: int | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Tokenise and write; the table of segments as read back."""
     spark = common.ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    key = F.col(id_col)
+    integers = isinstance(docs.select(key).schema[0].dataType, T.IntegralType)
+    docs = docs.select((key.cast("bigint") if integers else key).alias("doc_id"), F.col(text_col).alias("text"))
+    ids = "binary" if integers else f"array<{docs.schema['doc_id'].dataType.simpleString()}>"
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return common.stored(ordered.mapInArrow(lambda b: segments(b, path, end_id, segment_ids), SEGMENTS))
+    return common.stored(ordered.mapInArrow(lambda b: segments(b, path, end_id, segment_ids), SEGMENTS.format(ids=ids)))
 
 
 def open_segment(row: dict) -> tuple[list, EliasFano, np.ndarray]:
     """(document ids, boundaries, token ids) of one segment."""
-    doc_ids = np.frombuffer(row["doc_ids"], "<i8").tolist()
+    if isinstance(row["doc_ids"], list):
+        doc_ids = row["doc_ids"]
+    else:
+        doc_ids = np.frombuffer(row["doc_ids"], "<i8").tolist()
     if row["null_ids"]:
         missing = np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), bitorder="little")
         doc_ids = [None if m else d for d, m in zip(doc_ids, missing, strict=False)]
@@ -257,6 +268,11 @@ def open_segment(row: dict) -> tuple[list, EliasFano, np.ndarray]:
     return doc_ids, ef, np.frombuffer(row["ids"], f"<u{row['width']}")
 
 
+def ids_type(batch: pa.RecordBatch) -> pa.DataType:
+    kind = batch.schema.field("doc_ids").type
+    return kind.value_type if pa.types.is_list(kind) else pa.int64()
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -264,7 +280,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = ef.all()
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + row["before"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                [pa.array(doc_ids, ids_type(batch)), pa.array(bounds[:-1] + row["before"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -287,7 +303,9 @@ def offsets(files: DataFrame) -> DataFrame:
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     common.ship(files.sparkSession)
-    return offsets(files).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = files.schema["doc_ids"].dataType
+    key = ids.elementType.simpleString() if isinstance(ids, T.ArrayType) else "long"
+    return offsets(files).mapInArrow(_documents, f"doc_id {key}, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -61,8 +61,9 @@ def bucket_of(word: bytes, buckets: int) -> int:
 class Block:
     """Documents of one block: their words by number, counts of words and of bucket triples."""
 
-    def __init__(self, number: int, buckets: int):
+    def __init__(self, number: int, buckets: int, key: pa.DataType):
         self.number, self.buckets = number, buckets
+        self.schema = BLOCK.set(BLOCK.get_field_index("key"), pa.field("key", key))
         self.names = common.WordIds(BLOCK_WORDS)
         self.bucket = np.zeros(1, np.int32)
         self.count = np.zeros(1, np.int64)
@@ -92,21 +93,21 @@ class Block:
         parts = np.split(flat.astype("<i4"), ends[:-1])
         n = len(docs)
         return _rows(
-            n, kind="doc", block=self.number, key=batch.column("key"), held_out=batch.column("held_out"),
+            n, self.schema, kind="doc", block=self.number, key=batch.column("key"), held_out=batch.column("held_out"),
             tokens=pa.array([p.tobytes() for p in parts], pa.binary()),
         )
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         n = len(self.names.words)
         yield _rows(
-            n + 1, kind="word", block=self.number, word=pa.array([b"", *self.names.words], pa.binary()),
+            n + 1, self.schema, kind="word", block=self.number, word=pa.array([b"", *self.names.words], pa.binary()),
             number=pa.array(np.arange(n + 1, dtype=np.int32)), bucket=pa.array(self.bucket), count=pa.array(self.count),
         )
         table = self.triples.reshape(self.buckets, -1)
         for chunk in np.flatnonzero(table.any(axis=1)).tolist():
             cells = np.flatnonzero(table[chunk])
             yield _rows(
-                1, kind="triples", block=self.number, chunk=pa.array([chunk], pa.int32()),
+                1, self.schema, kind="triples", block=self.number, chunk=pa.array([chunk], pa.int32()),
                 cells=pa.array([cells.astype("<u4").tobytes()]), counts=pa.array([table[chunk][cells].astype("<i8").tobytes()]),
             )
 
@@ -125,9 +126,9 @@ def contexts(buckets: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return skip * n + before
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
+def _rows(n: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
     arrays = []
-    for field in BLOCK:
+    for field in schema:
         value = columns.get(field.name)
         if value is None:
             arrays.append(pa.nulls(n, field.type))
@@ -135,7 +136,7 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
             arrays.append(value.cast(field.type))
         else:
             arrays.append(pa.array([value], field.type).take(pa.array(np.zeros(n, np.int64))))
-    return pa.RecordBatch.from_arrays(arrays, schema=BLOCK)
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             yield from block.rest()
             block = None
         if block is None:
-            block = Block(part << 24 | turn, buckets)
+            block = Block(part << 24 | turn, buckets, batch.schema.field("key").type)
             turn += 1
         yield block.add(batch)
     if block is not None:
@@ -302,8 +303,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Learns from the rows that are not held out. Scores are log10 probabilities.
     """
     common.ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    stored = common.stored(docs.mapInArrow(lambda b: blocks(b, buckets), BLOCK_SQL), "kind")
+    docs = docs.select(F.col(id_col).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    key = docs.schema["key"].dataType.simpleString()
+    stored = common.stored(docs.mapInArrow(lambda b: blocks(b, buckets), BLOCK_SQL.replace("key long", f"key {key}")), "kind")
     words = stored.where("kind = 'word'").select("block", "word", "number", "bucket", "count")
     counts = common.stored(words.groupBy("word").agg(F.sum("count").alias("c"), F.first("bucket").alias("b")))
     seen = counts.where("c > 0").groupBy("b").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -321,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = stored.where("kind = 'doc'").select("block", "key", "held_out", "tokens")
     scored = rows.groupBy("block").cogroup(numbered.groupBy("_block")).applyInArrow(
         lambda d, w: _scored(d, w, weights, base_log, bucket_log),
-        "key long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+        f"key {key}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.select(
         F.col("key").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
