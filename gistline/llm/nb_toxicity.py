@@ -187,7 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     ).distinct().orderBy("_order", "_id", "toxic", "_text_key").limit(max_rows).select("_id", F.col("_text_key").alias("_key"), "toxic")
     rows = docs.where("not held_out").withColumn("_text_key", F.xxhash64("text")).join(
         common.stored(keys), (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    ).dropDuplicates(["_id", "_key", "toxic"])
+    ).dropDuplicates(["_id", "_key", "toxic"]).repartition(docs.sparkSession.sparkContext.defaultParallelism, "_key")
     model = fit(rows.select("toxic", "text"), **options)
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(lambda b: _scored(b, model), f"doc_id {key}, held_out boolean, score double, predicted int")
