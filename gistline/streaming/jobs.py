@@ -12,6 +12,10 @@ task, so the trigger's limits (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -24,6 +28,11 @@ from gistline.session import ship
 from gistline.streaming.state import BypassScores, DedupAdjacent, LockIn, NearDuplicates
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keys of a state that many fingerprints share, and rows that a task packs by them at a time.
+BUCKETS = 4096
+PACK_ROWS = 200_000
+# Length of a slot of near duplicates, as a multiple of the reach: so many rows come once, and one more twice.
+SLOTS = 8
 
 
 def _run(stream: DataFrame, mode: str, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -48,6 +57,36 @@ def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, sch
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
 
 
+def _packed(rows: DataFrame, key: str, size: int = PACK_ROWS) -> DataFrame:
+    """One row per key of every ``size`` rows or so of a task, the other columns as arrays: rows reach a Python state one by
+    one, which costs far more than their values. ``key`` is a number without nulls."""
+    names = [c for c in rows.columns if c != key]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                yield by_key(held)
+                held, n = [], 0
+        if n:
+            yield by_key(held)
+
+    def by_key(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, table = keys[order], table.take(order).combine_chunks()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = pa.array(np.r_[starts, len(keys)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, table.column(c).chunk(0)) for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *lists], [key, *names])
+
+    return rows.mapInArrow(pack, ", ".join([f"`{key}` {kinds[key]}", *[f"`{c}` array<{kinds[c]}>" for c in names]]))
+
+
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last row of each key of a stream that writes updates."""
     rows = spark.read.parquet(path)
@@ -83,10 +122,17 @@ def stream_near_duplicate(runs: DataFrame, path: str, checkpoint: str, seconds:
     """(run_id, near_duplicate) of each run when it arrives, and once more when a late run turns it into one.
 
     Runs of an agent may come in any order inside the watermark ``delay``; what can no longer be within ``seconds`` of a
-    run to come leaves the state. ``near_duplicates`` reads the verdicts.
+    run to come leaves the state. Runs without a time are dropped. ``near_duplicates`` reads the verdicts.
     """
-    timed = runs.select("agent", "fingerprint", "run_id", "started_at", F.timestamp_seconds("started_at").alias("ts")).withWatermark("ts", delay)
-    found = _keyed(timed, ["agent", "fingerprint"], NearDuplicates(seconds), "run_id long, near_duplicate boolean")
+    # Slots of time spread the runs of an agent; a run that can reach into the next slot stands there too.
+    width = max(SLOTS * seconds, 60)
+    slot = F.floor(F.col("started_at") / width)
+    ahead = F.floor((F.col("started_at") + seconds) / width)
+    timed = runs.where("started_at is not null").withColumn("ts", F.timestamp_seconds("started_at")).withWatermark("ts", delay)
+    timed = timed.select("agent", "fingerprint", F.explode(F.sequence(slot, ahead)).alias("slot"), "ts", "started_at", "run_id",
+                         slot.alias("__own"))
+    timed = timed.withColumn("__own", F.col("__own") == F.col("slot"))
+    found = _keyed(timed, ["agent", "fingerprint", "slot"], NearDuplicates(seconds), "run_id long, near_duplicate boolean")
     return _write(found, "append", path, checkpoint, trigger)
 
 
@@ -100,9 +146,12 @@ def stream_lock_in(samples: DataFrame, path: str, checkpoint: str, n: int = LOCK
 
     Samples count in the order (captured_at, sample_id): the first ``fast`` ones lock if they are equal, else the
     ``n``-th does. State is a list of at most ``cap`` hashes, and after the verdict a flag; samples beyond are ignored.
+    Fingerprints share ``BUCKETS`` keys of the state, a number that stays as long as the checkpoint.
     """
-    rows = samples.select("fingerprint", "captured_at", "sample_id", M.content_hash(F.col("text")).alias("sha"))
-    found = _keyed(rows, ["fingerprint"], LockIn(n, fast, cap), "fingerprint string, n_samples long, reason string", time="None")
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS))
+    rows = samples.select(
+        bucket.alias("bucket"), "fingerprint", "captured_at", "sample_id", M.content_hash(F.col("text")).alias("sha"))
+    found = _keyed(_packed(rows, "bucket"), ["bucket"], LockIn(n, fast, cap), "fingerprint string, n_samples long, reason string", time="None")
     return _write(found, "append", path, checkpoint, trigger)
 
 

@@ -19,70 +19,106 @@ def set_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
 
 
 class LockIn(StatefulProcessor):
-    """Hashes of the first samples of a fingerprint; after the verdict, that there was one."""
+    """Hashes of the first samples of each fingerprint of a bucket; after the verdict null, that there was one.
+
+    A call to the state costs many times the work on a fingerprint, so a bucket reads its fingerprints at once and appends
+    those that changed as one row of arrays. Of equal fingerprints the last counts; the list is written anew before more than
+    half of it is outdated. Input rows carry samples as arrays too.
+    """
 
     def __init__(self, n: int, fast: int, cap: int):
         self.n, self.fast, self.cap = n, fast, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hashes = handle.getListState("hashes", "sha string")
-        self.done = handle.getValueState("done", "done boolean")
+        self.known = handle.getListState("known", "fingerprints array<string>, hashes array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.done.exists():
-            return
-        hashes = [r[0] for r in self.hashes.get()]
-        room = self.cap - len(hashes)
-        first = heapq.nsmallest(room, ((_known(r.captured_at), _known(r.sample_id), r.sha or "") for r in rows)) if room > 0 else []
-        for _, _, sha in first:
-            hashes.append(sha)
-            equal = len(hashes) >= self.fast and len(set(hashes)) == 1
-            if len(hashes) >= self.n or equal:
-                self.done.update((True,))
-                self.hashes.clear()
-                reason = "reached_n" if len(hashes) >= self.n else "zero_variance_fast_path"
-                yield Row(fingerprint=key[0], n_samples=len(hashes), reason=reason)
-                return
-        if first:
-            self.hashes.put([(h,) for h in hashes])
+        stored, known = 0, {}
+        for fingerprints, hashes in self.known.get():
+            known.update(zip(fingerprints, hashes, strict=True))
+            stored += len(fingerprints)
+        most = min(self.n, self.cap)  # the n-th locks at the latest
+        samples: dict = {}
+        for r in rows:
+            for fingerprint, *sample in zip(r.fingerprint, r.captured_at, r.sample_id, r.sha, strict=True):
+                if fingerprint in known and known[fingerprint] is None:
+                    continue
+                own = samples.setdefault(fingerprint, [])
+                own.append(sample)
+                if len(own) > 2 * most:
+                    own[:] = heapq.nsmallest(most, own, key=_order)
+        changed = {}
+        for fingerprint, own in samples.items():
+            hashes = known[fingerprint].split(",") if fingerprint in known else []
+            room = most - len(hashes)
+            if room <= 0:
+                continue
+            own.sort(key=_order)
+            for _, _, sha in own[:room]:
+                hashes.append(sha or "")
+                equal = len(hashes) >= self.fast and len(set(hashes)) == 1
+                if len(hashes) >= self.n or equal:
+                    reason = "reached_n" if len(hashes) >= self.n else "zero_variance_fast_path"
+                    yield Row(fingerprint=fingerprint, n_samples=len(hashes), reason=reason)
+                    changed[fingerprint] = None
+                    break
+            else:
+                changed[fingerprint] = ",".join(hashes)
+        known.update(changed)
+        if stored + len(changed) > 2 * len(known):
+            self.known.put([(list(known), list(known.values()))])
+        elif changed:
+            self.known.appendValue((list(changed), list(changed.values())))
 
     def close(self) -> None:
         pass
 
 
+def _order(sample: list) -> tuple:
+    captured_at, sample_id, sha = sample
+    return _known(captured_at), _known(sample_id), sha or ""
+
+
 def _known(value) -> tuple:
     """Null before every value."""
     return value is not None, value if value is not None else 0
 
 
 class NearDuplicates(StatefulProcessor):
-    """Runs of one agent and fingerprint that a run to come may still be compared with."""
+    """Chains of runs of one agent, fingerprint and slot of time: each run within ``seconds`` of the one before.
+
+    Of a chain only the first run may yet become a near duplicate, and a run that comes late between its first and last
+    is one, so a chain is known by its ends. Runs that are not the slot's own only stand before those that are.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getListState("runs", "started_at long, run_id long, near boolean")
+        self.chains = handle.getListState("chains", "started_at long, run_id long, own boolean, last_at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # A run to come is not older than the watermark, so older ones than this are out of its reach.
+        # A run to come is not older than the watermark, so chains that end before this are out of its reach.
         horizon = timerValues.getCurrentWatermarkInMs() // 1000 - self.seconds
-        known = [(r[0], r[1], r[2]) for r in self.runs.get() if r[0] >= horizon]
-        every = sorted(known + [(r.started_at, r.run_id, None) for r in rows], key=lambda r: r[:2])
-        kept = []
-        for i, (at, run, before) in enumerate(every):
-            near = bool(before) or (i > 0 and at - every[i - 1][0] <= self.seconds)
-            if near != before:
+        every = [(*c, False) for c in self.chains.get() if c[3] >= horizon]
+        every += [(at, run, own, at, True) for at, run, own in (r[-3:] for r in rows)]
+        chains: list[list] = []
+        for at, run, own, last, new in sorted(every, key=lambda c: c[:2]):
+            near = bool(chains) and at - chains[-1][3] <= self.seconds
+            if own and (new or near):
                 yield Row(run_id=run, near_duplicate=near)
-            if at >= horizon:
-                kept.append((at, run, near))
-        self.runs.put(kept) if kept else self.runs.clear()
+            if near:
+                chains[-1][3] = max(chains[-1][3], last)
+            else:
+                chains.append([at, run, own, last])
+        kept = [tuple(c) for c in chains if c[3] >= horizon]
+        self.chains.put(kept) if kept else self.chains.clear()
         if kept:
-            set_timer(self.handle, (kept[-1][0] + self.seconds + 1) * 1000)
+            set_timer(self.handle, (kept[-1][3] + self.seconds + 1) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.runs.clear()
+        self.chains.clear()
         yield from ()
 
     def close(self) -> None:

@@ -305,3 +305,17 @@ def test_score_over_time_with_a_window_longer_than_blocks(spark):
     for i in range(4, 60):
         last = [float(k % 3 == 0) for k in range(max(4, i - 19), i + 1)]
         assert abs(got[i] - sum(last) / len(last)) < 1e-12
+
+
+def test_stream_lock_in_shares_state(spark, tmp_path):
+    """Many fingerprints share a few keys of the state, and the state has few rows; verdicts stay those of each fingerprint."""
+    schema = "fingerprint string, text string, captured_at long, sample_id long"
+    every = [(f"f{f}", "same" if f % 2 else f"t{i}", i, i) for f in range(6000) for i in range(f % 7)]
+    every += [("nulls", None, None, i) for i in range(3)]
+    parts = [[r for r in every if r[3] // 2 == k] for k in range(3)]
+    sizes = batches(spark, tmp_path, parts, schema, lambda s: J.stream_lock_in(s, str(tmp_path / "out"), str(tmp_path / "c")))
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "fingerprint", "n_samples", "reason")
+    want = [(f"f{f}", 3, "zero_variance_fast_path") for f in range(6000) if f % 2 and f % 7 >= 3]
+    want += [(f"f{f}", 5, "reached_n") for f in range(6000) if not f % 2 and f % 7 >= 5]
+    assert got == sorted([*want, ("nulls", 3, "zero_variance_fast_path")], key=str)
+    assert max(sizes) <= 3 * J.BUCKETS and sizes[0] <= J.BUCKETS
