@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from gistline.functions import metrics as M
@@ -28,9 +29,9 @@ from gistline.session import ship
 from gistline.streaming.state import BypassScores, DedupAdjacent, LockIn, NearDuplicates
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Keys of a state that many fingerprints share, and rows that a task packs by them at a time.
+# Keys of a state that many fingerprints or slots share; rows, and their bytes, that a task packs by them at a time.
 BUCKETS = 4096
-PACK_ROWS = 200_000
+PACK_ROWS, PACK_BYTES = 500_000, 64 * 1024 * 1024
 # Length of a slot of near duplicates, as a multiple of the reach: so many rows come once, and one more twice.
 SLOTS = 8
 
@@ -57,20 +58,22 @@ def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, sch
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
 
 
-def _packed(rows: DataFrame, key: str, size: int = PACK_ROWS) -> DataFrame:
-    """One row per key of every ``size`` rows or so of a task, the other columns as arrays: rows reach a Python state one by
-    one, which costs far more than their values. ``key`` is a number without nulls."""
+def _packed(rows: DataFrame, key: str, size: int = PACK_ROWS, latest: str | None = None) -> DataFrame:
+    """One row per key of every ``size`` rows or so of a task, the other columns as one Arrow record batch in ``rows``: rows reach
+    a Python state value by value, which costs far more than the work on them. ``key`` is a number without nulls, and so is
+    ``latest``, a column whose greatest value stands beside the batch. ``state.unpacked`` reads a batch, by ``_inner``."""
     names = [c for c in rows.columns if c != key]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kind, inner = rows.schema[key].dataType.simpleString(), _inner(rows, key)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, size_in_bytes = [], 0, 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= size:
+            size_in_bytes += batch.nbytes
+            if n >= size or size_in_bytes >= PACK_BYTES:
                 yield by_key(held)
-                held, n = [], 0
+                held, n, size_in_bytes = [], 0, 0
         if n:
             yield by_key(held)
 
@@ -78,13 +81,26 @@ def _packed(rows: DataFrame, key: str, size: int = PACK_ROWS) -> DataFrame:
         table = pa.Table.from_batches(held)
         keys = table.column(key).to_numpy()
         order = np.argsort(keys, kind="stable")
-        keys, table = keys[order], table.take(order).combine_chunks()
+        keys, table = keys[order], table.select(names).cast(inner).take(order).combine_chunks()
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = pa.array(np.r_[starts, len(keys)], pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, table.column(c).chunk(0)) for c in names]
-        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *lists], [key, *names])
+        (whole,) = table.to_batches()
+        parts = [whole.slice(s, e - s).serialize().to_pybytes() for s, e in zip(starts, [*starts[1:], len(keys)], strict=True)]
+        arrays, columns = [pa.array(keys[starts]), pa.array(parts, pa.binary())], [key, "rows"]
+        if latest:
+            arrays.append(pa.array(np.maximum.reduceat(table.column(latest).to_numpy(), starts)))
+            columns.append("latest")
+        return pa.RecordBatch.from_arrays(arrays, columns)
 
-    return rows.mapInArrow(pack, ", ".join([f"`{key}` {kinds[key]}", *[f"`{c}` array<{kinds[c]}>" for c in names]]))
+    return rows.mapInArrow(pack, f"`{key}` {kind}, rows binary" + (", latest long" if latest else ""))
+
+
+def _inner(rows: DataFrame, key: str) -> pa.Schema:
+    return to_arrow_schema(rows.drop(key).schema)
+
+
+def _unlisted(rows: DataFrame) -> DataFrame:
+    """Columns of equally long lists as rows."""
+    return rows.select(F.inline(F.arrays_zip(*rows.columns)))
 
 
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -150,9 +166,10 @@ def stream_lock_in(samples: DataFrame, path: str, checkpoint: str, n: int = LOCK
     """
     bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS))
     rows = samples.select(
-        bucket.alias("bucket"), "fingerprint", "captured_at", "sample_id", M.content_hash(F.col("text")).alias("sha"))
-    found = _keyed(_packed(rows, "bucket"), ["bucket"], LockIn(n, fast, cap), "fingerprint string, n_samples long, reason string", time="None")
-    return _write(found, "append", path, checkpoint, trigger)
+        bucket.alias("bucket"), "fingerprint", "captured_at", "sample_id", F.unhex(M.content_hash(F.col("text"))).alias("sha"))
+    locked = _keyed(_packed(rows, "bucket"), ["bucket"], LockIn(n, fast, cap, _inner(rows, "bucket")),
+                    "fingerprint array<string>, n_samples array<long>, reason array<string>", time="None")
+    return _write(_unlisted(locked), "append", path, checkpoint, trigger)
 
 
 def stream_bypass_score(events: DataFrame, path: str, checkpoint: str, window: int = B.WINDOW_RUNS, warmup: int = B.WARMUP_RUNS,

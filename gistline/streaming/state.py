@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+# Verdicts that one row of lists carries, and rows that a bucket holds before it drops those that cannot count.
+LISTED, HELD_ROWS = 100_000, 1_000_000
+
+
 def set_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
     """One timer per key, at the latest time asked for."""
     for old in list(handle.listTimers()):
@@ -18,72 +24,108 @@ def set_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
     handle.registerTimer(at_ms)
 
 
+def unpacked(parts: Iterable[bytes], schema: pa.Schema) -> pa.Table:
+    """Record batches of ``jobs._packed``, or of a state, as one table."""
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in parts], schema)
+
+
+def packed(table: pa.Table) -> bytes:
+    (whole,) = table.combine_chunks().to_batches()
+    return whole.serialize().to_pybytes()
+
+
+def coded(values: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, null among them, and the values by their numbers."""
+    found = values.combine_chunks().dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def starts_of(groups: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbours starts."""
+    return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
+
+
 class LockIn(StatefulProcessor):
     """Hashes of the first samples of each fingerprint of a bucket; after the verdict null, that there was one.
 
     A call to the state costs many times the work on a fingerprint, so a bucket reads its fingerprints at once and appends
-    those that changed as one row of arrays. Of equal fingerprints the last counts; the list is written anew before more than
-    half of it is outdated. Input rows carry samples as arrays too.
+    what is new as one record batch of samples in their order. The samples of a fingerprint that locked are outdated; the list
+    is written anew before more than half of it is. Input rows are record batches too (``schema``).
     """
 
-    def __init__(self, n: int, fast: int, cap: int):
-        self.n, self.fast, self.cap = n, fast, cap
+    SAMPLES = pa.schema([("fingerprint", pa.string()), ("sha", pa.binary())])
+
+    def __init__(self, n: int, fast: int, cap: int, schema: pa.Schema):
+        self.n, self.fast, self.cap, self.schema = n, fast, cap, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getListState("known", "fingerprints array<string>, hashes array<string>")
+        self.known = handle.getListState("known", "samples binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored, known = 0, {}
-        for fingerprints, hashes in self.known.get():
-            known.update(zip(fingerprints, hashes, strict=True))
-            stored += len(fingerprints)
         most = min(self.n, self.cap)  # the n-th locks at the latest
-        samples: dict = {}
+        old = unpacked((s for (s,) in self.known.get()), self.SAMPLES)
+        new = self.first(rows, most).select(["fingerprint", "sha"])
+        every = pa.concat_tables([old, new])
+        groups, fingerprints = coded(every["fingerprint"])
+        shas, _ = coded(every["sha"])
+        fresh = np.arange(len(groups)) >= old.num_rows
+        locked = np.zeros(len(fingerprints), bool)
+        locked[groups[every["sha"].is_null().to_numpy() & ~fresh]] = True
+
+        live = np.flatnonzero(~locked[groups])
+        live = live[np.argsort(groups[live], kind="stable")]
+        starts = starts_of(groups[live])
+        sizes = np.diff(np.r_[starts, len(live)])
+        nth = np.arange(1, len(live) + 1) - np.repeat(starts, sizes)
+        other = np.cumsum(shas[live] != shas[live[np.repeat(starts, sizes)]])  # a first one is never other
+        equal = other == np.repeat(other[starts], sizes)
+        room = fresh[live] & (nth <= most)
+        verdicts = np.flatnonzero(room & ((nth >= self.n) | (nth >= self.fast) & equal))
+        verdicts = verdicts[starts_of(groups[live[verdicts]])]
+        now = groups[live[verdicts]]
+        for k in range(0, len(now), LISTED):
+            some = verdicts[k : k + LISTED]
+            yield Row(fingerprint=fingerprints.take(groups[live[some]]).to_pylist(), n_samples=nth[some].tolist(),
+                      reason=np.where(nth[some] >= self.n, "reached_n", "zero_variance_fast_path").tolist())
+
+        flags = pa.table([fingerprints.take(now), pa.nulls(len(now), pa.binary())], schema=self.SAMPLES)
+        locked[now] = True
+        open_ = ~locked[groups[live]]
+        added = pa.concat_tables([every.take(live[room & open_]), flags])
+        flagged = np.flatnonzero(~fresh & every["sha"].is_null().to_numpy())
+        kept = live[open_ & (room | ~fresh[live])]
+        if old.num_rows + added.num_rows > 2 * (len(kept) + len(flagged) + len(now)):
+            self.known.put([(packed(pa.concat_tables([every.take(np.r_[flagged, kept]), flags])),)])
+        elif added.num_rows:
+            self.known.appendValue((packed(added),))
+
+    def first(self, rows: Iterator[Row], most: int) -> pa.Table:
+        """The first ``most`` samples of each fingerprint, those of a fingerprint in their order."""
+        held, n = [self.schema.empty_table()], 0
         for r in rows:
-            for fingerprint, *sample in zip(r.fingerprint, r.captured_at, r.sample_id, r.sha, strict=True):
-                if fingerprint in known and known[fingerprint] is None:
-                    continue
-                own = samples.setdefault(fingerprint, [])
-                own.append(sample)
-                if len(own) > 2 * most:
-                    own[:] = heapq.nsmallest(most, own, key=_order)
-        changed = {}
-        for fingerprint, own in samples.items():
-            hashes = known[fingerprint].split(",") if fingerprint in known else []
-            room = most - len(hashes)
-            if room <= 0:
-                continue
-            own.sort(key=_order)
-            for _, _, sha in own[:room]:
-                hashes.append(sha or "")
-                equal = len(hashes) >= self.fast and len(set(hashes)) == 1
-                if len(hashes) >= self.n or equal:
-                    reason = "reached_n" if len(hashes) >= self.n else "zero_variance_fast_path"
-                    yield Row(fingerprint=fingerprint, n_samples=len(hashes), reason=reason)
-                    changed[fingerprint] = None
-                    break
-            else:
-                changed[fingerprint] = ",".join(hashes)
-        known.update(changed)
-        if stored + len(changed) > 2 * len(known):
-            self.known.put([(list(known), list(known.values()))])
-        elif changed:
-            self.known.appendValue((list(changed), list(changed.values())))
+            held.append(unpacked([r.rows], self.schema))
+            n += held[-1].num_rows
+            if n >= HELD_ROWS:
+                held = [self.cut(held, most)]
+                n = min(held[0].num_rows, HELD_ROWS // 2)
+        return self.cut(held, most)
+
+    def cut(self, held: list[pa.Table], most: int) -> pa.Table:
+        table = pa.concat_tables(held)
+        # A text that is null counts as one of its own; null stands for the verdict in the state.
+        table = table.set_column(table.column_names.index("sha"), "sha", pc.fill_null(table["sha"], b""))
+        groups, _ = coded(table["fingerprint"])
+        order = pc.sort_indices(
+            table, [(c, "ascending") for c in ("captured_at", "sample_id", "sha")], null_placement="at_start").to_numpy()
+        order = order[np.argsort(groups[order], kind="stable")]
+        starts = starts_of(groups[order])
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return table.take(order[nth < most])
 
     def close(self) -> None:
         pass
 
 
-def _order(sample: list) -> tuple:
-    captured_at, sample_id, sha = sample
-    return _known(captured_at), _known(sample_id), sha or ""
-
-
-def _known(value) -> tuple:
-    """Null before every value."""
-    return value is not None, value if value is not None else 0
-
-
 class NearDuplicates(StatefulProcessor):
     """Chains of runs of one agent, fingerprint and slot of time: each run within ``seconds`` of the one before.
 
