@@ -142,14 +142,17 @@ def stream_near_duplicate(runs: DataFrame, path: str, checkpoint: str, seconds:
     """
     # Slots of time spread the runs of an agent; a run that can reach into the next slot stands there too.
     width = max(SLOTS * seconds, 60)
-    slot = F.floor(F.col("started_at") / width)
+    own = F.floor(F.col("started_at") / width)
     ahead = F.floor((F.col("started_at") + seconds) / width)
-    timed = runs.where("started_at is not null").withColumn("ts", F.timestamp_seconds("started_at")).withWatermark("ts", delay)
-    timed = timed.select("agent", "fingerprint", F.explode(F.sequence(slot, ahead)).alias("slot"), "ts", "started_at", "run_id",
-                         slot.alias("__own"))
-    timed = timed.withColumn("__own", F.col("__own") == F.col("slot"))
-    found = _keyed(timed, ["agent", "fingerprint", "slot"], NearDuplicates(seconds), "run_id long, near_duplicate boolean")
-    return _write(found, "append", path, checkpoint, trigger)
+    timed = runs.where("started_at is not null").select(
+        "agent", "fingerprint", F.explode(F.sequence(own, ahead)).alias("slot"), "started_at", "run_id", own.alias("own"))
+    timed = timed.withColumn("own", F.col("own") == F.col("slot")).withColumn(
+        "bucket", F.pmod(F.xxhash64("agent", "fingerprint", "slot"), F.lit(BUCKETS)))
+    # A batch is as late as its latest run, so the watermark is that of the runs; of a batch that is not late the state drops late runs.
+    batches = _packed(timed, "bucket", latest="started_at").withColumn("ts", F.timestamp_seconds("latest")).withWatermark("ts", delay)
+    found = _keyed(batches, ["bucket"], NearDuplicates(seconds, width, _inner(timed, "bucket")),
+                   "run_id array<long>, near_duplicate array<boolean>")
+    return _write(_unlisted(found), "append", path, checkpoint, trigger)
 
 
 def near_duplicates(spark: SparkSession, path: str) -> DataFrame:

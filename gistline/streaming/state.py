@@ -130,34 +130,57 @@ class NearDuplicates(StatefulProcessor):
     """Chains of runs of one agent, fingerprint and slot of time: each run within ``seconds`` of the one before.
 
     Of a chain only the first run may yet become a near duplicate, and a run that comes late between its first and last
-    is one, so a chain is known by its ends. Runs that are not the slot's own only stand before those that are.
+    is one, so a chain is known by its ends. Runs that are not the slot's own only stand before those that are. Slots share
+    a bucket, whose chains are one record batch; input rows are record batches too (``schema``).
     """
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    KEYS = ("agent", "fingerprint", "slot")
+
+    def __init__(self, seconds: int, width: int, schema: pa.Schema):
+        self.seconds, self.width, self.schema = seconds, width, schema
+        self.stored = schema.append(pa.field("last_at", pa.int64()))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chains = handle.getListState("chains", "started_at long, run_id long, own boolean, last_at long")
+        self.chains = handle.getValueState("chains", "chains binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
         # A run to come is not older than the watermark, so chains that end before this are out of its reach.
-        horizon = timerValues.getCurrentWatermarkInMs() // 1000 - self.seconds
-        every = [(*c, False) for c in self.chains.get() if c[3] >= horizon]
-        every += [(at, run, own, at, True) for at, run, own in (r[-3:] for r in rows)]
-        chains: list[list] = []
-        for at, run, own, last, new in sorted(every, key=lambda c: c[:2]):
-            near = bool(chains) and at - chains[-1][3] <= self.seconds
-            if own and (new or near):
-                yield Row(run_id=run, near_duplicate=near)
-            if near:
-                chains[-1][3] = max(chains[-1][3], last)
-            else:
-                chains.append([at, run, own, last])
-        kept = [tuple(c) for c in chains if c[3] >= horizon]
-        self.chains.put(kept) if kept else self.chains.clear()
-        if kept:
-            set_timer(self.handle, (kept[-1][3] + self.seconds + 1) * 1000)
+        horizon = watermark // 1000 - self.seconds
+        old = unpacked([self.chains.get()[0]] if self.chains.exists() else [], self.stored)
+        old = old.filter(pc.greater_equal(old["last_at"], horizon))
+        new = unpacked((r.rows for r in rows), self.schema)
+        # Spark drops batches that are late as a whole.
+        new = new.filter(pc.greater(pc.multiply(new["started_at"], 1000), watermark))
+        every = pa.concat_tables([old, new.append_column("last_at", new["started_at"])])
+        groups = [coded(every[c])[0] for c in self.KEYS]
+        at = every["started_at"].to_numpy()
+        order = pc.sort_indices(every, [("started_at", "ascending"), ("run_id", "ascending")], null_placement="at_start").to_numpy()
+        order = order[np.lexsort([g[order] for g in groups])]
+        fresh, own, at = order >= old.num_rows, every["own"].to_numpy()[order], at[order]
+        first = np.ones(len(order), bool)  # of its slot
+        first[1:] = np.any([g[order][1:] != g[order][:-1] for g in groups], axis=0)
+        # The latest end so far in a slot; a slot's times lie within its reach, so each slot gets a range above the one before.
+        base = every["slot"].to_numpy()[order] * self.width - self.seconds
+        above = np.cumsum(first) * (self.width + 2 * self.seconds + 1)
+        reached = np.maximum.accumulate(every["last_at"].to_numpy()[order] - base + above) + base - above
+        near = np.zeros(len(order), bool)
+        near[1:] = ~first[1:] & (at[1:] - reached[:-1] <= self.seconds)
+        said = order[own & (fresh | near)]
+        hits = near[own & (fresh | near)]
+        for k in range(0, len(said), LISTED):
+            yield Row(run_id=every["run_id"].take(said[k : k + LISTED]).to_pylist(), near_duplicate=hits[k : k + LISTED].tolist())
+
+        starts = np.flatnonzero(~near)
+        ends = reached[np.r_[starts[1:], len(order)] - 1] if len(order) else reached
+        kept = ends >= horizon
+        if kept.any():
+            left = every.take(order[starts[kept]]).drop_columns(["last_at"]).append_column("last_at", pa.array(ends[kept]))
+            self.chains.update((packed(left),))
+            set_timer(self.handle, int(ends[kept].max() + self.seconds + 1) * 1000)
+        else:
+            self.chains.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.chains.clear()

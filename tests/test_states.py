@@ -103,3 +103,33 @@ def test_lock_in_state_takes_and_says_whole_batches(monkeypatch):
             live = sum(1 if own is None else len(own) for own in known.values())
             assert live <= stored.num_rows <= 2 * live
         assert want or cap < n
+
+
+def test_near_duplicate_state_shares_buckets():
+    """Chains of many slots in one value of the state, against a look at all runs; late runs are dropped, dead chains leave."""
+    seconds, width = 20, 160
+    schema = pa.schema([("agent", pa.string()), ("fingerprint", pa.string()), ("slot", pa.int64()), ("started_at", pa.int64()),
+                        ("run_id", pa.int64()), ("own", pa.bool_())])
+    draw = random.Random(5)
+    state, handle = started(S.NearDuplicates(seconds, width, schema))
+    runs, verdicts, rows_out, watermark = [], {}, 0, 0
+    for batch in range(8):
+        new = []
+        for _ in range(150):
+            at = 1000 + draw.randrange(batch * 100, batch * 100 + 300)
+            new.append((draw.choice([None, "a", "b"]), draw.choice([None, "f", "g", ""]), at, draw.randrange(10**9)))
+        rows = [(a, f, s, at, run, s == at // width) for a, f, at, run in new for s in range(at // width, (at + seconds) // width + 1)]
+        got = list(state.handleInputRows((1,), iter(parts(schema, rows, 64)), Now(watermark * 1000)))
+        rows_out += len(got)
+        for r in got:
+            for run, near in zip(r.run_id, r.near_duplicate, strict=True):
+                verdicts[run] = verdicts.get(run, False) or near
+        runs += [r for r in new if r[2] > watermark]
+        assert handle.values.rows and len(handle.timers) == 1
+        left = S.unpacked([handle.values.rows[0][0]], state.stored)
+        assert min(left["last_at"].to_pylist()) >= watermark - seconds
+        watermark = max(r[2] for r in runs) - 150
+    want = {run: any(r[:2] == (a, f) and (r[2], r[3]) < (at, run) and at - r[2] <= seconds for r in runs) for a, f, at, run in runs}
+    assert verdicts == want and True in want.values() and False in want.values()
+    assert rows_out <= 8  # before: a row for each verdict
+    assert list(state.handleInputRows((1,), iter([]), Now(10**9))) == [] and not handle.values.rows
