@@ -12,15 +12,16 @@ from gistline.session import checkpoint
 
 
 def judge(sessions: DataFrame, reduced: DataFrame, table: RuleTable,
-          documents: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+          documents: bool = True, saved: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Invariant results, subset results and self-fidelity.
 
     ``sessions``: session_id, rule_key, profile_id, text (redacted raw). ``reduced``: lines
     with rule_key. ``documents`` gives the JSON checks the assembled
-    texts. The invariants of bundled rule sets are checked too; their fidelity
+    texts; ``saved`` says that ``reduced`` is a table already. The invariants of bundled rule sets are checked too; their fidelity
     stays 1 as no stored profile stands behind it.
     """
-    reduced = checkpoint(reduced)  # read by every check below
+    if not saved:
+        reduced = checkpoint(reduced)  # read by every check below
     checks = table.rules.select(F.col("rule_key").alias("profile_id"), "invariants")
     keyed = sessions.withColumn("profile_id", F.col("rule_key"))
     raw = explode_lines(keyed, True, ("profile_id",))

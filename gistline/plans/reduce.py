@@ -450,11 +450,11 @@ def budget_guard(cost: DataFrame, max_steps: int = MAX_STEPS, max_bytes: int = M
         over, "rule budget exceeded; profile quarantined").alias("detail"))
 
 
-def guarded_output(reduced: DataFrame, cleaned: DataFrame, guard: DataFrame) -> DataFrame:
+def guarded_output(reduced: DataFrame, cleaned: DataFrame, guard: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Reduced lines, or the cleaned ones for a session that went over the budget. Only the
     ids of aborted sessions, a handful, are joined to the lines."""
     aborted = stored(guard.where("aborted").select("session_id"))
-    names = ["session_id", "line_no", "sub_no", "text", "is_placeholder"]
+    names = ["session_id", "line_no", "sub_no", "text", "is_placeholder", *keep]
     if fits_broadcast(aborted):
         aborted = F.broadcast(aborted)
     return reduced.select(names).join(aborted, "session_id", "left_anti").unionByName(

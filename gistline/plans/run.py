@@ -22,7 +22,7 @@ from gistline.plans.reduce import (
     MAX_BYTES, MAX_STEPS, budget_guard, choose_profiles, compile_rules, dispatch_profile, guarded_output, reduce_sessions, rule_cost,
 )
 from gistline.session import stored
-from gistline.sources.sessions import attestation_line, session_facts, session_mode
+from gistline.sources.sessions import attestation_line, raw_facts, session_facts, session_mode
 
 
 @dataclass(frozen=True)
@@ -43,25 +43,27 @@ def run(sessions: DataFrame, bundled: DataFrame, profiles: DataFrame, at: int, *
     scores look at together with this run.
     """
     names = ["session_id", "fingerprint", "started_at", "exit_code", "text"]
-    raw = stored(redact_text(sessions.select(names)))  # the input is read once
     table = compile_rules(choose_profiles(bundled, profiles))
-    keyed = stored(dispatch_profile(raw, table))
+    keyed = stored(dispatch_profile(redact_text(sessions.select(names)), table))  # the input is read and written once
     lines = explode_lines(keyed.where("rule_key is not null"), keep=("rule_key",))
     guard = stored(budget_guard(rule_cost(lines, table), max_steps, max_bytes))
-    kept = guarded_output(reduce_sessions(raw, table), generic_clean(raw), guard)
-    final = stored(kept.join(keyed.select("session_id", "rule_key"), "session_id"))
-    results, subset, fidelity = judge(keyed, final, table)
+    key = ("rule_key",)
+    final = stored(guarded_output(reduce_sessions(keyed, table), generic_clean(keyed, key), guard, key))
+    results, subset, fidelity = judge(keyed, final, table, saved=True)
     results = stored(results)
 
     failed = results.where(~F.col("passed")).groupBy("session_id").agg(F.sort_array(F.collect_list("name")).alias("failed"))
     aborted = guard.where("aborted").select("session_id", F.lit(True).alias("aborted"), "detail")
+    # Of a raw text its facts are joined and not the text.
+    facts_of_raw = raw_facts(keyed.withColumnRenamed("text", "raw").withColumn("preserve_raw", F.lit(True)))
+    texts = assemble_output(final).withColumnRenamed("text", "compressed")
     whole = (
-        keyed.withColumnRenamed("text", "raw").join(assemble_output(final, keyed).withColumnRenamed("text", "compressed"), "session_id")
+        facts_of_raw.join(texts, "session_id", "left").withColumn("compressed", F.coalesce("compressed", F.lit("")))
         .join(fidelity, "session_id").join(failed, "session_id", "left").join(aborted, "session_id", "left")
     )
     over = F.coalesce("aborted", F.lit(False))
     mode = session_mode(F.col("rule_key").isNotNull(), F.lit(False), over)
-    whole = stored(whole.withColumn("mode", mode).withColumn("preserve_raw", F.lit(True)))
+    whole = stored(whole.withColumn("mode", mode))
     footer = attestation_line(
         F.when(F.col("rule_key").isNotNull(), F.col("fingerprint")), F.col("version"), F.col("self_fidelity"), F.col("mode"),
         F.col("session_id"), F.coalesce("failed", F.array().cast("array<string>")))

@@ -42,15 +42,23 @@ def session_mode(has_profile: Column, shadow: Column, degraded: Column | None =
     return mode if degraded is None else F.when(degraded & ~shadow, "Degraded").otherwise(mode)
 
 
+def raw_facts(sessions: DataFrame) -> DataFrame:
+    """raw_bytes and raw_sha in place of ``raw`` (the redacted text) and ``preserve_raw``: what is left to
+    know of a raw text before it is joined to anything."""
+    sha = F.when(F.col("preserve_raw"), M.content_hash(F.col("raw")))
+    return sessions.withColumns({"raw_sha": sha, "raw_bytes": F.octet_length("raw").cast("bigint")}).drop("raw", "preserve_raw")
+
+
 def session_facts(reduced: DataFrame) -> DataFrame:
     """Fact rows. ``reduced``: session_id, fingerprint, profile_id, started_at, exit_code,
-    raw (redacted text), compressed, mode, preserve_raw."""
-    raw, cmp = F.octet_length("raw").cast("bigint"), F.octet_length("compressed").cast("bigint")
+    compressed, mode, and raw (redacted text) with preserve_raw, or the columns of ``raw_facts``."""
+    if "raw" in reduced.columns:
+        reduced = raw_facts(reduced)
+    raw, cmp = F.col("raw_bytes"), F.octet_length("compressed").cast("bigint")
     return reduced.select(
-        "session_id", "fingerprint", "profile_id", "started_at", "exit_code",
-        F.when(F.col("preserve_raw"), M.content_hash(F.col("raw"))).alias("raw_sha"),
+        "session_id", "fingerprint", "profile_id", "started_at", "exit_code", "raw_sha",
         M.content_hash(F.col("compressed")).alias("compressed_sha"),
-        raw.alias("raw_bytes"), cmp.alias("compressed_bytes"),
+        raw, cmp.alias("compressed_bytes"),
         M.tokens_saved(raw, cmp).alias("tokens_saved"), "mode")
 
 

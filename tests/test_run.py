@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from gistline import schema
@@ -52,3 +54,31 @@ def test_run(spark):
     status = {r.profile_id: r.status for r in done.profiles.collect()}
     assert status == {11: "quarantined", 12: "quarantined", 13: "active"}
     assert done.events.where(F.col("at") != AT).isEmpty()
+
+
+def test_run_stores_each_text_and_line_once(spark, monkeypatch):
+    """The redacted text is written once and never joined; the final lines are written once and keep their rule key."""
+    from gistline.plans import judge as judging
+    from gistline.plans import run as running
+
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return saved(df)
+
+    saved = running.stored
+    monkeypatch.setattr(running, "stored", noted)
+    monkeypatch.setattr(judging, "checkpoint", noted)
+    bundled = local_frame(spark, [profile(1, "make", "bundled", [("keep_lines", "^error")], [("e", "all_matching_preserved", "^error")])], schema.PROFILES)
+    rows = [("a", "make", 10, 0, "error é\nnoise\n"), ("b", "none", 20, 1, "x\n"), ("c", "make", 30, 0, "noise\n"), ("d", None, 40, 0, "")]
+    sessions = spark.createDataFrame(rows, "session_id string, fingerprint string, started_at long, exit_code int, text string")
+    done = run(sessions, bundled, bundled.limit(0), AT)
+    assert sum("started_at" in c and "text" in c for c in written) == 1 and not any("raw" in c for c in written)
+    assert sum("line_no" in c and "rule_key" in c for c in written) == 1
+    got = {r.session_id: (r.mode, r.raw_bytes, r.compressed_bytes) for r in done.facts.collect()}
+    assert got == {"a": ("Full", 15, 9), "b": ("Passthrough", 2, 2), "c": ("Full", 6, 0), "d": ("Passthrough", 0, 0)}
+    texts = {r.session_id: r.text for r in done.outputs.collect()}
+    assert texts["a"].startswith("error é\n[") and texts["c"].startswith("[") and len(texts) == 4
+    sha = {r.session_id: r.raw_sha for r in done.facts.select("session_id", F.col("raw_sha").cast("string").alias("raw_sha")).collect()}
+    assert sha["a"] == hashlib.sha256(rows[0][4].encode()).hexdigest()
